@@ -363,14 +363,14 @@ TRACKER_FIELDS = (
 )
 
 
-def _windows(values: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+def windows_before(values: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     """The k values before each row of its unit, zero-filled on the left."""
     at = np.arange(len(values))[:, None] + np.arange(-k, 0)[None, :]
     ok = pos[:, None] + np.arange(-k, 0)[None, :] >= 0
     return np.where(ok, values[np.clip(at, 0, None)], 0.0)
 
 
-def _positions(starts: np.ndarray, n: int) -> np.ndarray:
+def positions(starts: np.ndarray, n: int) -> np.ndarray:
     lengths = np.diff(np.append(starts, n))
     return np.arange(n) - np.repeat(starts, lengths)
 
@@ -384,12 +384,12 @@ def _tracker_kernel(keep, grid: _Grid, candidate: str | None, t: str, chunk: int
         home = np.asarray(table.column("_home").to_numpy(zero_copy_only=False), dtype=bool)
         given = B.floats(table, "_given")
         which = B.ints(table, candidate) if candidate else np.zeros(n, dtype=np.int64)
-        pos = _positions(starts, n)
+        pos = positions(starts, n)
         slope, consistency, variance = (np.empty(n) for _ in range(3))
         windows = grid.arrays["past_window"]
         for k in np.unique(windows[np.unique(which)]):
             m = windows[which] == k
-            stats = past_stats(_windows(fast, pos, int(k))[m], np.minimum(pos[m], k))
+            stats = past_stats(windows_before(fast, pos, int(k))[m], np.minimum(pos[m], k))
             slope[m], consistency[m], variance[m] = stats
         names = ["state", "_from"] + ([f.split()[0] for f in TRACKER_FIELDS.split(", ")] if full else [])
         out = {x: np.empty(n) for x in names}
