@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelseq import GROUP, RECORDING
 from panelseq.functions import expr as X
@@ -21,7 +20,7 @@ LABEL_TOKEN = "perclos"
 SESSION_PATTERN = r"(?i)(?:session|sess|s)[_-]?(\d{1,2})"
 MAX_HASHED_BYTES = 2_000_000_000
 
-MANIFEST_SCHEMA = T.StructType.fromDDL(
+MANIFEST_SCHEMA = (
     f"{GROUP} long, {RECORDING} long, physical_index long, file_path string, relative_path string, file_name string, "
     "file_suffix string, condition string, data_role string, sample_count long, feature_shape string, feature_dtype string, "
     "label_shape string, label_min double, label_max double, label_mean double, label_std double, missing_rate double, "
@@ -163,7 +162,7 @@ def save_violations(violations: DataFrame, out: str, overwrite: bool = False) ->
     violations.write.mode("overwrite" if overwrite else "errorifexists").json(out)
 
 
-def load_manifest(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = MANIFEST_SCHEMA) -> DataFrame:
+def load_manifest(spark: SparkSession, path: str, fmt: str = "json", schema: str = MANIFEST_SCHEMA) -> DataFrame:
     """Read a saved manifest with its declared schema; NaN becomes null."""
     reader = spark.read.schema(schema)
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)

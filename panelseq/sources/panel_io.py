@@ -6,29 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
 from panelseq.sources.manifest import nan_to_null
 
-PANEL_SCHEMA = T.StructType.fromDDL(
+PANEL_SCHEMA = (
     f"{GROUP} long, {SEED} int, {RECORDING} int, {TIME} long, fast double, slow double, target double")
-LEDGER_SCHEMA = T.StructType.fromDDL(
+LEDGER_SCHEMA = (
     f"{GROUP} long, {RECORDING} int, t0 long, {SEED} int, sign int, controller string, shape string, construction string, A double, B_late double")
 
 
-def read_panel(spark: SparkSession, path: str, cols: Sequence[str] | None = None, fmt: str = "csv", schema: T.StructType = PANEL_SCHEMA) -> DataFrame:
+def read_panel(spark: SparkSession, path: str, cols: Sequence[str] | None = None, fmt: str = "csv", schema: str = PANEL_SCHEMA) -> DataFrame:
     """Declared schema, only the wanted columns, NaN as null."""
     reader = spark.read.schema(schema)
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     return nan_to_null(df.select(*cols) if cols else df)
 
 
-def read_ledger(spark: SparkSession, path: str, schema: T.StructType = LEDGER_SCHEMA) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER_SCHEMA) -> DataFrame:
     return nan_to_null(spark.read.schema(schema).json(path))
 
 
-def read_folds(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, fmt: str = "parquet", pattern: str | None = None, fold: str = "outer_group") -> tuple[DataFrame, DataFrame]:
+def read_folds(spark: SparkSession, paths: str | Sequence[str], schema: str, fmt: str = "parquet", pattern: str | None = None, fold: str = "outer_group") -> tuple[DataFrame, DataFrame]:
     """Many per-fold files as one table, and the rows whose file name disagrees.
 
     ``pattern`` has one group with the fold id, matched on the file path.
