@@ -134,7 +134,7 @@ def affine_scan(
     Chunks are scanned on their own and keep the product of their decays. The
     chunk ends form a shorter recursion of the same shape, solved the same way.
     """
-    keep = [*keys, t, *[c for c in keep if c not in (*keys, t)]]
+    keep = list(dict.fromkeys([*keys, t, *keep]))
     src = df.select(*keep, decay.alias("_decay"), add.alias("_add"), first.alias("_first")).withColumn(
         "_chunk", F.expr(f"`{t}` div {chunk}")
     )
@@ -552,3 +552,30 @@ def mean_gain(traj: DataFrame, balanced: bool = True, group: str = "group_id", g
     if not balanced:
         return traj.agg(F.avg(gain).alias("mean_gain"))
     return traj.groupBy(group).agg(F.avg(gain).alias("_g")).agg(F.avg("_g").alias("mean_gain"))
+
+
+def score_states(
+    df: DataFrame, innovation: str, gap: str, slope: str = "past_slope", consistency: str = "past_consistency",
+    variance: str = "past_variance", config: TrackerConfig = TrackerConfig(),
+) -> DataFrame:
+    """Scores, probabilities, blended gain and state index as column expressions."""
+    i, s = F.abs(F.col(innovation)), F.col(slope)
+    agree = F.when((F.abs(s) <= EPS) | (i <= EPS), 0.5).when(F.signum(s) == F.signum(F.col(innovation)), 1.0).otherwise(0.0)
+    strengths = (
+        X.squash(i, config.innovation_scale), X.squash(F.abs(F.col(gap)), config.disagreement_scale),
+        X.squash(F.abs(s), config.slope_scale), X.squash(variance, config.variance_scale), F.col(consistency), agree)
+    df = df.withColumns({f"_m{j}": c for j, c in enumerate(strengths)})
+    made = {}
+    for name in STATES:
+        w = SCORE_WEIGHTS[name]
+        total = F.lit(float(getattr(config, f"{name}_bias")) + w[-1])
+        for j, weight in enumerate(w[:-1]):
+            if weight:
+                total = total + F.lit(weight) * F.col(f"_m{j}")
+        made[f"score_{name}"] = total
+    df = df.withColumns(made)
+    probs = X.softmax([F.col(f"score_{n}") for n in STATES], config.temperature)
+    df = df.withColumns({f"p_{n}": p for n, p in zip(STATES, probs)})
+    p = F.array(*[F.col(f"p_{n}") for n in STATES])
+    alpha = F.col("p_outlier") * config.alpha_outlier + F.col("p_stable") * config.alpha_stable + F.col("p_transition") * config.alpha_transition
+    return df.withColumns({"alpha": alpha, "state_index": (F.array_position(p, F.array_max(p)) - 1).cast("int")}).drop(*[f"_m{j}" for j in range(6)])

@@ -92,3 +92,11 @@ def group_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(F.when(F.col("lang") == "en", F.log1p("n"))).alias("a"),
         F.avg(F.when(F.col("lang") != "en", F.log1p("n"))).alias("b"),
     ).where("a is not null and b is not null")
+
+
+def event_length(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the longest event sequence: one aggregate over two columns."""
+    ev = table(spark, sf_dir, "events").select(
+        "user_id", (F.col("ts") < F.lit(SPLIT_DAY).cast("timestamp")).alias("_early"))
+    top = ev.groupBy("user_id", "_early").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return int(top or 0)
