@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelseq import TIME
-from panelseq.session import ship
+from panelseq.session import cut, ship
 
 CHUNK = 4096
 FLUSH_ROWS = 65_536
@@ -224,21 +224,28 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, for groups of any size.
 
-    Groups of at most ``small`` values use the built-in percentile, whose buffer
-    they bound. Larger groups are cut into value buckets, and only the buckets
-    that hold a wanted rank are sorted. Nulls are ignored.
+    The values are written once as a stage table, whose largest group picks the
+    way: groups of at most ``small`` values use the built-in percentile, whose
+    buffer they bound; larger ones are cut into value buckets, and only the
+    buckets that hold a wanted rank are sorted. Nulls are ignored.
     """
     by = list(by)
     unit = by or ["_all"]
     src = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
     if not by:
         src = src.withColumn("_all", F.lit(1))
-    big = src.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(*unit)
-    plain = src.join(big, unit, "left_anti").groupBy(*unit).agg(
-        *[F.percentile("_v", F.lit(float(p))).alias(nm) for p, nm in zip(probs, names)]
-    )
-    large = _bucketed_quantiles(src.join(big, unit, "left_semi"), unit, probs, names, splits)
-    out = plain.unionByName(large)
+    src = cut(src)
+    sizes = src.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
+
+    def built_in(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*unit).agg(*[F.percentile("_v", F.lit(float(p))).alias(nm) for p, nm in zip(probs, names)])
+
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= small:
+        out = built_in(src)
+    else:
+        big = sizes.where(F.col("_n") > small).select(*unit)
+        out = built_in(src.join(big, unit, "left_anti")).unionByName(
+            _bucketed_quantiles(src.join(big, unit, "left_semi"), unit, probs, names, splits))
     return out if by else out.drop("_all")
 
 

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
-from panelseq.operators import oof as O
 from panelseq.operators import select as C
 from panelseq.operators import updaters as U
-from panelseq.operators.blocks import longest
 from panelseq.plans import panels as P
 from panelseq.plans import sql_parts as S
 from panelseq.plans import updater_queries as UQ
 from panelseq.plans.registry import q, query, r
+from panelseq.session import cut
 
 KT = [*SEQUENCE, TIME]
 MAX_LAG = 5
@@ -211,7 +210,8 @@ def candidate_states(spark, sf):
     spec = [F.struct(F.lit(i).alias("candidate_id"), F.lit(a).alias("kq"), F.lit(b).alias("kr")) for i, (a, b) in zip(KALMAN_IDS, KALMANS)]
     k = p.select(*KT, "fast", "target", F.inline(F.array(*spec)))
     k = U.kalman_fixed(k, F.col("kq"), F.col("kr"), keys=keys, length=n, keep=["target"]).select(*keys, TIME, "target", "state")
-    return e.unionByName(k).withColumn("family", F.split("candidate_id", "_")[0])
+    # Three metrics read the states, so they are kept as a stage table.
+    return cut(e.unionByName(k).withColumn("family", F.split("candidate_id", "_")[0]))
 
 
 def candidate_summary(spark, sf):
