@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
 from panelseq.functions import expr as X
 from panelseq.operators.joins import missing_extra
+from panelseq.session import cut
 
 RATE_COLUMNS = ("missing_rate", "feature_missing_rate", "label_missing_rate")
 
@@ -38,6 +39,17 @@ def _as_violations(df: DataFrame, rule: str, keys: Sequence[str], detail: Column
     return df.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), _key(keys).alias("key"), d.alias("detail"))
 
 
+def _rules(df: DataFrame, keys: Sequence[str], rules: Sequence[tuple]) -> DataFrame:
+    """Several row rules in one pass: (rule id, condition, detail[, severity])."""
+    made = []
+    for rule, broken, detail, *severity in rules:
+        d = F.lit(detail) if isinstance(detail, str) else detail.cast("string")
+        made.append(F.when(broken, F.struct(
+            F.lit(rule).alias("rule_id"), F.lit(severity[0] if severity else "error").alias("severity"),
+            _key(keys).alias("key"), d.alias("detail"))))
+    return df.select(F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -49,25 +61,27 @@ def _coverage(observed: DataFrame, expected: DataFrame, keys: Sequence[str], rul
 
 def validate_manifest(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Coverage, mapping, file quality, duplicates and cross-role alignment."""
+    df = cut(df)
     good = df.where(F.col("scan_status").isin("ok", "success", "dry_run"))
     known = good.where(f"{RECORDING} is not null and {GROUP} is not null")
     owner = mapping.select(RECORDING, F.col(GROUP).alias("_owner"))
-    conflict = known.join(owner, RECORDING, "left").where(~F.col("_owner").eqNullSafe(F.col(GROUP)))
-    path = ["relative_path"]
+    fine = F.col("scan_status").isin("ok", "success", "dry_run")
+    has_ids = F.expr(f"{RECORDING} is not null and {GROUP} is not null")
+    by_row = [
+        ("file_error", F.col("scan_status") == "error", F.coalesce("error_message", F.lit(""))),
+        ("unresolved", fine & ~has_ids, "no recording or group"),
+        ("mapping_conflict", fine & has_ids & ~F.col("_owner").eqNullSafe(F.col(GROUP)), F.concat_ws(" is not ", GROUP, "_owner")),
+        ("empty_file", fine & (F.col("file_size_bytes") <= 0), "empty"),
+        ("sample_count", fine & (F.col("sample_count") <= 0), F.col("sample_count")),
+        ("label_range", fine & F.expr("label_min > label_max"), "min above max"),
+        ("label_range", fine & F.expr("label_min <= label_max and (label_min < 0 or label_max > 1)"), "outside [0,1]", "warning"),
+        *[(c, fine & F.expr(f"{c} < 0 or {c} > 1"), F.col(c)) for c in RATE_COLUMNS],
+    ]
     rules = [
-        _as_violations(df.where("scan_status = 'error'"), "file_error", path, F.coalesce("error_message", F.lit(""))),
+        _rules(df.join(owner, RECORDING, "left"), ["relative_path"], by_row),
         _coverage(known.select(GROUP), mapping.select(GROUP), [GROUP], "group_coverage"),
         _coverage(known.select(RECORDING), mapping.select(RECORDING), [RECORDING], "recording_coverage"),
-        _as_violations(good.where(f"{RECORDING} is null or {GROUP} is null"), "unresolved", path, "no recording or group"),
-        _as_violations(conflict, "mapping_conflict", path, F.concat_ws(" is not ", GROUP, "_owner")),
-        _as_violations(good.where("file_size_bytes <= 0"), "empty_file", path, "empty"),
-        _as_violations(good.where("sample_count <= 0"), "sample_count", path, F.col("sample_count")),
-        _as_violations(good.where("label_min > label_max"), "label_range", path, "min above max"),
-        _as_violations(
-            good.where("label_min <= label_max and (label_min < 0 or label_max > 1)"), "label_range", path,
-            "outside [0,1]", "warning"),
     ]
-    rules += [_as_violations(good.where(f"{c} < 0 or {c} > 1"), c, path, F.col(c)) for c in RATE_COLUMNS]
 
     def repeated(src: DataFrame, keys: Sequence[str], rule: str, severity: str = "error") -> DataFrame:
         twice = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -244,11 +258,11 @@ def validate_inventory(df: DataFrame, mapping: DataFrame, seeds: Sequence[int],
     need = need.withColumn("_want", F.lit(rows).cast("long") if rows is not None else F.col("rows").cast("long"))
     have = df.groupBy(*SEQUENCE).agg(F.count(F.lit(1)).alias("_have"))
     j = have.join(need.select(*SEQUENCE, "_want"), list(SEQUENCE), "full")
-    seq = [
-        _as_violations(j.where("_have is null"), "inventory_missing", SEQUENCE, F.col("_want")),
-        _as_violations(j.where("_want is null"), "inventory_extra", SEQUENCE, F.col("_have")),
-        _as_violations(j.where("_have <> _want"), "inventory_rows", SEQUENCE, F.concat_ws(" of ", "_have", "_want")),
-    ]
+    seq = [_rules(j, SEQUENCE, [
+        ("inventory_missing", F.col("_have").isNull(), F.col("_want")),
+        ("inventory_extra", F.col("_want").isNull(), F.col("_have")),
+        ("inventory_rows", F.col("_have") != F.col("_want"), F.concat_ws(" of ", "_have", "_want")),
+    ])]
     owners = mapping.groupBy(RECORDING).agg(F.count_distinct(GROUP).alias("_n")).where("_n > 1")
     seq.append(_as_violations(owners, "shared_recording", [RECORDING], F.col("_n")))
     return union_all(seq)
@@ -270,12 +284,12 @@ def validate_ledger(ledger: DataFrame, roots: DataFrame, dims: dict[str, Sequenc
     per_root = combos.groupBy(*root).agg(
         F.count_if("_in").alias("_ok"), F.count_if(~F.col("_in")).alias("_foreign"), F.count_if(F.col("_m") > 1).alias("_twice"))
     j = per_root.join(roots.select(*root).distinct().withColumn("_root", F.lit(1)), root, "full")
-    return union_all([
-        _as_violations(j.where("_root is null"), "extra_root", root, "not an accepted root"),
-        _as_violations(j.where("_ok is null"), "missing_root", root, "no rows"),
-        _as_violations(j.where(f"_root = 1 and _ok < {want}"), "incomplete_root", root, F.col("_ok")),
-        _as_violations(j.where("_foreign > 0"), "foreign_branch", root, F.col("_foreign")),
-        _as_violations(j.where("_twice > 0"), "repeated_branch", root, F.col("_twice")),
+    return _rules(j, root, [
+        ("extra_root", F.col("_root").isNull(), "not an accepted root"),
+        ("missing_root", F.col("_ok").isNull(), "no rows"),
+        ("incomplete_root", (F.col("_root") == 1) & (F.col("_ok") < want), F.col("_ok")),
+        ("foreign_branch", F.col("_foreign") > 0, F.col("_foreign")),
+        ("repeated_branch", F.col("_twice") > 0, F.col("_twice")),
     ])
 
 
@@ -303,16 +317,13 @@ def _paired(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str]
 def align_frames(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str], eps: float = 1e-12) -> DataFrame:
     """Keys on one side only, and values further apart than ``eps``."""
     j = _paired(a, b, keys, cols)
-    parts = [
-        _as_violations(j.where("_r is null"), "only_left", keys, ""),
-        _as_violations(j.where("_l is null"), "only_right", keys, ""),
-    ]
-    both = j.where("_l = 1 and _r = 1")
+    rules: list[tuple] = [("only_left", F.col("_r").isNull(), ""), ("only_right", F.col("_l").isNull(), "")]
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     for c in cols:
         gap = F.abs(F.col(f"_a_{c}") - F.col(f"_b_{c}"))
         one_null = F.col(f"_a_{c}").isNull() != F.col(f"_b_{c}").isNull()
-        parts.append(_as_violations(both.where((gap > eps) | one_null), f"differs_{c}", keys, gap))
-    return union_all(parts)
+        rules.append((f"differs_{c}", both & (F.coalesce(gap > eps, F.lit(False)) | one_null), gap))
+    return _rules(j, keys, rules)
 
 
 def max_abs_error(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -338,9 +349,9 @@ def check_bindings(files: DataFrame, registry: DataFrame, path: str = "relative_
     """Each registered file exists and has its registered hash."""
     j = registry.select(path, F.col("sha256").alias("_want")).join(
         files.select(path, F.col("sha256").alias("_have"), F.lit(1).alias("_f")), path, "left")
-    return union_all([
-        _as_violations(j.where("_f is null"), "missing_file", [path], "absent"),
-        _as_violations(j.where((F.col("_f") == 1) & ~F.col("_have").eqNullSafe(F.col("_want"))), "changed_file", [path], "hash differs"),
+    return _rules(j, [path], [
+        ("missing_file", F.col("_f").isNull(), "absent"),
+        ("changed_file", F.col("_f").isNotNull() & ~F.col("_have").eqNullSafe(F.col("_want")), "hash differs"),
     ])
 
 
@@ -363,9 +374,9 @@ def check_printed(stored: DataFrame, printed: DataFrame, keys: Sequence[str], va
     tok = F.regexp_replace("_tok", "−", "-")
     digits = F.when(F.lower(tok).contains("e"), 9).otherwise(F.coalesce(F.length(F.split(tok, "[.]").getItem(1)), F.lit(0)))
     j = j.withColumn("_gap", F.abs(F.col("_v") - tok.cast("double"))).withColumn("_tol", 0.5 * F.pow(F.lit(10.0), -digits) + 1e-15)
-    return union_all([
-        _as_violations(j.where("_v is null or _tok is null"), "unpaired_number", keys, "one copy only"),
-        _as_violations(j.where("_gap > _tol"), "printed_number", keys, F.col("_tok")),
+    return _rules(j, keys, [
+        ("unpaired_number", F.expr("_v is null or _tok is null"), "one copy only"),
+        ("printed_number", F.expr("_gap > _tol"), F.col("_tok")),
     ])
 
 

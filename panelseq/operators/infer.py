@@ -120,37 +120,48 @@ def bca_mean(values: DataFrame, cols: Sequence[str], resamples: int = RESAMPLES,
         F.when(F.col("p_low").isNull(), "DEGENERATE").otherwise("AVAILABLE").alias("status"))
 
 
-def sign_flip_exact(values: DataFrame, col: str, tolerance: float = 7.1e-15, sampled: int = 100_000, seed: int = FAMILY_SEED, group: str = GROUP) -> DataFrame:
-    """Two-sided sign-flip test of a zero mean.
+def sign_flip_exact(values: DataFrame, cols: Sequence[str], tolerance: float = 7.1e-15, sampled: int = 100_000, seed: int = FAMILY_SEED, group: str = GROUP) -> DataFrame:
+    """Two-sided sign-flip test of a zero mean, one row per column (comparison_id).
 
     Up to 24 groups all patterns count: a pattern and its mirror have the same
-    absolute mean, so half of them are enumerated. With more groups, keyed
-    random patterns are drawn and the observed one is added.
+    absolute mean, so half of them are enumerated, once for all columns. With more
+    groups, keyed random patterns are drawn and the observed one is added.
     """
+    cols = list(cols)
     spark = values.sparkSession
-    vec = group_index(values.select(group, col).where(F.col(col).isNotNull()), group)
+    vec = group_index(values.select(group, *cols).na.drop(), group)
     n = vec.count()
     if n == 0:
         raise ValueError("no values")
     if n <= MAX_EXACT:
-        packed = vec.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", col))), lambda s: s[col]).alias("_v")).withColumn(
-            "_obs", F.abs(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)) / n).withColumn("_k", F.lit(1))
+        rows = F.array_sort(F.collect_list(F.struct("idx", *cols)))
+        packed = vec.agg(rows.alias("_r")).select(F.lit(1).alias("_k"), *[F.col(f"_r.{c}").alias(f"_v_{c}") for c in cols])
         ids = spark.range(2 ** (n - 1)).withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k")
-        total = F.col("_v")[0]
-        for i in range(1, n):
-            bit = F.col("id").bitwiseAND(F.lit(1 << (i - 1)))
-            total = total + F.when(bit == 0, F.col("_v")[i]).otherwise(-F.col("_v")[i])
-        per = ids.select((F.abs(total) / n).alias("_m"), "_obs")
-        out = per.agg((2 * F.count_if(F.col("_m") >= F.col("_obs") - tolerance)).alias("extreme"), (2 * F.count(F.lit(1))).alias("total"))
+
+        def flipped(c: str) -> Column:
+            total = F.col(f"_v_{c}")[0]
+            for i in range(1, n):
+                v = F.col(f"_v_{c}")[i]
+                total = total + F.when(F.col("id").bitwiseAND(F.lit(1 << (i - 1))) == 0, v).otherwise(-v)
+            return total
+
+        observed = {c: F.abs(F.aggregate(f"_v_{c}", F.lit(0.0), lambda a, x: a + x)) for c in cols}
+        extreme = [(2 * F.count_if(F.abs(flipped(c)) / n >= observed[c] / n - tolerance)).alias(c) for c in cols]
+        out = ids.agg(*extreme, (2 * F.count(F.lit(1))).alias("total"))
     else:
-        sums = with_totals(vec, (), {"_s": F.sum(col)})
-        flips = sums.repartition("idx").select("_s", col, "idx", F.explode(F.sequence(F.lit(0), F.lit(sampled - 1))).alias("draw"))
-        sign = F.when(X.draw_index(F.lit(2), seed, F.col("draw"), F.col("idx")) == 0, F.col(col)).otherwise(-F.col(col))
-        per = flips.groupBy("draw").agg((F.abs(F.sum(sign)) / n).alias("_m"), (F.abs(F.first("_s")) / n).alias("_obs"))
-        out = per.agg((1 + F.count_if(F.col("_m") >= F.col("_obs") - tolerance)).alias("extreme"), (1 + F.count(F.lit(1))).alias("total"))
-    mean = vec.agg(F.avg(col).alias("mean_effect")).withColumn("_k", F.lit(1))
-    return out.withColumn("_k", F.lit(1)).join(F.broadcast(mean), "_k").select(
-        F.lit(n).alias("m"), "total", "extreme", (F.col("extreme") / F.col("total")).alias("p"), "mean_effect")
+        flips = vec.repartition("idx").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(sampled - 1)))).withColumn(
+            "_up", X.draw_index(F.lit(2), seed, F.col("draw"), F.col("idx")) == 0)
+        per = flips.groupBy("draw").agg(
+            *[(F.abs(F.sum(F.when(F.col("_up"), F.col(c)).otherwise(-F.col(c)))) / n).alias(f"_m_{c}") for c in cols],
+            *[(F.abs(F.sum(c)) / n).alias(f"_o_{c}") for c in cols])
+        out = per.agg(
+            *[(1 + F.count_if(F.col(f"_m_{c}") >= F.col(f"_o_{c}") - tolerance)).alias(c) for c in cols],
+            (1 + F.count(F.lit(1))).alias("total"))
+    long = out.select("total", F.inline(F.array(*[F.struct(F.lit(c).alias("comparison_id"), F.col(c).alias("extreme")) for c in cols])))
+    means = vec.agg(*[F.avg(c).alias(c) for c in cols]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("comparison_id"), F.col(c).alias("mean_effect")) for c in cols])))
+    return long.join(F.broadcast(means), "comparison_id").select(
+        "comparison_id", F.lit(n).alias("m"), "total", "extreme", (F.col("extreme") / F.col("total")).alias("p"), "mean_effect")
 
 
 def holm(pvals: DataFrame, by: Sequence[str] = (), p: str = "p", comparison: str = "comparison_id") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,9 +77,7 @@ _P = f"""{_LANG_SQL}, f AS ({_FLIP}), p AS (SELECT comparison_id, count(*) AS to
 
 
 def flip_tests(spark, sf) -> DataFrame:
-    v = cut(lang_gaps(spark, sf))
-    parts = [I.sign_flip_exact(v, x).withColumn("comparison_id", F.lit(x)) for x in LANGS]
-    return reduce(DataFrame.unionByName, parts)
+    return I.sign_flip_exact(cut(lang_gaps(spark, sf)), LANGS)
 
 
 @query("sign_flip_test", f"WITH {_P} SELECT comparison_id, total, extreme, {q('p', 'p', 9)} FROM p")
