@@ -118,38 +118,22 @@ def flatten(df: DataFrame, values: str = "values", channels: int = 17, bands: in
 
 
 # ------------------------------------------------------------------ C6..C8, C12
-def rolling_stats(
-    df: DataFrame, cols: Sequence[str], windows: Sequence[int] = WINDOWS, keys: Sequence[str] = SEQUENCE,
-    t: str = TIME, chunk: int = B.CHUNK,
-) -> DataFrame:
-    """Causal mean, std, slope and normalised deviation, current row included."""
-    def build(rows):
-        made = {}
-        for c in cols:
-            for k in windows:
-                w = rows(-(k - 1), 0)
-                made[f"{c}_w{k}_mean"] = F.avg(c).over(w)
-                made[f"{c}_w{k}_std"] = F.stddev_pop(c).over(w)
-                slope = F.regr_slope(F.col(c), F.col(t).cast("double")).over(w)
-                made[f"{c}_w{k}_slope"] = F.when(F.col(t) == 0, 0.0).otherwise(slope)
-        return made
-
-    out = B.trailing(df, keys, build, before=max(windows), t=t, chunk=chunk)
-    dev = {}
+def _add_rolling(halo: DataFrame, cols: Sequence[str], windows: Sequence[int], w, t: str) -> DataFrame:
+    made, dev = {}, {}
     for c in cols:
         for k in windows:
+            rows = w.rowsBetween(-(k - 1), 0)
+            made[f"{c}_w{k}_mean"] = F.avg(c).over(rows)
+            made[f"{c}_w{k}_std"] = F.stddev_pop(c).over(rows)
+            slope = F.regr_slope(F.col(c), F.col(t).cast("double")).over(rows)
+            made[f"{c}_w{k}_slope"] = F.when(F.col(t) == 0, 0.0).otherwise(slope)
             sd = F.col(f"{c}_w{k}_std")
             dev[f"{c}_w{k}_deviation"] = (F.col(c) - F.col(f"{c}_w{k}_mean")) / F.when(sd > 1e-8, sd).otherwise(1.0)
-    return out.withColumns(dev)
+    return halo.withColumns(made).withColumns(dev)
 
 
-def temporal_pattern(
-    df: DataFrame, col: str, windows: Sequence[int] = WINDOWS, keys: Sequence[str] = SEQUENCE, t: str = TIME,
-    chunk: int = B.CHUNK,
-) -> DataFrame:
-    """Lag-1 autocorrelation and trend consistency per window."""
-    w = B.chunk_window(keys, t)
-    base = B.with_halo(df, t, before=max(windows) + 1, chunk=chunk).withColumn("_prev", F.lag(col).over(w))
+def _add_pattern(halo: DataFrame, col: str, windows: Sequence[int], w, t: str) -> DataFrame:
+    base = halo.withColumn("_prev", F.lag(col).over(w))
     later = F.when(F.col("_prev").isNotNull(), F.col(col))
     made = {}
     for k in windows:
@@ -161,7 +145,36 @@ def temporal_pattern(
         made[f"{col}_w{k}_trend_consistency"] = F.coalesce(
             F.abs(F.avg(F.signum(F.col(col) - F.col("_prev"))).over(pairs)), F.lit(0.0)
         )
-    return B.drop_halo(base.withColumns(made).drop("_prev"))
+    return base.withColumns(made).drop("_prev")
+
+
+def _add_array_differences(halo: DataFrame, values: str, w) -> DataFrame:
+    v = F.col(values)
+    zeros = F.transform(v, lambda x: F.lit(0.0))
+    base = halo.withColumn("_l1", F.lag(v).over(w)).withColumn("_l2", F.lag(v, 2).over(w))
+    d1 = F.when(F.col("_l1").isNull(), zeros).otherwise(F.zip_with(v, "_l1", lambda a, b: a - b))
+    before = F.when(F.col("_l2").isNull(), zeros).otherwise(F.zip_with("_l1", "_l2", lambda a, b: a - b))
+    d2 = F.when(F.col("_l1").isNull(), zeros).otherwise(F.zip_with(f"{values}_d1", "_before", lambda a, b: a - b))
+    out = base.withColumn(f"{values}_d1", d1).withColumn("_before", before).withColumn(f"{values}_d2", d2)
+    return out.drop("_l1", "_l2", "_before")
+
+
+def rolling_stats(
+    df: DataFrame, cols: Sequence[str], windows: Sequence[int] = WINDOWS, keys: Sequence[str] = SEQUENCE,
+    t: str = TIME, chunk: int = B.CHUNK,
+) -> DataFrame:
+    """Causal mean, std, slope and normalised deviation, current row included."""
+    halo = B.with_halo(df, t, before=max(windows), chunk=chunk)
+    return B.drop_halo(_add_rolling(halo, cols, windows, B.chunk_window(keys, t), t))
+
+
+def temporal_pattern(
+    df: DataFrame, col: str, windows: Sequence[int] = WINDOWS, keys: Sequence[str] = SEQUENCE, t: str = TIME,
+    chunk: int = B.CHUNK,
+) -> DataFrame:
+    """Lag-1 autocorrelation and trend consistency per window."""
+    halo = B.with_halo(df, t, before=max(windows) + 1, chunk=chunk)
+    return B.drop_halo(_add_pattern(halo, col, windows, B.chunk_window(keys, t), t))
 
 
 def differences(df: DataFrame, col: str, keys: Sequence[str] = SEQUENCE, t: str = TIME, chunk: int = B.CHUNK) -> DataFrame:
@@ -176,15 +189,8 @@ def differences(df: DataFrame, col: str, keys: Sequence[str] = SEQUENCE, t: str
 
 def array_differences(df: DataFrame, values: str = "values", keys: Sequence[str] = SEQUENCE, t: str = TIME, chunk: int = B.CHUNK) -> DataFrame:
     """``differences`` for every array entry: columns ``<values>_d1`` and ``_d2``."""
-    w = B.chunk_window(keys, t)
-    v = F.col(values)
-    zeros = F.transform(v, lambda x: F.lit(0.0))
-    base = B.with_halo(df, t, before=2, chunk=chunk).withColumn("_l1", F.lag(v).over(w)).withColumn("_l2", F.lag(v, 2).over(w))
-    d1 = F.when(F.col("_l1").isNull(), zeros).otherwise(F.zip_with(v, "_l1", lambda a, b: a - b))
-    before = F.when(F.col("_l2").isNull(), zeros).otherwise(F.zip_with("_l1", "_l2", lambda a, b: a - b))
-    d2 = F.when(F.col("_l1").isNull(), zeros).otherwise(F.zip_with(f"{values}_d1", "_before", lambda a, b: a - b))
-    out = base.withColumn(f"{values}_d1", d1).withColumn("_before", before).withColumn(f"{values}_d2", d2)
-    return B.drop_halo(out.drop("_l1", "_l2", "_before"))
+    halo = B.with_halo(df, t, before=2, chunk=chunk)
+    return B.drop_halo(_add_array_differences(halo, values, B.chunk_window(keys, t)))
 
 
 # ------------------------------------------------------------------ C13, C14
@@ -238,12 +244,15 @@ def extract_features(
     df = channel_mean(df, "_five_missing", channels, bands, "_ms5")
     df = channel_mean(df, "_two_missing", second_channels, bins, "_ms2")
     df = global_energy(df, five, "global")
-    if feature_set == "enhanced_full":
-        df = array_differences(df, five, keys, t, chunk)
     series = {f"five_band_{i}": F.col("_bm")[i] for i in range(bands)}
     series |= {f"two_group_{i}": F.col("_gm")[i] for i in range(bands)}
-    df = rolling_stats(df.withColumns(series), list(series), windows, keys, t, chunk)
-    df = temporal_pattern(df, "global", windows, keys, t, chunk)
+    # One halo and one window partitioning serve all temporal columns.
+    w = B.chunk_window(keys, t)
+    df = B.with_halo(df.withColumns(series), t, before=max(windows) + 1, chunk=chunk)
+    if feature_set == "enhanced_full":
+        df = _add_array_differences(df, five, w)
+    df = _add_rolling(df, list(series), windows, w, t)
+    df = B.drop_halo(_add_pattern(df, "global", windows, w, t))
 
     def at(array: str, i: int) -> Column:
         return F.col(array)[i]

@@ -13,33 +13,37 @@ from panelseq import EPS, GROUP
 from panelseq.functions import expr as X
 from panelseq.operators import blocks as B
 from panelseq.operators.select import with_totals
-from panelseq.session import ship
+from panelseq.session import cut, ship
 
 RESAMPLES = 10_000
 METRIC_SEED, THETA_SEED, FAMILY_SEED = 20260830, 20260905, 20260728
 MAX_EXACT = 24
 
 
+BROADCAST_ROWS = 1_000_000
+
+
 def group_index(df: DataFrame, group: str = GROUP, by: Sequence[str] = (), name: str = "idx") -> DataFrame:
-    """0-based position of each group in ascending order."""
-    numeric = df.schema[group].dataType.typeName() in ("integer", "long", "short", "byte")
-    bucket = F.expr(f"cast(floor(`{group}` / 65536) as bigint)") if numeric else F.substring(group, 1, 4)
-    return B.dense_index(df, list(by), bucket, [group], name)
+    """0-based position of each group in md5 order: even buckets for any kind of id."""
+    h = F.md5(F.col(group).cast("string"))
+    return B.dense_index(df.withColumn("_h", h), list(by), F.substring("_h", 1, 3), ["_h", group], name).drop("_h")
 
 
 def bootstrap_means(values: DataFrame, cols: Sequence[str], resamples: int = RESAMPLES, seed: int = THETA_SEED, group: str = GROUP) -> DataFrame:
     """(draw, mean of each column): every column shares the same keyed draws.
 
-    A task makes whole draws, so the mean is complete before the exchange. The
-    value table joins by index; it is broadcast only while it is small.
+    The values are one row per group and are written once. Up to a million rows
+    they are broadcast, so a task finishes its draws before the exchange; beyond
+    that the draws join them by index.
     """
-    spark = values.sparkSession
-    vec = group_index(values.select(group, *cols), group).select("idx", *cols)
-    size = values.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    slots = spark.range(resamples).withColumnRenamed("id", "draw").withColumn("_k", F.lit(1)).join(F.broadcast(size), "_k")
-    draws = slots.select("draw", "_n", F.explode(F.expr("sequence(0, _n - 1)")).alias("slot")).select(
-        "draw", X.draw_index("_n", seed, F.col("draw"), F.col("slot")).alias("idx"))
-    return draws.join(vec, "idx").groupBy("draw").agg(*[F.avg(c).alias(c) for c in cols])
+    cols = list(dict.fromkeys(cols))
+    vec = cut(group_index(values.select(group, *cols), group).select("idx", *cols))
+    n = vec.count()
+    draws = values.sparkSession.range(resamples).withColumnRenamed("id", "draw").select(
+        "draw", F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("slot"))
+    draws = draws.select("draw", X.draw_index(F.lit(n), seed, F.col("draw"), F.col("slot")).alias("idx"))
+    side = F.broadcast(vec) if n <= BROADCAST_ROWS else vec
+    return draws.join(side, "idx").groupBy("draw").agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def paired_bootstrap(values: DataFrame, cols: Sequence[str], identities: dict[str, tuple[Column, Column]], **kw) -> DataFrame:
@@ -91,6 +95,7 @@ def bca_mean(values: DataFrame, cols: Sequence[str], resamples: int = RESAMPLES,
     is bounded. A constant vector has no interval; its status says so.
     """
     ship(values.sparkSession)
+    values = cut(values.select(group, *cols))
     means = bootstrap_means(values, cols, resamples, seed, group)
     long = means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("quantity"), F.col(c).alias("m")) for c in cols])))
     base = None

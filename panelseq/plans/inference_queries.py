@@ -33,7 +33,7 @@ def lang_gaps(spark, sf) -> DataFrame:
     return wide.na.drop().select(GROUP, *[(F.col("en") - F.col(x)).alias(x) for x in LANGS])
 
 
-_USER_SQL = f"{S.SEQ}, u AS MATERIALIZED (SELECT group_id, avg(value) AS x, max(value) AS y, row_number() OVER (ORDER BY group_id) - 1 AS idx, count(*) OVER () AS n FROM seq GROUP BY group_id)"
+_USER_SQL = f"{S.SEQ}, u AS MATERIALIZED (SELECT group_id, avg(value) AS x, max(value) AS y, row_number() OVER (ORDER BY md5(group_id::VARCHAR)) - 1 AS idx, count(*) OVER () AS n FROM seq GROUP BY group_id)"
 
 
 def user_values(spark, sf) -> DataFrame:
@@ -236,7 +236,7 @@ def loso_splits(spark, sf):
     return SP.loso_splits(_groups(spark, sf), SEEDS, 0.2)
 
 
-@query("group_bootstrap", f"""WITH {S.SEQ}, g AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM seq)),
+@query("group_bootstrap", f"""WITH {S.SEQ}, g AS (SELECT group_id, row_number() OVER (ORDER BY md5(group_id::VARCHAR)) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM seq)),
 d AS (SELECT idx AS draw, ('0x' || substr(md5('7:' || idx), 1, 8))::BIGINT % n AS pick FROM g), e AS (SELECT group_id, count(*) AS rows, sum(value) AS total FROM seq GROUP BY group_id)
 SELECT draw, -(draw + 1) AS bootstrap_id, group_id, rows, {q('total', 'total', 2)} FROM d JOIN g ON g.idx = pick JOIN e USING (group_id)""")
 def group_bootstrap(spark, sf):
