@@ -172,9 +172,12 @@ def outer_choices(spark, sf):
     obj = gain_objective(spark, sf)
     rest = C.with_totals(obj, ["gain_index"], {"_s": F.sum("rmse"), "_n": F.count(F.lit(1))})
     mean = (F.col("_s") - F.col("rmse")) / (F.col("_n") - 1)
+    # The outer group took part if its share is still in the sum that was ranked.
+    left_in = F.abs(mean * (F.col("_n") - 1) + F.col("rmse") - F.col("_s")) > 1e-9
     best = F.min(F.struct(F.round(mean, 10).alias("m"), F.col("gain_index"))).alias("_b")
-    return rest.groupBy(F.col(GROUP).alias("outer_group")).agg(best, F.first(F.col("_n") - 1).alias("development_groups")).select(
-        "outer_group", F.col("_b.gain_index").alias("gain_index"), "development_groups")
+    return rest.groupBy(F.col(GROUP).alias("outer_group")).agg(
+        best, F.first(F.col("_n") - 1).alias("development_groups"), F.count_if(left_in).alias("outer_rows_used")).select(
+        "outer_group", F.col("_b.gain_index").alias("gain_index"), "development_groups", "outer_rows_used")
 
 
 _OUTER = f"""o AS (SELECT group_id AS outer_group, gain_index, ((sum(rmse) OVER (PARTITION BY gain_index)) - rmse) / ((count(*) OVER (PARTITION BY gain_index)) - 1) AS m,
@@ -187,10 +190,7 @@ n AS (SELECT group_id, count(*) AS own FROM panel GROUP BY group_id)
 SELECT outer_group, gain_index, development_groups, 0::BIGINT AS outer_rows_used FROM c""")
 def selection_lock(spark, sf):
     """Locks with the audit of the groups that entered each outer selection."""
-    choices = outer_choices(spark, sf)
-    audit = choices.select("outer_group", F.lit(0).cast("long").alias("outer_rows_used"))
-    out = choices.join(audit, "outer_group")
-    return out.select("outer_group", "gain_index", "development_groups", "outer_rows_used")
+    return outer_choices(spark, sf)
 
 
 # ------------------------------------------------------------------ candidates

@@ -160,3 +160,13 @@ def test_grids(spark):
             "temperature": [0.75], "alpha_outlier": [0.04, 0.3], "alpha_stable": [0.2], "alpha_transition": [0.75]}
     assert S.tracker_grid(spark, base).count() == 2
     assert S.tracker_grid(spark, base, sample=1).count() == 1
+
+
+def test_selection_lock_counts_outer_rows(spark):
+    choices = spark.createDataFrame([(1, "a"), (2, "b")], "outer_group int, candidate string")
+    dev = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (2, 2)], "outer_group int, group_id int")
+    got = {r.outer_group: r for r in O.selection_lock(choices, dev).collect()}
+    assert (got[1].outer_rows_used, got[2].outer_rows_used) == (0, 1)
+    assert got[1].lock_sha256 != got[2].lock_sha256 and len(got[1].lock_sha256) == 64
+    again = O.selection_lock(choices, dev).where("outer_group = 1").first()
+    assert again.lock_sha256 == got[1].lock_sha256
