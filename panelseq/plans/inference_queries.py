@@ -224,7 +224,15 @@ def fold_roles(spark, sf):
     return SP.fold_roles(_folds(spark, sf), K)
 
 
-@query("balanced_group_folds")
+def _add(values: str, step: str) -> str:
+    """The list with ``step`` added at the lightest fold."""
+    return f"list_transform({values}, lambda x, j: x + CASE WHEN j = list_position(l, list_min(l)) THEN {step} ELSE 0 END)"
+
+
+@query("balanced_group_folds", f"""WITH RECURSIVE s AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY c DESC) AS i FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey)),
+g AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS l, [0, 0, 0, 0, 0]::BIGINT[] AS k
+  UNION ALL SELECT s.i, {_add('l', 'c')}, {_add('k', '1')} FROM g JOIN s ON s.i = g.i + 1)
+SELECT unnest(range({K}))::INTEGER AS fold, unnest(l)::BIGINT AS rows, unnest(k)::BIGINT AS groups FROM (SELECT l, k FROM g ORDER BY i DESC LIMIT 1)""")
 def balanced_group_folds(spark, sf):
     o = P.table(spark, sf, "orders").select(F.col("o_custkey").alias(GROUP))
     d = SP.balanced_group_folds(o, K)
