@@ -90,27 +90,6 @@ def dense_index(
     )
 
 
-def dense_rank_id(df: DataFrame, order: Sequence[str], name: str, parts: int = 256) -> DataFrame:
-    """Global 0-based position over all rows without one global sort task.
-
-    Rows are spread over hash buckets of the ordering key; ids are dense and
-    repeatable but follow (bucket, order), not the global order.
-    """
-    bucket = F.pmod(F.hash(*order), F.lit(parts))
-    tagged = df.withColumn("_b", bucket)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    )
-    return (
-        tagged.withColumn("_pos", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-        .join(F.broadcast(offsets), "_b")
-        .withColumn(name, (F.col("_pos") + F.col("_offset") - 1).cast("long"))
-        .drop("_b", "_pos", "_offset")
-    )
-
-
 def longest(panel: DataFrame, t: str = TIME) -> int:
     """Largest number of rows a sequence can have, read as one aggregate."""
     top = panel.agg(F.max(t)).first()[0]

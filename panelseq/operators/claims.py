@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from panelseq import EPS, GROUP
 from panelseq.functions import expr as X
 from panelseq.operators import blocks as B
-from panelseq.operators.select import with_totals
 
 MARKS = (X.PLUS, X.MINUS, X.ZERO)
-MARK_NAMES = {X.PLUS: "positive", X.MINUS: "negative", X.ZERO: "zero"}
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "quantity", value: str = "value") -> DataFrame:

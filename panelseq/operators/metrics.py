@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
+from panelseq import GROUP, SEED, SEQUENCE, TIME
 from panelseq.operators import blocks as B
 from panelseq.operators.updaters import affine_scan
 from panelseq.session import cut

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from panelseq import GROUP, RECORDING, SEED, TIME
 from panelseq.operators import claims as C
 from panelseq.operators import infer as I
-from panelseq.operators import metrics as M
 from panelseq.operators import oof as O
 from panelseq.operators import splits as SP
 from panelseq.plans import panels as P

@@ -195,7 +195,7 @@ def selection_lock(spark, sf):
 
 # ------------------------------------------------------------------ candidates
 EMAS = (0.05, 0.2, 0.4, 0.7, 1.0)
-KALMANS = ((0.011, 0.1), (0.001, 0.1), (0.01, 0.01), (0.01, 0.1), (0.012, 0.1))
+KALMANS = ((0.0103, 0.1), (0.001, 0.1), (0.01, 0.01), (0.01, 0.1), (0.0097, 0.1))
 EMA_IDS = [f"ema_{int(a * 100):03d}" for a in EMAS]
 KALMAN_IDS = [f"kalman_{i}" for i in range(len(KALMANS))]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
+from panelseq import GROUP, RECORDING, SEQUENCE, TIME
 from panelseq.operators import claims as C
 from panelseq.operators import infer as I
 from panelseq.operators import metrics as M
