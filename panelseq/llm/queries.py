@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelseq.llm import chat, shards, simhash
+from panelseq.llm import chat, decontam, embed_join, licenses, quality, sentence_spans, shards, simhash
 from panelseq.llm.common import documents
 
 QUERIES: dict = {}
@@ -44,7 +44,9 @@ FROM joined
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], given.schema)
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(planted).alias("text"))
     out = chat.format_chats(given.union(more))
     turns = chat.read_turns(F.col("formatted"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -64,3 +66,94 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(documents(spark, sf_dir), 40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""
+
+
+@query("op10_embedding_join", EMBEDDING_SQL)
+def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+
+
+@query("op1_decontaminate")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op7_importance_resample")
+def op7_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+LICENSE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, range(1, len(w) + 1) AS i FROM w),
+f AS (
+  SELECT doc_id, w, s,
+    list_filter(i, lambda k: w[k] = 'cc' AND k < len(w) AND w[k + 1] = 'by') AS cc,
+    list_filter(i, lambda k: w[k] = 'general' AND k + 1 < len(w) AND w[k + 1] = 'public' AND w[k + 2] = 'license') AS gpl,
+    list_filter(i, lambda k: w[k] = 'all' AND k + 1 < len(w) AND w[k + 1] = 'rights' AND w[k + 2] = 'reserved') AS res
+  FROM p),
+l AS (
+  SELECT doc_id, w, list_concat(list_concat(cc, gpl), res) AS places,
+    list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END,
+      CASE WHEN len(res) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base,
+    list_filter([
+      CASE WHEN contains(s, ' licensed under the apache license version 2 ') THEN 'apache-2.0-notice' END,
+      CASE WHEN regexp_matches(s, ' released under (the terms of )?the mit license ') THEN 'mit-notice' END,
+      CASE WHEN regexp_matches(s, ' licensed under (the terms of )?the gnu (lesser )?general public license ') THEN 'gpl-notice' END,
+      CASE WHEN regexp_matches(s, ' licensed under (a )?cc by (nc )?(sa )?[^ ]+ ') THEN 'cc-notice' END,
+      CASE WHEN regexp_matches(s, ' copyright (c )?([^ ]+ ){1,8}all rights reserved ') THEN 'copyright-notice' END
+    ], lambda x: x IS NOT NULL) AS more
+  FROM f)
+SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_concat(base, more)), ','), '') AS labels,
+  CASE WHEN len(more) > 0 THEN 1.0::DOUBLE WHEN len(base) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM l
+"""
+
+
+@query("op9_license_scan", LICENSE_SQL)
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir)).drop("places")
+
+
+SENTENCE_SQL = r"""
+WITH s AS (
+  SELECT doc_id, list_filter(list_transform(string_split(
+    regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\x0B\x0C]', '\1' || chr(10), 'g'), chr(10)),
+    lambda x: regexp_replace(x, '^[ \t\r\x0B\x0C]+|[ \t\r\x0B\x0C]+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+spans AS (
+  SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS run
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM s WHERE len(l) >= 3)),
+again AS (SELECT doc_id, i FROM spans QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM again, (SELECT unnest([0, 1, 2]) AS d)),
+per AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
+SELECT s.doc_id, len(l) AS n_sentences, coalesce(len(g), 0) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda k: g IS NULL OR NOT list_contains(g, k)), lambda k: l[k]), chr(10)), '')) AS kept_sha256
+FROM s LEFT JOIN per USING (doc_id)
+"""
+
+
+@query("op3_sentence_spans", SENTENCE_SQL)
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.sentence_dedup(documents(spark, sf_dir)).drop("text")
