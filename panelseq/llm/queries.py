@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelseq.llm import chat, decontam, embed_join, licenses, quality, sentence_spans, shards, simhash
+from panelseq.llm import chat, decontam, embed_join, licenses, pieces, quality, sentence_spans, shards, simhash
 from panelseq.llm.common import documents
 
 QUERIES: dict = {}
@@ -157,3 +157,8 @@ FROM s LEFT JOIN per USING (doc_id)
 @query("op3_sentence_spans", SENTENCE_SQL)
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.sentence_dedup(documents(spark, sf_dir)).drop("text")
+
+
+@query("op5_piece_nbest")
+def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir))
