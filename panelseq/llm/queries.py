@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelseq.llm import chat, decontam, embed_join, licenses, pieces, quality, sentence_spans, shards, simhash
+from panelseq.llm import chat, decontam, embed_join, licenses, pieces, quality, sentence_spans, shards, simhash, suffix_dedup
 from panelseq.llm.common import documents
 
 QUERIES: dict = {}
@@ -162,3 +162,8 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_piece_nbest")
 def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
