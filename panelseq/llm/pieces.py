@@ -26,6 +26,7 @@ from panelseq.session import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units that a task remembers; beyond it starts anew.
 CACHE_UNITS = 250_000
+#: What a character outside the vocabulary scores below the worst piece of one character.
 UNKNOWN_PENALTY = 10.0
 CHUNK_BYTES = 1 << 20
 TABLE_BITS = 20
@@ -47,7 +48,7 @@ class Vocabulary:
             elif not (m.is_unknown(i) or m.is_control(i) or m.is_unused(i)):
                 piece = m.id_to_piece(i).replace("▁", " ")
                 self.ids[piece], self.raw[i] = (i, m.get_score(i)), piece.encode()
-        self.unknown = min(s for _, s in self.ids.values()) - UNKNOWN_PENALTY
+        self.unknown = min(s for p, (_, s) in self.ids.items() if len(p) == 1) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
         self.pattern = self._pattern()
         self._table()
