@@ -10,7 +10,8 @@ Every byte under a string of ``WINDOW`` bytes that also starts in a document wit
    has its suffix order and transform, and the two are merged by refining the interleave once for each
    symbol of depth: the order after k rounds is that of the first k symbols. The round in which a boundary appears
    gives the common prefix of two neighbours, and what is not divided after WINDOW rounds is a repeated interval.
-3. Taking out. Covered windows come back to their documents by id, and their bytes go.
+3. Taking out. Covered windows come back to their documents by id, and their bytes go. Before a shuffle of texts a bit
+   table of fixed size leaves out most documents that nothing was found for; once it is full, they travel too.
 
 An anchor with over HOT_FRAGMENTS different fragments is not gathered: its windows are dealt out one by one
 by their own hash instead.
@@ -22,15 +23,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from panelseq.llm.common import POWERS, U, mix, narrow, prefix_hash, range_hash, row_offsets, safe_text, shuffle_partitions, slices, text_bytes
 from panelseq.session import cut, ship
 
 WINDOW, GRAM = 50, 20
-#: Text bytes that one task packs together; bytes of packed fragments in a bucket; bytes of one merge.
-UNIT_BYTES, BUCKET_BYTES, BATCH_BYTES = 8 << 20, 16 << 20, 1 << 19
+#: A common window reaches WINDOW - GRAM bytes beyond its anchor on both sides together. In steps of SIDE_STEP that is
+#: at least SIDES, for what is lost to the steps.
+SIDE_STEP = 5
+SIDES = -(-(WINDOW - GRAM - 2 * (SIDE_STEP - 1)) // SIDE_STEP) * SIDE_STEP
+#: Text bytes that a task works on at a time.
+SLICE_BYTES = 1 << 19
+#: Text bytes that one task packs together; text bytes whose fragments make a bucket; fragments of one merge.
+UNIT_BYTES, BUCKET_BYTES, BATCH_ROWS = 4 << 20, 8 << 20, 1 << 13
 HOT_FRAGMENTS = 4096
 #: Different fragments of an anchor in one unit from which they are spread over all buckets.
 SPREAD_FRAGMENTS = 64
@@ -39,14 +48,16 @@ DUP_SHIFT = 28
 END = 255
 LAST_ID = 2**63 - 1
 COVERED, NEEDED, HOT = 0, 1, 2
+#: Bits, as a power of two, of the table of ids that lets texts stay where they are: eight megabytes.
+ID_BITS = 26
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray):
-    """First and last window, row, anchor hash and content hash of each fragment, in order."""
+    """First and last window, row, anchor hash, content hash and anchor place of each fragment, in order."""
     n, w = len(buf), WINDOW - GRAM + 1
     if n < WINDOW:
         e = np.zeros(0, np.int64)
-        return e, e, e, e.astype(U), e.astype(U)
+        return e, e, e, e.astype(U), e.astype(U), e
     prefix = prefix_hash(buf)
     _, down = POWERS.upto(n + 1)
     h = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
@@ -69,7 +80,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray):
     new[1:] = (q[1:] != q[:-1]) | (p[1:] != p[:-1] + 1)
     first = np.flatnonzero(new)
     lo, hi = p[first], p[np.append(first[1:], len(p)) - 1]
-    return lo, hi, np.searchsorted(offs, lo, "right") - 1, h[q[first]], range_hash(prefix, lo, hi + WINDOW)
+    return lo, hi, np.searchsorted(offs, lo, "right") - 1, h[q[first]], range_hash(prefix, lo, hi + WINDOW), q[first]
 
 
 def _low_bytes(x: np.ndarray, width: int) -> bytes:
@@ -168,9 +179,9 @@ def _deal(bits: int, most: int):
     def run(batches):
         unit, size = [], 0
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SLICE_BYTES):
                 buf, offs = text_bytes(part.column("text"))
-                lo, _, row, h, f = anchors(buf, offs)
+                lo, _, row, h, f, _ = anchors(buf, offs)
                 if not len(lo):
                     continue
                 k = np.arange(len(lo)) - row_offsets(row, part.num_rows)[row]
@@ -230,26 +241,70 @@ def _settle(bits: int, most: int):
     return run
 
 
+def _slot(c: str = "doc") -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS)).cast("int").alias("slot")
+
+
+def _id_table(ids: DataFrame) -> np.ndarray:
+    """A bit for each id's slot: of fixed size, whatever the number of ids."""
+    words = ids.select(_slot()).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
+    table = np.zeros(1 << (ID_BITS - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table
+
+
+def _has_slot(batch: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
+    slot = batch.column("slot").to_numpy()
+    return (table[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def _packed_texts(shared):
+    """Rows whose id may be in the table, with the text compressed for the shuffle; the rest do not travel."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            names = [c for c in b.schema.names if c not in ("slot", "text")]
+            for part in slices(b, "text", 4 * SLICE_BYTES):
+                part = part.filter(pa.array(_has_slot(part, shared.value)))
+                z = [press.compress(x) for x in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(z, pa.binary())], [*names, "z"])
+
+    return run
+
+
+def _opened(batches, limit: int = SLICE_BYTES // 3):
+    """Slices of bounded size with the text in place of its compressed form."""
+    press = zstandard.ZstdDecompressor()
+    for b in batches:
+        names = [c for c in b.schema.names if c != "z"]
+        for part in slices(b, "z", limit):
+            text = pa.array([press.decompress(x) for x in part.column("z").to_pylist()], pa.binary())
+            whole = pa.RecordBatch.from_arrays([*[part.column(c) for c in names], text], [*names, "text"])
+            yield from slices(whole, "text", SLICE_BYTES)
+
+
 def _chosen(part: pa.RecordBatch, column: str):
-    """Bytes, window ranges and row of the fragments that ``column`` lists for each row."""
+    """Bytes, window ranges, anchors and row of the fragments that ``column`` lists for each row."""
     buf, offs = text_bytes(part.column("text"))
-    lo, hi, row, h, _ = anchors(buf, offs)
+    lo, hi, row, h, _, q = anchors(buf, offs)
     own = row_offsets(row, part.num_rows)
     lists = part.column(column)
     r = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy())
     k = lists.flatten().to_numpy()
-    return buf, lo, hi, h, own[r] + k, r, k
+    return buf, lo, hi, h, q, own[r] + k, r, k
 
 
 def _fragments(batches):
-    for b in batches:
-        for part in slices(b, "text"):
-            buf, lo, hi, h, at, r, k = _chosen(part, "need")
-            data = buf.tobytes()
-            frags = [data[a: z + WINDOW] for a, z in zip(lo[at].tolist(), hi[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].view(np.int64)), pa.array(frags, pa.binary()), part.column("doc").take(pa.array(r)), pa.array(_place(part, r, k))],
-                ["h", "fragment", "doc", "k"])
+    for part in _opened(batches):
+        buf, lo, hi, h, q, at, r, k = _chosen(part, "need")
+        data = buf.tobytes()
+        frags = [data[a: z + WINDOW] for a, z in zip(lo[at].tolist(), hi[at].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[at].view(np.int64)), pa.array((q[at] - lo[at]).astype(np.int8)), pa.array(frags, pa.binary()),
+             part.column("doc").take(pa.array(r)), pa.array(_place(part, r, k))],
+            ["h", "anchor", "fragment", "doc", "k"])
 
 
 def _place(part, r, k):
@@ -258,18 +313,17 @@ def _place(part, r, k):
 
 def _windows(batches):
     """Two hashes of each window of the fragments of hot anchors."""
-    for b in batches:
-        for part in slices(b, "text"):
-            buf, lo, hi, _, at, r, k = _chosen(part, "hot")
-            n = hi[at] - lo[at] + 1
-            j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            p = np.repeat(lo[at], n) + j
-            one, two = prefix_hash(buf), prefix_hash(buf ^ np.uint8(0x5A))
-            r = np.repeat(r, n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range_hash(one, p, p + WINDOW).view(np.int64)), pa.array(range_hash(two, p, p + WINDOW).view(np.int64)),
-                 part.column("doc").take(pa.array(r)), pa.array(_place(part, r, np.repeat(k, n))), pa.array(j.astype(np.int64))],
-                ["w1", "w2", "doc", "k", "j"])
+    for part in _opened(batches):
+        buf, lo, hi, _, _, at, r, k = _chosen(part, "hot")
+        n = hi[at] - lo[at] + 1
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        p = np.repeat(lo[at], n) + j
+        one, two = prefix_hash(buf), prefix_hash(buf ^ np.uint8(0x5A))
+        r = np.repeat(r, n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range_hash(one, p, p + WINDOW).view(np.int64)), pa.array(range_hash(two, p, p + WINDOW).view(np.int64)),
+             part.column("doc").take(pa.array(r)), pa.array(_place(part, r, np.repeat(k, n))), pa.array(j.astype(np.int64))],
+            ["w1", "w2", "doc", "k", "j"])
 
 
 def shard_order(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
@@ -302,18 +356,19 @@ def merge_transforms(first: np.ndarray, second: np.ndarray, depth: int = WINDOW)
     n, bwt = len(first) + len(second), np.concatenate([first, second])
     side = np.zeros(n, bool)
     side[len(first):] = True
-    block, lcp = np.zeros(n, np.int64), np.full(n, depth, np.int16)
-    lcp[0] = 0
-    base = np.arange(n)
-    for k in range(depth):
-        ones = np.cumsum(side)
+    block, parted, new = np.zeros(n, np.int32), np.zeros(n, np.int16), np.zeros(n, bool)
+    base = np.arange(n, dtype=np.int32)
+    for _ in range(depth):
+        ones = np.cumsum(side, dtype=np.int32)
         symbol = bwt[np.where(side, len(first) - 1 + ones, base - ones)]
         order = np.argsort(symbol, kind="stable")
         side, symbol, block = side[order], symbol[order], block[order]
-        new = np.zeros(n, bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        lcp[new & (lcp == depth)] = k
-        block = np.cumsum(new)
+        # A boundary stays once it is there, so its rounds give the common prefix.
+        parted += new
+        block = np.cumsum(new, dtype=np.int32)
+    lcp = depth - parted
+    lcp[:1] = 0
     return side, lcp
 
 
@@ -352,34 +407,59 @@ def _covered(fragments, doc, k):
     return pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(k[found]), pa.array(mask[found])], ["doc", "k", "mask"])
 
 
+def _shared(h: np.ndarray, anchor: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which fragments have enough beside their anchor in common with another one to share a window."""
+    prefix, q = prefix_hash(buf), offs[:-1] + anchor
+    right = offs[1:] - q - GRAM
+    keep = np.zeros(len(h), bool)
+    for left in range(0, SIDES + 1, SIDE_STEP):
+        fits = np.flatnonzero((anchor >= left) & (right >= SIDES - left))
+        p = q[fits]
+        around = range_hash(prefix, p - left, p + GRAM + SIDES - left)
+        _, at, count = np.unique(around, return_inverse=True, return_counts=True)
+        keep[fits] |= count[at] > 1
+    return keep
+
+
 def _merge(batches):
-    """Rows come by anchor; whole anchors are gathered to batches of about BATCH_BYTES."""
-    fragments, docs, ks, size, last = [], [], [], 0, None
+    """Rows come by anchor; whole anchors are gathered to batches of about BATCH_ROWS.
+
+    Fragments that cannot share a window with another one of the batch stay out.
+    """
+    open_rows: list[pa.RecordBatch] = []
+    size = 0
+
+    def work(rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        buf, offs = text_bytes(t.column("fragment").chunk(0))
+        t = t.filter(pa.array(_shared(t.column("h").to_numpy(), t.column("anchor").to_numpy(), buf, offs)))
+        if t.num_rows:
+            yield _covered(t.column("fragment").to_pylist(), t.column("doc").to_numpy(), t.column("k").to_numpy())
+
     for b in batches:
-        h, own, doc, k = b.column("h").to_numpy(), b.column("fragment").to_pylist(), b.column("doc").to_numpy(), b.column("k").to_numpy()
-        edge = np.flatnonzero(_groups(h)) if len(h) else np.zeros(0, np.int64)
-        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=True):
-            if h[lo] != last and size >= BATCH_BYTES:
-                yield _covered(fragments, np.concatenate(docs), np.concatenate(ks))
-                fragments, docs, ks, size = [], [], [], 0
-            last = h[lo]
-            fragments += own[lo:hi]
-            docs.append(doc[lo:hi])
-            ks.append(k[lo:hi])
-            size += sum(map(len, own[lo:hi]))
-    if fragments:
-        yield _covered(fragments, np.concatenate(docs), np.concatenate(ks))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, dup, text, sha, n_bytes); ``dup`` tells different texts of one id apart."""
-    rows = narrow(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), safe_text().alias("text"))
-    rows = rows.withColumn("sha", F.sha2(F.encode("text", "UTF-8"), 256)).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    texts = rows.select("doc", "sha").distinct()
-    if texts.groupBy("doc").count().where("count > 1").limit(1).count() == 0:
-        return rows.withColumn("dup", F.lit(0))
-    names = cut(texts.withColumn("dup", F.row_number().over(Window.partitionBy("doc").orderBy("sha")) - 1))
-    return rows.join(names, ["doc", "sha"])
+        h = b.column("h").to_numpy()
+        lo = 0
+        for at in np.flatnonzero(_groups(h)).tolist() if len(h) else []:
+            if at == 0 and open_rows and open_rows[-1].column("h")[-1].as_py() == h[0]:
+                continue
+            part = b.slice(lo, at - lo)
+            if size + at - lo >= BATCH_ROWS and (open_rows or at > lo):
+                yield from work([*open_rows, part])
+                open_rows, size, lo = [], 0, at
+        if len(h) > lo:
+            open_rows.append(b.slice(lo))
+            size += len(h) - lo
+    if open_rows:
+        yield from work(open_rows)
+
+
+def _ids(docs: DataFrame) -> DataFrame:
+    """All columns as c0, c1, ... with doc, text, sha and n_bytes beside them."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    rows = rows.withColumn("doc", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(LAST_ID)))
+    text = safe_text(names["text"])
+    return rows.withColumn("sha", F.sha2(F.encode(text, "UTF-8"), 256)).withColumn("n_bytes", F.octet_length(text).cast("long"))
 
 
 class Repeats:
@@ -388,10 +468,20 @@ class Repeats:
     def __init__(self, docs: DataFrame, hot_fragments: int = HOT_FRAGMENTS, spread_fragments: int = SPREAD_FRAGMENTS) -> None:
         spark = docs.sparkSession
         ship(spark)
-        self.rows = _keyed(docs)
+        self.given = docs
+        pair = narrow(docs, "doc_id", "text")
+        rows = _ids(pair)
         n = shuffle_partitions(spark)
-        firsts = self.rows.groupBy("sha").agg(F.min("doc").alias("first"))
-        self.sizes = cut(self.rows.select("doc_id", "doc", "dup", "sha", "n_bytes").join(firsts, "sha").withColumn("copy", F.col("doc") > F.col("first")).drop("first"))
+        narrow_rows = cut(rows.select(F.col("c0").alias("doc_id"), "doc", "sha", "n_bytes"))
+        # ``dup`` tells different texts of one id apart; it is 0 everywhere where ids have one text each.
+        texts = narrow_rows.select("doc", "sha").distinct()
+        self.names = None
+        if texts.groupBy("doc").count().where("count > 1").limit(1).count():
+            self.names = cut(texts.withColumn("dup", F.row_number().over(Window.partitionBy("doc").orderBy("sha")) - 1))
+        narrow_rows = self._named(narrow_rows)
+        self.rows = self._named(rows).select(F.col("c0").alias("doc_id"), "doc", "dup", safe_text("c1").alias("text"))
+        firsts = narrow_rows.groupBy("sha").agg(F.min("doc").alias("first"))
+        self.sizes = cut(narrow_rows.join(firsts, "sha").withColumn("copy", F.col("doc") > F.col("first")).drop("first"))
         total = self.sizes.agg(F.sum("n_bytes")).first()[0] or 0
         bits = min(16, max(4, (max(total // BUCKET_BYTES, 4 * n) - 1).bit_length()))
         text = self.rows.select("doc", "dup", "text")
@@ -403,11 +493,11 @@ class Repeats:
         ks = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("k").bitwiseAND((1 << DUP_SHIFT) - 1).cast("int")))
         copies = self.sizes.where("copy").select("doc", "dup").distinct()
         marks = cut(found.groupBy("doc", own).agg(ks(COVERED).alias("covered"), ks(NEEDED).alias("need"), ks(HOT).alias("hot")).join(copies, ["doc", "dup"], "left_anti"))
-        asked = text.join(marks.where("size(need) > 0").select("doc", "dup", "need"), ["doc", "dup"])
-        fragments = asked.mapInArrow(_fragments, "h bigint, fragment binary, doc bigint, k bigint")
+        asked = self._texts_of(text, marks.where("size(need) > 0").select("doc", "dup", "need"))
+        fragments = asked.mapInArrow(_fragments, "h bigint, anchor tinyint, fragment binary, doc bigint, k bigint")
         masks = fragments.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_merge, "doc bigint, k bigint, mask bigint")
         if marks.where("size(hot) > 0").limit(1).count():
-            asked = text.join(marks.where("size(hot) > 0").select("doc", "dup", "hot"), ["doc", "dup"])
+            asked = self._texts_of(text, marks.where("size(hot) > 0").select("doc", "dup", "hot"))
             windows = asked.mapInArrow(_windows, "w1 bigint, w2 bigint, doc bigint, k bigint, j bigint")
             least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
             masks = masks.union(windows.join(least, ["w1", "w2"]).where("doc > least").groupBy("doc", "k").agg(
@@ -416,6 +506,16 @@ class Repeats:
             F.col("k").bitwiseAND((1 << DUP_SHIFT) - 1).cast("int").alias("k"), "mask")).alias("masks"))
         self.edits = cut(marks.where("size(covered) > 0").select("doc", "dup", "covered").join(masks, ["doc", "dup"], "full"))
 
+    def _named(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("dup", F.lit(0)) if self.names is None else rows.join(self.names, ["doc", "sha"])
+
+    def _texts_of(self, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows joined to ``wanted`` by id, with compressed texts; most rows without a partner are left out before the shuffle."""
+        shared = rows.sparkSession.sparkContext.broadcast(_id_table(wanted))
+        fields = [f for f in rows.schema.fields if f.name != "text"]
+        packed = rows.select("*", _slot()).mapInArrow(_packed_texts(shared), StructType([*fields, StructField("z", BinaryType())]))
+        return packed.join(wanted, ["doc", "dup"])
+
     def removals(self) -> DataFrame:
         """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -425,23 +525,39 @@ class Repeats:
             "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.lit(0)).alias("n_removed"),
             gone.cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"))
         kind = self.rows.schema["doc_id"].dataType.simpleString()
-        cut_out = self.rows.select("doc_id", "doc", "dup", "text").join(self.edits, ["doc", "dup"]).mapInArrow(
+        cut_out = self._texts_of(self.rows.select("doc_id", "doc", "dup", "text"), self.edits).mapInArrow(
             _digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
         return rest.select(*names).union(cut_out.select(*names))
 
-    def texts(self) -> DataFrame:
-        """(doc_id, sha, kept): the texts that change and what stays of them, one row for each id and text."""
-        gone = self.sizes.where(F.col("copy") & (F.col("n_bytes") >= WINDOW)).select("doc_id", "sha", F.lit("").alias("kept")).distinct()
-        kind = self.rows.schema["doc_id"].dataType.simpleString()
-        cut_out = self.rows.select("doc_id", "sha", "doc", "dup", "text").dropDuplicates(["doc", "dup"]).join(self.edits, ["doc", "dup"]).mapInArrow(
-            _kept_text, f"doc_id {kind}, sha string, kept string")
-        return gone.union(cut_out)
+    def rewritten(self) -> DataFrame:
+        """The given rows with what stays of their texts, by one shuffle of the texts."""
+        docs = self.given
+        text, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+        whole = self.sizes.where(F.col("copy") & (F.col("n_bytes") >= WINDOW)).select("doc", "dup").distinct()
+        changes = self.edits.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+        columns = [f"c{i}" for i in range(len(docs.columns))]
+        rows = self._named(_ids(docs)).select(*columns, "doc", "dup")
+        shared = docs.sparkSession.sparkContext.broadcast(_id_table(changes))
+        pick = lambda maybe: rows.select("*", _slot()).mapInArrow(_by_slot(shared, maybe), rows.schema)
+        joined = pick(True).join(changes, ["doc", "dup"], "left").select(*columns, "covered", "masks", "whole")
+        schema = StructType([StructField(f.name, f.dataType) for f in docs.schema])
+        same = pick(False).select(*[F.col(n).alias(f.name) for n, f in zip(columns, docs.schema, strict=True)])
+        return joined.mapInArrow(_rewrite(text, count), schema).union(same)
+
+
+def _by_slot(shared, maybe: bool):
+    def run(batches):
+        for b in batches:
+            b = b.filter(pa.array(_has_slot(b, shared.value) == maybe))
+            yield b.select([c for c in b.schema.names if c != "slot"])
+
+    return run
 
 
-def _removed(part: pa.RecordBatch):
+def _removed(part: pa.RecordBatch, text: str = "text"):
     """Bytes, row offsets and which bytes go."""
-    buf, offs = text_bytes(part.column("text"))
-    lo, hi, row, _, _ = anchors(buf, offs)
+    buf, offs = text_bytes(part.column(text))
+    lo, hi, row, *_ = anchors(buf, offs)
     own = row_offsets(row, part.num_rows)
     step = np.zeros(len(buf) + 1, np.int64)
     whole = part.column("covered")
@@ -461,28 +577,45 @@ def _removed(part: pa.RecordBatch):
 
 
 def _digest(batches):
-    for b in batches:
-        for part in slices(b, "text"):
-            buf, offs, gone = _removed(part)
-            total = np.concatenate([[0], np.cumsum(gone)])
-            starts = gone.copy()
-            starts[1:] &= ~gone[:-1]
-            head = offs[:-1][offs[:-1] < offs[1:]]
-            starts[head] = gone[head]
-            spans = np.concatenate([[0], np.cumsum(starts)])
-            digests = [hashlib.sha256(buf[a:z][~gone[a:z]].tobytes()).hexdigest() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(offs)), pa.array(total[offs[1:]] - total[offs[:-1]]),
-                 pa.array(spans[offs[1:]] - spans[offs[:-1]]), pa.array(digests, pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _kept_text(batches):
-    for b in batches:
-        for part in slices(b, "text"):
-            buf, offs, gone = _removed(part)
-            kept = [buf[a:z][~gone[a:z]].tobytes().decode("utf-8", "ignore") for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), pa.array(kept, pa.string())], ["doc_id", "sha", "kept"])
+    for part in _opened(batches):
+        buf, offs, gone = _removed(part)
+        total = np.concatenate([[0], np.cumsum(gone)])
+        starts = gone.copy()
+        starts[1:] &= ~gone[:-1]
+        head = offs[:-1][offs[:-1] < offs[1:]]
+        starts[head] = gone[head]
+        spans = np.concatenate([[0], np.cumsum(starts)])
+        digests = [hashlib.sha256(buf[a:z][~gone[a:z]].tobytes()).hexdigest() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(np.diff(offs)), pa.array(total[offs[1:]] - total[offs[:-1]]),
+             pa.array(spans[offs[1:]] - spans[offs[:-1]]), pa.array(digests, pa.string())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _rewrite(text: int, count: int | None):
+    def run(batches):
+        for b in batches:
+            for part in slices(b, f"c{text}", SLICE_BYTES):
+                buf, offs, gone = _removed(part, f"c{text}")
+                whole, columns = part.column("whole").to_pylist(), part.columns[: len(part.columns) - 3]
+                old, kept, sizes = columns[text], [], []
+                changed = np.add.reduceat(np.append(gone, False), offs[:-1]) > 0 if len(buf) else np.zeros(part.num_rows, bool)
+                changed &= np.diff(offs) > 0
+                for k in range(part.num_rows):
+                    if whole[k]:
+                        kept.append("")
+                    elif changed[k]:
+                        kept.append(buf[offs[k]: offs[k + 1]][~gone[offs[k]: offs[k + 1]]].tobytes().decode("utf-8", "ignore"))
+                    else:
+                        kept.append(old[k].as_py())
+                columns[text] = pa.array(kept, old.type)
+                if count is not None:
+                    known = columns[count].to_pylist()
+                    sizes = [len(kept[k]) if whole[k] or changed[k] else known[k] for k in range(part.num_rows)]
+                    columns[count] = pa.array(sizes, columns[count].type)
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    return run
 
 
 def repeated_bytes(docs: DataFrame, hot_fragments: int = HOT_FRAGMENTS, spread_fragments: int = SPREAD_FRAGMENTS) -> DataFrame:
@@ -496,15 +629,10 @@ def repeated_bytes(docs: DataFrame, hot_fragments: int = HOT_FRAGMENTS, spread_f
     return Repeats(docs, hot_fragments, spread_fragments).removals()
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
-    """The rows of ``docs`` with what stays of each text and its new length; a character that loses a byte goes whole.
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with what stays of each text and, if there is a column n_chars, its new length.
 
-    Rows stay even if nothing is left of their text; null texts stay null.
+    A character that loses a byte goes whole. Rows stay even if nothing is left of their text; null texts stay
+    null, and rows that lose nothing stay as they are.
     """
-    kept = Repeats(docs).texts()
-    sha = F.sha2(F.encode(safe_text(text_col), "UTF-8"), 256)
-    joined = docs.withColumn("_sha", sha).join(kept.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_known"), F.col("kept").alias("_kept")),
-                                               F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_known")), "left")
-    text = F.coalesce("_kept", F.col(text_col))
-    out = {text_col: text} | ({count_col: F.when(F.col("_kept").isNull(), F.col(count_col)).otherwise(F.char_length("_kept")).cast(docs.schema[count_col].dataType)} if count_col in docs.columns else {})
-    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    return Repeats(docs).rewritten()
