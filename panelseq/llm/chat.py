@@ -68,15 +68,17 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     t = template or Template()
     if not any(c in t.open for c in "<#") or not any(c in t.close for c in "<#"):
         raise ValueError("the marks around a turn must hold an escaped character")
+    if "" in {t.start, *t.final, *t.transitions, *(n for row in t.transitions.values() for n in row.values())}:
+        raise ValueError("a state must have a name")
     rows = narrow(turns, "conv_id", "turn", "role", "text").select("conv_id", F.struct("turn", _text("role").alias("role"), _text("text").alias("text")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # The machine: its state and the number of turns it has accepted; a refused turn leads to a null state for good.
+    # The machine: its state and the number of turns it has accepted; a refused turn leads to the empty state for good.
     table = F.create_map(*[F.lit(x) for s, row in t.transitions.items() for r, n in row.items() for x in (f"{s}\x00{r}", n)])
     start = F.struct(F.lit(t.start).alias("state"), F.lit(0).alias("n"))
 
     def step(acc, turn):
-        to = F.try_element_at(table, F.concat(acc["state"], F.lit("\x00"), turn["role"]))
-        return F.struct(to.alias("state"), (acc["n"] + F.when(to.isNull(), 0).otherwise(1)).alias("n"))
+        to = F.coalesce(F.try_element_at(table, F.concat(acc["state"], F.lit("\x00"), turn["role"])), F.lit(""))
+        return F.struct(to.alias("state"), (acc["n"] + F.when(to == "", 0).otherwise(1)).alias("n"))
 
     chats = chats.withColumn("end", F.aggregate("turns", start, step))
     loss = [F.lit(r) for r in t.loss_roles]
@@ -87,8 +89,7 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     chats = chats.withColumn("segments", segments)
     return chats.select(
         "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments",
-        F.coalesce(F.col("end.state").isin(*t.final), F.lit(False)).alias("valid"),
-        F.when(F.col("end.state").isNull(), F.col("end.n")).alias("stopped_at"))
+        F.col("end.state").isin(*t.final).alias("valid"), F.when(F.col("end.state") == "", F.col("end.n")).alias("stopped_at"))
 
 
 def read_turns(formatted: Column, template: Template | None = None) -> Column:
