@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,10 @@ from panelseq.session import cut, ship
 
 RESAMPLES = 10_000
 METRIC_SEED, THETA_SEED, FAMILY_SEED = 20260830, 20260905, 20260728
-MAX_EXACT = 24
-
-
-BROADCAST_ROWS = 1_000_000
+#: Most groups for all sign patterns, and those of them in the sorted table.
+EXACT_GROUPS, TABLE_GROUPS = 44, 20
+#: Bytes of group values that may be broadcast to the draws.
+BROADCAST_BYTES = 16 << 20
 
 
 def group_index(df: DataFrame, group: str = GROUP, by: Sequence[str] = (), name: str = "idx") -> DataFrame:
@@ -32,7 +33,7 @@ def group_index(df: DataFrame, group: str = GROUP, by: Sequence[str] = (), name:
 def bootstrap_means(values: DataFrame, cols: Sequence[str], resamples: int = RESAMPLES, seed: int = THETA_SEED, group: str = GROUP) -> DataFrame:
     """(draw, mean of each column): every column shares the same keyed draws.
 
-    The values are one row per group and are written once. Up to a million rows
+    The values are one row per group and are written once. Up to BROADCAST_BYTES
     they are broadcast, so a task finishes its draws before the exchange; beyond
     that the draws join them by index.
     """
@@ -42,7 +43,7 @@ def bootstrap_means(values: DataFrame, cols: Sequence[str], resamples: int = RES
     draws = values.sparkSession.range(resamples).withColumnRenamed("id", "draw").select(
         "draw", F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("slot"))
     draws = draws.select("draw", X.draw_index(F.lit(n), seed, F.col("draw"), F.col("slot")).alias("idx"))
-    side = F.broadcast(vec) if n <= BROADCAST_ROWS else vec
+    side = F.broadcast(vec) if n * 8 * (len(cols) + 2) <= BROADCAST_BYTES else vec
     return draws.join(side, "idx").groupBy("draw").agg(*[F.avg(c).alias(c) for c in cols])
 
 
@@ -125,48 +126,92 @@ def bca_mean(values: DataFrame, cols: Sequence[str], resamples: int = RESAMPLES,
         F.when(F.col("p_low").isNull(), "DEGENERATE").otherwise("AVAILABLE").alias("status"))
 
 
-def sign_flip_exact(values: DataFrame, cols: Sequence[str], tolerance: float = 7.1e-15, sampled: int = 100_000, seed: int = FAMILY_SEED, group: str = GROUP) -> DataFrame:
-    """Two-sided sign-flip test of a zero mean, one row per column (comparison_id).
+def _half_sums(values: np.ndarray) -> np.ndarray:
+    """Signed sums of all 2^n patterns of the columns' values; bit i set flips value i."""
+    sums = np.zeros((1, values.shape[1]))
+    for v in values:
+        sums = np.concatenate([sums + v, sums - v])
+    return sums
+
+
+def _count_extreme(table: np.ndarray, first: np.ndarray, observed: np.ndarray, n: int, tolerance: float):
+    """For each pattern of the first half, how many of the second half make the mean extreme."""
+
+    def run(batches):
+        order = np.sort(table, axis=0)
+        least = (observed / n - tolerance) * n
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            total = np.broadcast_to(first[0], (len(ids), table.shape[1])).copy()
+            for i in range(1, len(first)):
+                total += np.where((ids >> (i - 1) & 1)[:, None] == 0, first[i], -first[i])
+            counts = [int((len(order) - np.searchsorted(order[:, c], least[c] - total[:, c], "left")
+                           + np.searchsorted(order[:, c], -least[c] - total[:, c], "right")).sum()) if least[c] > 0 else len(ids) * len(order)
+                      for c in range(table.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([counts], pa.list_(pa.int64())), pa.array([len(ids) * len(order)])], ["extreme", "total"])
+
+    return run
+
+
+def _flip_sums(cols: Sequence[str], draws: int, seed: int):
+    """Partial sums of every random pattern over a task's groups; a group's signs are keyed by its index."""
+
+    def run(batches):
+        sums = np.zeros((len(cols), draws))
+        for b in batches:
+            values = np.stack([b.column(c).to_numpy() for c in cols])
+            for k, idx in enumerate(b.column("idx").to_pylist()):
+                bits = np.random.Generator(np.random.Philox(key=[seed, idx])).bytes(-(-draws // 8))
+                up = np.unpackbits(np.frombuffer(bits, np.uint8), count=draws).astype(bool)
+                sums += np.where(up, values[:, k, None], -values[:, k, None])
+        for lo in range(0, draws, 10_000):
+            part = sums[:, lo: lo + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + part.shape[1])), *[pa.array(x) for x in part]], ["draw", *cols])
+
+    return run
+
+
+def sign_flip(
+    values: DataFrame, cols: Sequence[str], method: str = "exact", tolerance: float = 7.1e-15, sampled: int = 100_000,
+    seed: int = FAMILY_SEED, group: str = GROUP,
+) -> DataFrame:
+    """Two-sided sign-flip test of a zero mean, one row per column (comparison_id); ``method`` stands in the result.
 
-    Up to 24 groups all patterns count: a pattern and its mirror have the same
-    absolute mean, so half of them are enumerated, once for all columns. With more
-    groups, keyed random patterns are drawn and the observed one is added.
+    ``exact`` counts all patterns. A pattern and its mirror have the same absolute mean, so the first sign is
+    fixed; the other signs are cut into two halves, one of them a sorted table of at most 2^20 sums in which each
+    pattern of the other is looked up. It raises above EXACT_GROUPS groups. ``sampled`` draws ``sampled``
+    keyed patterns and adds the observed one; a task gives one sum for each pattern, whatever its groups.
     """
+    if method not in ("exact", "sampled"):
+        raise ValueError("method must be exact or sampled")
     cols = list(cols)
     spark = values.sparkSession
-    vec = group_index(values.select(group, *cols).na.drop(), group)
+    ship(spark)
+    vec = cut(group_index(values.select(group, *cols).na.drop(), group).select("idx", *[F.col(c).cast("double").alias(c) for c in cols]))
     n = vec.count()
     if n == 0:
         raise ValueError("no values")
-    if n <= MAX_EXACT:
-        rows = F.array_sort(F.collect_list(F.struct("idx", *cols)))
-        packed = vec.agg(rows.alias("_r")).select(F.lit(1).alias("_k"), *[F.col(f"_r.{c}").alias(f"_v_{c}") for c in cols])
-        ids = spark.range(2 ** (n - 1)).withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k")
-
-        def flipped(c: str) -> Column:
-            total = F.col(f"_v_{c}")[0]
-            for i in range(1, n):
-                v = F.col(f"_v_{c}")[i]
-                total = total + F.when(F.col("id").bitwiseAND(F.lit(1 << (i - 1))) == 0, v).otherwise(-v)
-            return total
-
-        observed = {c: F.abs(F.aggregate(f"_v_{c}", F.lit(0.0), lambda a, x: a + x)) for c in cols}
-        extreme = [(2 * F.count_if(F.abs(flipped(c)) / n >= observed[c] / n - tolerance)).alias(c) for c in cols]
-        out = ids.agg(*extreme, (2 * F.count(F.lit(1))).alias("total"))
+    if method == "exact":
+        if n > EXACT_GROUPS:
+            raise ValueError(f"{n} groups are too many for all patterns; ask for method='sampled'")
+        v = np.array([[r[c] for c in cols] for r in sorted(vec.collect(), key=lambda r: r["idx"])])
+        back = min(n // 2, TABLE_GROUPS)
+        table, first = _half_sums(v[n - back:]), v[: n - back]
+        parts = spark.range(2 ** (n - back - 1)).mapInArrow(
+            _count_extreme(table, first, np.abs(v.sum(0)), n, tolerance), "extreme array<bigint>, total bigint")
+        out = parts.agg(*[(2 * F.sum(F.col("extreme")[i])).alias(c) for i, c in enumerate(cols)], (2 * F.sum("total")).alias("total"))
     else:
-        flips = vec.repartition("idx").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(sampled - 1)))).withColumn(
-            "_up", X.draw_index(F.lit(2), seed, F.col("draw"), F.col("idx")) == 0)
-        per = flips.groupBy("draw").agg(
-            *[(F.abs(F.sum(F.when(F.col("_up"), F.col(c)).otherwise(-F.col(c)))) / n).alias(f"_m_{c}") for c in cols],
-            *[(F.abs(F.sum(c)) / n).alias(f"_o_{c}") for c in cols])
-        out = per.agg(
-            *[(1 + F.count_if(F.col(f"_m_{c}") >= F.col(f"_o_{c}") - tolerance)).alias(c) for c in cols],
+        fields = ", ".join(f"`{c}` double" for c in cols)
+        per = vec.repartition("idx").mapInArrow(_flip_sums(cols, sampled, seed), f"draw bigint, {fields}").groupBy("draw").agg(*[F.sum(c).alias(c) for c in cols])
+        observed = vec.agg(*[(F.abs(F.sum(c)) / n).alias(f"_o_{c}") for c in cols], F.lit(1).alias("_k"))
+        out = per.withColumn("_k", F.lit(1)).join(F.broadcast(observed), "_k").agg(
+            *[(1 + F.count_if(F.abs(F.col(c)) / n >= F.col(f"_o_{c}") - tolerance)).alias(c) for c in cols],
             (1 + F.count(F.lit(1))).alias("total"))
     long = out.select("total", F.inline(F.array(*[F.struct(F.lit(c).alias("comparison_id"), F.col(c).alias("extreme")) for c in cols])))
     means = vec.agg(*[F.avg(c).alias(c) for c in cols]).select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("comparison_id"), F.col(c).alias("mean_effect")) for c in cols])))
     return long.join(F.broadcast(means), "comparison_id").select(
-        "comparison_id", F.lit(n).alias("m"), "total", "extreme", (F.col("extreme") / F.col("total")).alias("p"), "mean_effect")
+        "comparison_id", F.lit(method).alias("method"), F.lit(n).alias("m"), "total", "extreme", (F.col("extreme") / F.col("total")).alias("p"), "mean_effect")
 
 
 def holm(pvals: DataFrame, by: Sequence[str] = (), p: str = "p", comparison: str = "comparison_id") -> DataFrame:

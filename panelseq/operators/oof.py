@@ -12,34 +12,125 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelseq import GROUP, SEED
+from panelseq import GROUP, SEED, TIME
 from panelseq.functions import expr as X
+from panelseq.operators import blocks as B
 from panelseq.operators.select import with_totals
 from panelseq.operators.splits import shuffled_rank
 from panelseq.session import ship
 
 
-def gram_terms(features: Sequence[str]) -> list[tuple[str, str]]:
-    names = ["_one", *features]
-    return [(a, b) for i, a in enumerate(names) for b in names[i:]]
+#: Rows of one group that one product reads, and bytes of sums a task holds before it passes them on.
+GRAM_ROWS, SUM_BYTES = 4096, 32 << 20
+
+
+def _list_column(values: np.ndarray) -> pa.ListArray:
+    """A matrix as one list for each row."""
+    n, p = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p), pa.array(values.ravel()))
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
+
+
+def sum_arrays(df: DataFrame, by: Sequence[str], cols: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Sums of array columns entry by entry (weighted), and the number of rows ``n``.
+
+    The plan does not depend on the arrays' length. A task adds up what it reads before the exchange and adds
+    the partial sums after it in key order, so it holds SUM_BYTES of sums at most, whatever the size of a key.
+    """
+    ship(df.sparkSession)
+    by, cols = list(by), list(cols)
+    src = df.select(*by, *cols, *([F.col(weight).cast("double").alias("_w")] if weight else []))
+    schema = T.StructType([*[df.schema[k] for k in by], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in cols], T.StructField("n", T.LongType())])
+
+    def out(held: dict, kinds: list):
+        keys = list(held)
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([k[i] for k in keys], kinds[i]) for i in range(len(by))],
+             *[_list_column(np.stack([held[k][0][j] for k in keys])) for j in range(len(cols))], pa.array([held[k][1] for k in keys], pa.int64())],
+            [*by, *cols, "n"])
+
+    def run(batches):
+        held: dict = {}
+        kinds: list = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kinds = [b.schema.field(k).type for k in by]
+            values = [_matrix(b.column(c), b.num_rows) for c in cols]
+            w = b.column("_w").to_numpy() if "_w" in b.schema.names else np.ones(b.num_rows)
+            count = b.column("n").to_numpy() if "n" in b.schema.names else np.ones(b.num_rows, np.int64)
+            for i, key in enumerate(zip(*[b.column(k).to_pylist() for k in by], strict=True)):
+                if key not in held:
+                    held[key] = [[np.zeros(v.shape[1]) for v in values], 0]
+                for total, v in zip(held[key][0], values, strict=True):
+                    total += w[i] * v[i]
+                held[key][1] += int(count[i])
+            width = sum(v.shape[1] for v in values) * 8
+            if len(held) * width > SUM_BYTES:
+                yield out(held, kinds)
+                held = {}
+        if held:
+            yield out(held, kinds)
+
+    part = src.mapInArrow(run, schema)
+    last = part.repartition(*by).sortWithinPartitions(*by).mapInArrow(_merge_sorted(run, by), schema)
+    return last
+
+
+def _merge_sorted(add, by: Sequence[str]):
+    """Add up partial sums that come in key order; a key is passed on when the next begins."""
+
+    def run(batches):
+        open_key, parts = None, []
+        for b in batches:
+            keys = list(zip(*[b.column(k).to_pylist() for k in by], strict=True))
+            lo = 0
+            while lo < len(keys):
+                hi = lo
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                if keys[lo] != open_key and parts:
+                    yield from add(parts)
+                    parts = []
+                open_key = keys[lo]
+                parts = list(add([*parts, b.slice(lo, hi - lo)]))
+                lo = hi
+        if parts:
+            yield from add(parts)
+
+    return run
 
 
 def group_gram(rows: DataFrame, features: Sequence[str], target: str = "target", by: Sequence[str] = (GROUP,)) -> DataFrame:
-    """Per group: upper triangle of X'X with intercept, and X'y, as two arrays."""
-    d = rows.withColumn("_one", F.lit(1.0))
-    names = ["_one", *features]
-    gram = F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in gram_terms(features)])
-    moment = F.array(*[F.sum(F.col(a) * F.col(target)) for a in names])
-    return d.groupBy(*by).agg(gram.alias("gram"), moment.alias("moment"))
+    """Per group: upper triangle of X'X with intercept, and X'y, as two arrays.
 
+    Each group's rows are cut into runs of GRAM_ROWS time steps, one matrix product each; the products of a
+    group are then added. The plan has the same size for any number of features.
+    """
+    by, features = list(by), list(features)
+    p = len(features) + 1
+    upper = np.triu_indices(p)
+    run_of = F.expr(f"{TIME} div {GRAM_ROWS}") if TIME in rows.columns else F.expr(f"monotonically_increasing_id() div {GRAM_ROWS}")
+    src = rows.select(*by, run_of.alias("_run"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias("_y"))
+    schema = T.StructType([*[rows.schema[k] for k in by], T.StructField("gram", T.ArrayType(T.DoubleType())), T.StructField("moment", T.ArrayType(T.DoubleType()))])
 
-def add_grams(df: DataFrame, by: Sequence[str], size: int, moments: int, weight: str | None = None) -> DataFrame:
-    """Sum the arrays entry by entry (weighted), with map-side combine."""
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    return df.groupBy(*by).agg(
-        F.array(*[F.sum(F.col("gram")[i] * w) for i in range(size)]).alias("gram"),
-        F.array(*[F.sum(F.col("moment")[i] * w) for i in range(moments)]).alias("moment"))
+    def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        n = table.num_rows
+        x = np.stack([np.ones(n), *[B.floats(table, f"_x{i}") for i in range(p - 1)]], axis=1)
+        y = B.floats(table, "_y")
+        grams, moments = np.empty((len(starts), len(upper[0]))), np.empty((len(starts), p))
+        for i, (a, z) in enumerate(zip(starts, np.append(starts[1:], n), strict=True)):
+            grams[i] = (x[a:z].T @ x[a:z])[upper]
+            moments[i] = x[a:z].T @ y[a:z]
+        return table.select(by).take(pa.array(starts)).append_column("gram", _list_column(grams)).append_column("moment", _list_column(moments))
+
+    parts = B.map_units(src, [*by, "_run"], [], kernel, schema)
+    return sum_arrays(parts, by, ["gram", "moment"]).drop("n")
 
 
 def solve_ridge(grams: DataFrame, keys: Sequence[str], features: Sequence[str], penalty: float) -> DataFrame:
@@ -53,25 +144,23 @@ def solve_ridge(grams: DataFrame, keys: Sequence[str], features: Sequence[str],
         for b in batches:
             if not b.num_rows:
                 continue
-            g = np.asarray(b.column("gram").flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, -1)
-            m = np.asarray(b.column("moment").flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, p)
-            full = np.zeros((b.num_rows, p, p))
-            full[:, upper[0], upper[1]] = g
-            full[:, upper[1], upper[0]] = g
-            full[:, np.arange(1, p), np.arange(1, p)] += penalty
-            coef = np.stack([np.linalg.lstsq(a, y, rcond=None)[0] for a, y in zip(full, m)])
-            out = pa.ListArray.from_arrays(pa.array(np.arange(0, coef.size + 1, p, dtype=np.int32)), pa.array(coef.ravel()))
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], out], names=[*keep, "coef"])
+            g, m = _matrix(b.column("gram"), b.num_rows), _matrix(b.column("moment"), b.num_rows)
+            coef = np.empty((b.num_rows, p))
+            for i in range(b.num_rows):
+                full = np.zeros((p, p))
+                full[upper] = g[i]
+                full = full + np.triu(full, 1).T
+                full[np.arange(1, p), np.arange(1, p)] += penalty
+                coef[i] = np.linalg.lstsq(full, m[i], rcond=None)[0]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], _list_column(coef)], names=[*keep, "coef"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grams.select(*keep).schema.fields)
     return grams.select(*keep, "gram", "moment").mapInArrow(run, f"{ddl}, coef array<double>")
 
 
 def linear_score(features: Sequence[str], coef: str = "coef") -> Column:
-    total = F.col(coef)[0]
-    for i, f in enumerate(features):
-        total = total + F.col(coef)[i + 1] * F.col(f)
-    return total
+    terms = F.zip_with(F.array(*[F.col(f).cast("double") for f in features]), F.slice(coef, 2, max(1, len(features))), lambda x, c: x * c)
+    return F.aggregate(terms, F.col(coef)[0], lambda total, x: total + x)
 
 
 def member_weights(folds: DataFrame, k: int, members: int, group: str = GROUP) -> DataFrame:
@@ -99,15 +188,14 @@ def oof_models(rows: DataFrame, folds: DataFrame, features: Sequence[str], k: in
     """Coefficients per (seed, fold, member), fitted on bootstraps of the train groups."""
     gram = group_gram(rows, features, target)
     picked = member_weights(folds, k, members).join(gram, GROUP)
-    p = len(features) + 1
-    sums = add_grams(picked, [SEED, "fold", "member"], p * (p + 1) // 2, p, "weight")
+    sums = sum_arrays(picked, [SEED, "fold", "member"], ["gram", "moment"], "weight")
     return solve_ridge(sums, [SEED, "fold", "member"], features, penalty)
 
 
 def mean_coefficients(models: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Average model: for linear members the mean prediction is its prediction."""
-    p = len(features) + 1
-    return models.groupBy(*by).agg(F.array(*[F.avg(F.col("coef")[i]) for i in range(p)]).alias("coef"), F.count(F.lit(1)).alias("members"))
+    total = sum_arrays(models, by, ["coef"])
+    return total.select(*by, F.transform("coef", lambda x: x / F.col("n")).alias("coef"), F.col("n").alias("members"))
 
 
 def oof_predict(rows: DataFrame, folds: DataFrame, features: Sequence[str], k: int = 5, members: int = 3, penalty: float = 1e-3, target: str = "target", per_member: bool = False) -> DataFrame:
@@ -128,21 +216,19 @@ def outer_models(rows: DataFrame, groups: DataFrame, seeds: Sequence[int], featu
     no n x n table of (held-out, train) pairs is made.
     """
     gram = group_gram(rows, features, target)
-    p = len(features) + 1
-    size = p * (p + 1) // 2
     ranked = with_totals(shuffled_rank(groups, seeds), [SEED], {"_n": F.count(F.lit(1))})
     slots = ranked.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
     hit = slots.select(SEED, "member", X.draw_index("_n", F.col(SEED), "outer", F.col("member"), F.col("rank")).alias("rank"))
     weights = hit.groupBy(SEED, "member", "rank").agg(F.count(F.lit(1)).cast("double").alias("weight")).join(
         ranked.select(SEED, "rank", GROUP), [SEED, "rank"])
-    total = add_grams(weights.join(gram, GROUP), [SEED, "member"], size, p, "weight").select(
+    total = sum_arrays(weights.join(gram, GROUP), [SEED, "member"], ["gram", "moment"], "weight").select(
         SEED, "member", F.col("gram").alias("_tg"), F.col("moment").alias("_tm"))
     own = slots.select(SEED, "member", GROUP).join(weights.select(SEED, "member", GROUP, "weight"), [SEED, "member", GROUP], "left").join(gram, GROUP)
     w = F.coalesce("weight", F.lit(0.0))
     left = own.join(F.broadcast(total), [SEED, "member"]).select(
         SEED, "member", GROUP,
-        F.array(*[F.col("_tg")[i] - w * F.col("gram")[i] for i in range(size)]).alias("gram"),
-        F.array(*[F.col("_tm")[i] - w * F.col("moment")[i] for i in range(p)]).alias("moment"))
+        F.zip_with("_tg", "gram", lambda t, g: t - w * g).alias("gram"),
+        F.zip_with("_tm", "moment", lambda t, g: t - w * g).alias("moment"))
     return solve_ridge(left, [SEED, "member", GROUP], features, penalty)
 
 
@@ -151,6 +237,31 @@ def outer_predict(rows: DataFrame, groups: DataFrame, seeds: Sequence[int], feat
     return rows.drop(SEED).join(models, GROUP).withColumn("prediction", linear_score(features)).drop("coef")
 
 
+def leave_out_selection(values: DataFrame, left_out: DataFrame, candidate: str, value: str, group: str = GROUP) -> DataFrame:
+    """Per outer group: the candidate with the lowest mean over the rows that stay, and an audit of these rows.
+
+    ``values`` is (group, candidate, value), ``left_out`` (outer_group, group): what each outer selection must not
+    see. Sums over what stays are the totals less the rows left out, so no table of outer and other groups is made. The
+    audit counts the outer group's own rows among those summed: what the table has of them less what was taken out.
+    """
+    every = values.groupBy(candidate).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    out = left_out.join(values, group).groupBy("outer_group", candidate).agg(
+        F.sum(value).alias("_os"), F.count(value).alias("_on"), F.count_if(F.col(group) == F.col("outer_group")).alias("_own_out"))
+    own = values.groupBy(F.col(group).alias("outer_group"), candidate).agg(F.count(value).alias("_own"))
+    outer = values.select(F.col(group).alias("outer_group")).distinct()
+    pairs = outer.join(own, "outer_group").join(out, ["outer_group", candidate], "left").join(every, candidate).na.fill(0, ["_os", "_on", "_own_out"])
+    mean = (F.col("_s") - F.col("_os")) / (F.col("_n") - F.col("_on"))
+    return pairs.groupBy("outer_group").agg(
+        F.min(F.struct(F.round(mean, 10).alias("m"), F.col(candidate))).alias("_b"), F.sum(F.col("_n") - F.col("_on")).alias("development_rows"),
+        F.sum(F.col("_own") - F.col("_own_out")).alias("outer_rows_used")).select(
+        "outer_group", F.col(f"_b.{candidate}").alias(candidate), "development_rows", "outer_rows_used")
+
+
+def lock(choices: DataFrame) -> DataFrame:
+    """A fingerprint over all columns of each choice."""
+    return choices.withColumn("lock_sha256", F.sha2(F.to_json(F.struct(*sorted(choices.columns))), 256))
+
+
 def selection_lock(choices: DataFrame, development: DataFrame, fold: str = "outer_group", group: str = GROUP) -> DataFrame:
     """One row per fold: the choice, outer rows used (must be 0) and a fingerprint.
 
@@ -158,6 +269,4 @@ def selection_lock(choices: DataFrame, development: DataFrame, fold: str = "oute
     """
     used = development.groupBy(fold).agg(
         F.count_if(F.col(group) == F.col(fold)).alias("outer_rows_used"), F.count(F.lit(1)).alias("development_rows"))
-    out = choices.join(used, fold)
-    cols = sorted(out.columns)
-    return out.withColumn("lock_sha256", F.sha2(F.to_json(F.struct(*cols)), 256))
+    return lock(choices.join(used, fold))

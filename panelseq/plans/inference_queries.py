@@ -39,19 +39,19 @@ def user_values(spark, sf) -> DataFrame:
     return P.event_sequences(spark, sf).groupBy(GROUP).agg(F.avg("value").alias("x"), F.max("value").alias("y"))
 
 
-@query("bootstrap_means", f"""WITH {_USER_SQL}, d AS (SELECT b AS draw, ('0x' || substr(md5('20260905:' || b || ':' || u.idx), 1, 8))::BIGINT % u.n AS idx FROM range(2000) t(b), u)
+@query("bootstrap_means", f"""WITH {_USER_SQL}, d AS (SELECT b AS draw, ('0x' || substr(md5('20260905:' || b || ':' || u.idx), 1, 8))::BIGINT % u.n AS idx FROM range(10000) t(b), u)
 SELECT draw, {q('avg(u.x)', 'x')}, {q('avg(u.y)', 'y')} FROM d JOIN u USING (idx) GROUP BY draw""")
 def bootstrap_means(spark, sf):
-    return I.bootstrap_means(user_values(spark, sf), ["x", "y"], 2000).select("draw", r("x"), r("y"))
+    return I.bootstrap_means(user_values(spark, sf), ["x", "y"]).select("draw", r("x"), r("y"))
 
 
-@query("paired_bootstrap", f"""WITH {_USER_SQL}, d AS (SELECT b AS draw, ('0x' || substr(md5('20260905:' || b || ':' || u.idx), 1, 8))::BIGINT % u.n AS idx FROM range(2000) t(b), u),
+@query("paired_bootstrap", f"""WITH {_USER_SQL}, d AS (SELECT b AS draw, ('0x' || substr(md5('20260905:' || b || ':' || u.idx), 1, 8))::BIGINT % u.n AS idx FROM range(10000) t(b), u),
 m AS (SELECT draw, avg(x) AS x, avg(y) AS y, avg(y - x) AS gap FROM d JOIN u USING (idx) GROUP BY draw)
 SELECT 'difference' AS identity, max(abs(gap - (y - x))) < 1e-9 AS holds, {q('max(gap)', 'top_gap')} FROM m""")
 def paired_bootstrap(spark, sf):
     v = user_values(spark, sf).withColumn("gap", F.col("y") - F.col("x"))
-    d = I.paired_bootstrap(v, ["x", "y", "gap"], {"difference": (F.col("gap"), F.col("y") - F.col("x"))}, resamples=2000)
-    top = I.bootstrap_means(v, ["gap"], 2000).agg(r(F.max("gap"), 6, "top_gap"))
+    d = I.paired_bootstrap(v, ["x", "y", "gap"], {"difference": (F.col("gap"), F.col("y") - F.col("x"))})
+    top = I.bootstrap_means(v, ["gap"]).agg(r(F.max("gap"), 6, "top_gap"))
     return d.select("identity", (F.col("max_abs_error") < 1e-9).alias("holds"), F.lit(1).alias("_k")).join(
         F.broadcast(top.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
@@ -76,12 +76,12 @@ _P = f"""{_LANG_SQL}, f AS ({_FLIP}), p AS (SELECT comparison_id, count(*) AS to
 
 
 def flip_tests(spark, sf) -> DataFrame:
-    return I.sign_flip_exact(cut(lang_gaps(spark, sf)), LANGS)
+    return I.sign_flip(cut(lang_gaps(spark, sf)), LANGS)
 
 
-@query("sign_flip_test", f"WITH {_P} SELECT comparison_id, total, extreme, {q('p', 'p', 9)} FROM p")
+@query("sign_flip_test", f"WITH {_P} SELECT comparison_id, 'exact' AS method, total, extreme, {q('p', 'p', 9)} FROM p")
 def sign_flip_test(spark, sf):
-    return flip_tests(spark, sf).select("comparison_id", "total", "extreme", r("p", 9))
+    return flip_tests(spark, sf).select("comparison_id", "method", "total", "extreme", r("p", 9))
 
 
 @query("holm_adjustment", f"""WITH {_P}, s AS (SELECT *, row_number() OVER (ORDER BY p, comparison_id) AS k, count(*) OVER () AS m FROM p)
@@ -243,6 +243,17 @@ def loso_splits(spark, sf):
     return SP.loso_splits(_groups(spark, sf), SEEDS, 0.2)
 
 
+_TESTS = (1, 2, 3)
+
+
+@query("loso_roles", f"""WITH {_RANK}, t AS (SELECT seed, group_id AS test_group, rank AS tr FROM rk WHERE group_id IN {_TESTS})
+SELECT rk.seed, test_group, group_id, CASE WHEN rank = tr THEN 'test' WHEN rank - CASE WHEN tr < rank THEN 1 ELSE 0 END < greatest(1, floor((n - 1) * 0.2 + 0.5)) THEN 'validation' ELSE 'train' END AS role
+FROM rk JOIN t ON t.seed = rk.seed""")
+def loso_roles(spark, sf):
+    """Roles of all groups where one of three groups is held out."""
+    return SP.loso_roles(SP.loso_splits(_groups(spark, sf), SEEDS, 0.2), _TESTS)
+
+
 @query("group_bootstrap", f"""WITH {S.SEQ}, g AS (SELECT group_id, row_number() OVER (ORDER BY md5(group_id::VARCHAR)) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM seq)),
 d AS (SELECT idx AS draw, ('0x' || substr(md5('7:' || idx), 1, 8))::BIGINT % n AS pick FROM g), e AS (SELECT group_id, count(*) AS rows, sum(value) AS total FROM seq GROUP BY group_id)
 SELECT draw, -(draw + 1) AS bootstrap_id, group_id, rows, {q('total', 'total', 2)} FROM d JOIN g ON g.idx = pick JOIN e USING (group_id)""")
@@ -288,9 +299,21 @@ def oof_predict(spark, sf):
     return d.select(SEED, "fold", GROUP, RECORDING, TIME, r("prediction"))
 
 
-@query("oof_predict_wide")
+def _det(a, b, c):
+    """Determinant of three columns."""
+    return f"({a[0]} * ({b[1]} * {c[2]} - {c[1]} * {b[2]}) - {b[0]} * ({a[1]} * {c[2]} - {c[1]} * {a[2]}) + {c[0]} * ({a[1]} * {b[2]} - {b[1]} * {a[2]}))"
+
+
+_C1, _C2, _C3, _CY = ("n0", "sx", "sz"), ("sx", f"(sxx + {PENALTY})", "sxz"), ("sz", "sxz", f"(szz + {PENALTY})"), ("sy", "sxy", "szy")
+_WIDE = _OOF.replace("sum(slow * target) AS sxy FROM tr", "sum(slow * target) AS sxy, sum(fast) AS sz, sum(fast * fast) AS szz, sum(slow * fast) AS sxz, sum(fast * target) AS szy FROM tr").replace(
+    "sum(w * sxy) AS sxy\n", "sum(w * sxy) AS sxy, sum(w * sz) AS sz, sum(w * szz) AS szz, sum(w * sxz) AS sxz, sum(w * szy) AS szy\n").replace(
+    _SOLVE, ", ".join(f"{_det(*x)} / {_det(_C1, _C2, _C3)} AS b{i}" for i, x in enumerate(((_CY, _C2, _C3), (_C1, _CY, _C3), (_C1, _C2, _CY)))))
+
+
+@query("oof_predict_wide", f"""WITH {_WIDE}, av AS (SELECT seed, fold, avg(b0) AS b0, avg(b1) AS b1, avg(b2) AS b2 FROM md GROUP BY ALL)
+SELECT rk.seed, tr.group_id, {q('sqrt(avg(pow(target - b0 - b1 * slow - b2 * fast, 2)))', 'rmse')} FROM tr JOIN rk USING (group_id) JOIN av ON av.seed = rk.seed AND av.fold = rk.fold GROUP BY ALL""")
 def oof_predict_wide(spark, sf):
-    """Two-feature models; checked against a plain solve in the tests."""
+    """Two-feature models."""
     d = O.oof_predict(model_rows(spark, sf), _folds(spark, sf), ["slow", "fast"], K, MEMBERS, PENALTY)
     return d.groupBy(SEED, GROUP).agg(r(F.sqrt(F.avg(F.pow(F.col("target") - F.col("prediction"), 2))), 6, "rmse"))
 

@@ -276,7 +276,7 @@ def theta_interval(spark, sf):
     """BCa intervals of mean Theta per view, from shared draws."""
     t = thetas(spark, sf)
     wide = t.groupBy(GROUP).pivot("view", list(R.VIEWS)).agg(F.max("Theta"))
-    d = I.bca_mean(cut(wide), list(R.VIEWS), resamples=2000)
+    d = I.bca_mean(cut(wide), list(R.VIEWS))
     return d.select("quantity", *[r(c) for c in ("estimate", "lower", "upper")], "n", "status")
 
 

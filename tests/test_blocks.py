@@ -103,13 +103,27 @@ def test_bca_against_plain_computation(spark):
     assert row["flat"].status == "DEGENERATE" and row["flat"].lower is None
 
 
-def test_sign_flip_exact_and_sampled(spark):
-    v = np.array([0.3, -0.1, 0.4, 0.2, -0.05, 0.0])
-    df = spark.createDataFrame(pd.DataFrame({"group_id": np.arange(6), "x": v}))
-    got = I.sign_flip_exact(df, ["x"]).first()
-    signs = np.array(np.meshgrid(*[[1, -1]] * 6)).reshape(6, -1)
+@pytest.mark.parametrize("n", [1, 2, 6, 15])
+def test_sign_flip_exact_equals_all_patterns(spark, n):
+    v = np.array([0.3, -0.1, 0.4, 0.2, -0.05, 0.0, 0.7, 0.11, -0.35, 0.09, 0.31, 0.02, -0.08, 0.5, 0.25])[:n]
+    df = spark.createDataFrame(pd.DataFrame({"group_id": np.arange(n), "x": v, "y": v[::-1].copy(), "z": np.zeros(n)}))
+    got = {r.comparison_id: r for r in I.sign_flip(df, ["x", "y", "z"]).collect()}
+    signs = np.array(np.meshgrid(*[[1, -1]] * n)).reshape(n, -1)
     want = np.sum(np.abs((signs * v[:, None]).mean(axis=0)) >= abs(v.mean()) - 7.1e-15)
-    assert (got.total, got.extreme) == (64, want)
-    many = spark.createDataFrame(pd.DataFrame({"group_id": np.arange(40), "x": np.linspace(-1, 1.1, 40)}))
-    p = I.sign_flip_exact(many, ["x"], sampled=2000).first().p
-    assert 0.5 < p <= 1.0
+    assert [(got[c].method, got[c].total, got[c].extreme) for c in "xyz"] == [("exact", 2**n, want), ("exact", 2**n, want), ("exact", 2**n, 2**n)]
+
+
+def test_sign_flip_names_its_method(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"group_id": np.arange(26), "x": rng.normal(0.2, 1.0, 26)}))
+    exact = I.sign_flip(df, ["x"]).first()
+    drawn = I.sign_flip(df, ["x"], method="sampled", sampled=20_000).first()
+    assert (exact.method, exact.total) == ("exact", 2**26) and (drawn.method, drawn.total) == ("sampled", 20_001)
+    assert abs(exact.p - drawn.p) < 0.02
+    again = I.sign_flip(df.repartition(3), ["x"], method="sampled", sampled=20_000).first()
+    assert again.extreme == drawn.extreme
+    many = spark.createDataFrame(pd.DataFrame({"group_id": np.arange(60), "x": np.linspace(-1, 1.1, 60)}))
+    with pytest.raises(ValueError, match="sampled"):
+        I.sign_flip(many, ["x"])
+    with pytest.raises(ValueError, match="method"):
+        I.sign_flip(df, ["x"], method="auto")
