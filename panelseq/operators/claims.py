@@ -54,8 +54,7 @@ def heterogeneity(long: DataFrame, by: Sequence[str] = ("claim_id",), value: str
     mad = B.exact_median(away, by, "_away", "mad")
     extra = long.groupBy(*by).agg(
         F.sum(F.when(v > EPS, v).otherwise(0.0)).alias("positive_sum"), F.sum(F.when(v < -EPS, v).otherwise(0.0)).alias("negative_sum"),
-        F.max(F.struct(F.abs(v).alias("a"), (-F.col(GROUP)).alias("g") if dict(long.dtypes)[GROUP] != "string" else F.col(GROUP).alias("g"),
-                       F.col(GROUP).alias("id"))).alias("_top"))
+        F.min(F.struct((-F.abs(v)).alias("a"), F.col(GROUP).alias("id"))).alias("_top"))
     out = d.join(mad, by).join(extra, by)
     margin = F.abs(F.col("positive_groups") - F.col("negative_groups"))
     out = out.withColumns({
@@ -74,11 +73,30 @@ def heterogeneity(long: DataFrame, by: Sequence[str] = ("claim_id",), value: str
 
 
 # ------------------------------------------------------------------ F19, I10
+def unmatched_groups(first: DataFrame, second: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Keys that only one side has, and which side that is: the violations of a paired comparison."""
+    keys = [*by, GROUP]
+    side = lambda df, name: df.select(*keys).distinct().withColumn("present_in", F.lit(name))
+    return side(first, "first").join(second, keys, "left_anti").unionByName(side(second, "second").join(first, keys, "left_anti"))
+
+
+def _paired(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full join that refuses keys without a partner, instead of losing them."""
+    a, b = first.withColumn("_a", F.lit(True)), second.withColumn("_b", F.lit(True))
+    j = a.join(b, list(keys), "full")
+    lone = F.raise_error(F.concat(F.lit("a group has no partner: "), F.to_json(F.struct(*keys))))
+    both = F.col("_a") & F.col("_b")
+    return j.withColumn(GROUP, F.when(both, F.col(GROUP)).otherwise(lone.cast(first.schema[GROUP].dataType))).drop("_a", "_b")
+
+
 def transition_rows(src: DataFrame, dst: DataFrame, by: Sequence[str] = ("comparison_id",), value: str = "value") -> DataFrame:
-    """One row per matched group: signs on both sides and the accounting bucket."""
+    """One row per group: signs on both sides and the accounting bucket.
+
+    Both sides must have the same groups (see ``unmatched_groups``); a lone one raises in the task.
+    """
     a = src.select(*by, GROUP, F.col(value).alias("source_value"))
     b = dst.select(*by, GROUP, F.col(value).alias("destination_value"))
-    j = a.join(b, [*by, GROUP])
+    j = _paired(a, b, [*by, GROUP])
     j = j.withColumn("source_sign", X.sign_mark("source_value")).withColumn("destination_sign", X.sign_mark("destination_value"))
     bucket = F.when((F.col("source_sign") == X.ZERO) | (F.col("destination_sign") == X.ZERO), "any_zero").when(
         F.col("source_sign") == F.col("destination_sign"), "retained_nonzero").otherwise("flipped_nonzero")
@@ -183,7 +201,7 @@ def construction_difference(thetas: DataFrame, fixed: str = "fixed_amplitude", e
     cols = ("A_Full_T", "A_Full_S", "A_C0_T", "A_C0_S", "D_S", "D_T", "Theta")
     f = thetas.where(F.col("view") == fixed).select(GROUP, *[F.col(c).alias(f"{c}_fixed") for c in cols])
     e = thetas.where(F.col("view") == equal).select(GROUP, *[F.col(c).alias(f"{c}_equal") for c in cols])
-    return f.join(e, GROUP).withColumns({
+    return _paired(f, e, [GROUP]).withColumns({
         "delta": F.expr("Theta_equal - Theta_fixed"),
         "identity_2": F.expr("(D_S_equal - D_T_equal) - (D_S_fixed - D_T_fixed)"),
         "identity_3": F.expr("D_T_equal - D_T_fixed"),
@@ -200,7 +218,7 @@ def identity_errors(diff: DataFrame) -> DataFrame:
 
 def updater_difference(first: DataFrame, second: DataFrame, by: Sequence[str] = ("component",), value: str = "value") -> DataFrame:
     """Second updater's contrast minus the first's, and whether the signs agree."""
-    j = first.select(*by, GROUP, F.col(value).alias("first")).join(second.select(*by, GROUP, F.col(value).alias("second")), [*by, GROUP])
+    j = _paired(first.select(*by, GROUP, F.col(value).alias("first")), second.select(*by, GROUP, F.col(value).alias("second")), [*by, GROUP])
     return j.withColumn("difference", F.col("second") - F.col("first")).withColumn(
         "same_sign", X.sign_code("first") == X.sign_code("second"))
 

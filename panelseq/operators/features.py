@@ -197,6 +197,7 @@ def array_differences(df: DataFrame, values: str = "values", keys: Sequence[str]
 def feature_names(
     feature_set: str, channels: int, bands: int, groups: int, windows: Sequence[int], second_channels: int,
 ) -> list[str]:
+    # The names of the columns.
     names = [f"five_{s}_band_{b}" for s in ("median", "mad", "q25", "q75", "iqr") for b in range(bands)]
     names += [f"five_log_energy_band_{b}" for b in range(bands)]
     names += [f"cross_view_index_agreement_{b}" for b in range(bands)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelseq import GROUP, SEED, SEQUENCE, TIME
 from panelseq.operators import blocks as B
-from panelseq.operators.updaters import affine_scan
+from panelseq.operators.updaters import affine_scan, within
 from panelseq.session import cut
 
 
@@ -138,7 +138,7 @@ def gain_grid_objective(
     """
     grid = np.asarray(gains, dtype=np.float64)
     unit = [*SEQUENCE, "_chunk"]
-    src = panel.select(*SEQUENCE, TIME, "fast", "slow", target).withColumn("_chunk", F.expr(f"`{TIME}` div {chunk}"))
+    src = within(panel, length).select(*SEQUENCE, TIME, "fast", "slow", target).withColumn("_chunk", F.expr(f"`{TIME}` div {chunk}"))
     fields = "gain_index int, n long, e2 double, ep double, p2 double, end_state double, end_carry double"
 
     def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:

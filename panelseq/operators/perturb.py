@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
+from panelseq.functions import expr as X
 from panelseq.operators import blocks as B
 from panelseq.operators import updaters as U
 from panelseq.operators.joins import slice_roots
@@ -23,6 +24,7 @@ from panelseq.operators.joins import slice_roots
 ROOT = (GROUP, RECORDING, "t0")
 SIGNS = (-1, 1)
 REASON = "BOTH_SIGN_NO_CLIPPING_HEADROOM_FAILED"
+MISSING_SEED = "ROOT_MISSING_IN_A_SEED"
 
 
 @dataclass(frozen=True)
@@ -45,19 +47,21 @@ def standard_branches(delta: float, sustained: int) -> tuple[Branch, ...]:
 # ------------------------------------------------------------------ eligibility
 def root_table(
     panel: DataFrame, sustained: int, horizon: int, t0_min: int, t0_max: int | None = None, delta: float = 0.05,
-    seeds: int = 3, fast: str = "fast", chunk: int = B.CHUNK,
+    seeds: int | None = None, fast: str = "fast", chunk: int = B.CHUNK,
 ) -> DataFrame:
     """All structural roots with ``eligible`` and the per-seed violations.
 
     Both bounds are inclusive, overlaps are allowed, and one failing seed excludes
-    the root for all. Rows are spread once by (group, recording, chunk), which
-    serves the windows and both aggregations.
+    the root for all. A root that some seeds lack is excluded too, with that reason;
+    without ``seeds`` the number expected is that of the recording. A null or
+    non-finite input fails like one outside the bounds. Rows are spread once by
+    (group, recording, chunk), which serves the windows and the aggregation.
     """
     src = panel.select(*SEQUENCE, TIME, fast)
     halo = B.with_halo(src, TIME, after=max(sustained, horizon), chunk=chunk).repartition(GROUP, RECORDING, "_chunk")
     w = B.chunk_window(SEQUENCE, TIME)
     ahead = w.rowsBetween(0, sustained - 1)
-    bad = (F.col(fast) < delta) | (F.col(fast) > 1.0 - delta)
+    bad = X.nonfinite(fast) | (F.col(fast) < delta) | (F.col(fast) > 1.0 - delta)
     t0 = F.col(TIME)
     span = F.lead(TIME, horizon - 1).over(w).isNotNull()
     tried = halo.withColumns({
@@ -69,10 +73,17 @@ def root_table(
     failure = F.when(F.size("_bad") > 0, F.struct(
         F.col(SEED).alias("seed"), F.transform("_bad", lambda x: (x - t0).cast("int")).alias("offsets"),
         F.col("_lo").alias("minimum"), F.col("_hi").alias("maximum"), F.lit(REASON).alias("reason")))
-    return tried.groupBy(GROUP, RECORDING, "_chunk", t0.alias("t0")).agg(
-        F.array_sort(F.collect_list(failure)).alias("violations"), F.count(F.lit(1)).alias("_seeds")
-    ).where(F.col("_seeds") == seeds).select(
-        *ROOT, (F.size("violations") == 0).alias("eligible"), "violations")
+    per = tried.groupBy(GROUP, RECORDING, "_chunk", t0.alias("t0")).agg(
+        F.array_sort(F.collect_list(failure)).alias("_failed"), F.count(F.lit(1)).alias("_seeds"))
+    if seeds is None:
+        per = per.join(src.groupBy(GROUP, RECORDING).agg(F.count_distinct(SEED).alias("_all")), [GROUP, RECORDING])
+    else:
+        per = per.withColumn("_all", F.lit(seeds))
+    gap = F.array(F.struct(
+        F.lit(None).cast(src.schema[SEED].dataType).alias("seed"), F.array().cast("array<int>").alias("offsets"),
+        F.lit(None).cast("double").alias("minimum"), F.lit(None).cast("double").alias("maximum"), F.lit(MISSING_SEED).alias("reason")))
+    found = F.when(F.col("_seeds") < F.col("_all"), F.concat("_failed", gap)).otherwise(F.col("_failed"))
+    return per.withColumn("violations", found).select(*ROOT, (F.size("violations") == 0).alias("eligible"), "violations")
 
 
 def eligible_roots(roots: DataFrame) -> DataFrame:

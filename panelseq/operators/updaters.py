@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +50,8 @@ class TrackerConfig:
 # Score weights per state on (innovation, disagreement, slope,
 # variance strengths, slope consistency, sign consistency), plus a constant.
 SCORE_WEIGHTS = {
-    "outlier": (1.6, 1.2, -0.4, 0.5, -1.1, -1.1, 2.2),
-    "stable": (-1.5, -1.0, -0.8, -0.8, 0.3, 0.0, 4.1),
+    "outlier": (1.6, 1.2, -0.4, 0.5, -1.1, -1.1, 1.1 + 1.1),
+    "stable": (-1.5, -1.0, -0.8, -0.8, 0.3, 0.0, 1.5 + 1.0 + 0.8 + 0.8),
     "transition": (1.4, 1.1, 1.0, -0.5, 1.0, 1.2, 0.0),
 }
 STATES = ("outlier", "stable", "transition")
@@ -135,7 +134,7 @@ def affine_scan(
     chunk ends form a shorter recursion of the same shape, solved the same way.
     """
     keep = list(dict.fromkeys([*keys, t, *keep]))
-    src = df.select(*keep, decay.alias("_decay"), add.alias("_add"), first.alias("_first")).withColumn(
+    src = within(df, length, t).select(*keep, decay.alias("_decay"), add.alias("_add"), first.alias("_first")).withColumn(
         "_chunk", F.expr(f"`{t}` div {chunk}")
     )
     unit = [*keys, "_chunk"]
@@ -170,11 +169,11 @@ def constant_gain(
 ) -> DataFrame:
     """s_t = a*x_t + (1-a)*s_(t-1), started at slow[0]; adds ``state``.
 
-    The reference clip to [0,1] cannot act on inputs in [0,1] (see check_domain).
+    Inputs must be finite and in [0,1], where a clip of the state to [0,1] never acts; others raise in the task.
     """
     a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     length = B.longest(panel, t) if length is None else length
-    src = _start_value(keys, panel, t, slow)
+    src = _start_value(keys, panel.withColumns({c: unit_interval(c) for c in dict.fromkeys((fast, slow))}), t, slow)
     return affine_scan(
         src, keys, t, 1.0 - a, a * F.col(fast), F.col("_start"), length, chunk, keep=[fast, slow, *keep]
     )
@@ -193,24 +192,47 @@ def ema(panel: DataFrame, alpha: float | Column, fast: str = "fast", **kw) -> Da
     return constant_gain(panel, alpha, fast=fast, slow=fast, **kw)
 
 
-# ------------------------------------------------------------------ fixed Kalman
-@lru_cache(maxsize=256)
-def gain_table(q: float, r: float, p0: float, epsilon: float, limit: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Gain and posterior variance per update, up to where they stop changing."""
-    gains, variances = [], []
-    p = p0
-    for _ in range(limit):
-        prior = max(epsilon, p + q)
-        k = prior / (prior + max(epsilon, r))
-        new = max(0.0, (1.0 - k) * prior)
-        gains.append(k)
-        variances.append(new)
-        if new == p or (len(gains) > 64 and abs(new - p) < 1e-17 * max(1.0, new)):
-            break
-        p = new
-    return np.array(gains), np.array(variances)
+# ------------------------------------------------------------------ Kalman gains
+def gains_at(q: float, r: float, p0: float, epsilon: float, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gain and posterior variance of the updates ``step`` (from 0), in closed form.
+
+    One update maps the variance P to (P + q) r / (P + q + r). With the fixed points a > b of this map,
+    (P - a) / (P - b) shrinks by a constant factor, so any step follows directly; without process noise
+    the precision 1 / P grows by 1 / r instead. ``epsilon`` is the floor of the prior.
+    """
+    r = max(epsilon, r)
+    k = step.astype(np.float64)
+    if q == 0:
+        before = 1.0 / (1.0 / p0 + k / r) if p0 > 0 else np.zeros(len(k))
+    else:
+        root = np.sqrt(q * (q + 4.0 * r))
+        high, low = (root - q) / 2.0, (-root - q) / 2.0
+        shrink, first = k * np.log1p(-root / (high + q + r)), root / (p0 - low)
+        # In logarithms 1 - share keeps its digits where there is next to no noise and the share is close to 1.
+        if first < 1.0:
+            share, rest = np.exp(np.log1p(-first) + shrink), -np.expm1(np.log1p(-first) + shrink)
+        else:
+            share = (1.0 - first) * np.exp(shrink)
+            rest = 1.0 - share
+        before = high + root * share / rest
+    prior = np.maximum(epsilon, before + q)
+    return prior / (prior + r), prior * r / (prior + r)
+
+
+# ------------------------------------------------------------------ input rules
+def within(df: DataFrame, length: int, t: str = TIME) -> DataFrame:
+    """Raise in the task where a row lies beyond the stated ``length``, which decides how chunks are joined."""
+    late = F.raise_error(F.concat(F.lit(f"{t} is not below the stated length {length}: "), F.col(t).cast("string")))
+    return df.withColumn(t, F.when(F.col(t) < length, F.col(t)).otherwise(late.cast("long")))
+
+
+def unit_interval(c: str) -> Column:
+    """The column, or an error in the task where it is not a finite number in [0, 1]."""
+    bad = F.raise_error(F.concat(F.lit(f"{c} is outside [0,1]: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+    return F.when(~X.nonfinite(c) & F.col(c).between(0.0, 1.0), F.col(c)).otherwise(bad.cast("double"))
 
 
+# ------------------------------------------------------------------ fixed Kalman
 def kalman_fixed(
     panel: DataFrame, q: float | Column, r: float | Column, init: str | None = None,
     keys: Sequence[str] = SEQUENCE, t: str = TIME, value: str = "fast", p0: float = 1.0,
@@ -218,7 +240,7 @@ def kalman_fixed(
 ) -> DataFrame:
     """Random-walk Kalman filter; adds state, variance, gain, innovation, r_used.
 
-    The gain depends on the step only, so it is looked up and the state follows
+    The gain depends on the step only and has a closed form; the state follows
     the affine scan. Without ``init`` the first observation is the mean, with
     gain 0.
     """
@@ -239,10 +261,8 @@ def kalman_fixed(
             gain, var = np.zeros(len(at)), np.full(len(at), p0)
             pairs, which = np.unique(np.stack([qs, rs]), axis=1, return_inverse=True)
             for i in range(pairs.shape[1]):
-                g, v = gain_table(float(pairs[0, i]), float(pairs[1, i]), p0, epsilon)
                 m = (which.ravel() == i) & (at >= 0)
-                k = np.minimum(at[m], len(g) - 1)
-                gain[m], var[m] = g[k], v[k]
+                gain[m], var[m] = gains_at(float(pairs[0, i]), float(pairs[1, i]), p0, epsilon, at[m])
             yield from B.extend(table, names, {"gain": gain, "variance": var}).to_batches()
 
     ship(panel.sparkSession)
@@ -427,31 +447,49 @@ def _shoot(panel: DataFrame, keys, t, run, ends, length, chunk, warmup, toleranc
     ``run(rows)`` folds units of rows that carry ``_chunk``, ``_home`` and the
     ``_given*`` start columns; ``ends`` maps each carried column to its start.
     """
+    panel = within(panel, length, t)
     halo = B.with_halo(panel, t, before=0 if length <= chunk else warmup, chunk=chunk)
     blank = {f"_given{'' if c == 'state' else '_' + c}": F.lit(float("nan")) for c in ends}
     if length <= chunk:
         return run(halo.withColumns(blank))
     unit = [*keys, "_chunk"]
+    halo = cut(halo)
     done = cut(run(halo.withColumns(blank)))
-    rounds = 0
+
+    def borders(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Start of each chunk but the first, and each full chunk's end as the next one's wanted start."""
+        head = rows.where(F.expr(f"`{t}` % {chunk} = 0 and `{t}` > 0")).select(*unit, *[F.col(v) for v in ends.values()])
+        tail = rows.where(F.expr(f"`{t}` % {chunk} = {chunk - 1}")).select(
+            *keys, (F.col("_chunk") + 1).alias("_chunk"), *[F.col(c).alias(f"_end_{c}") for c in ends])
+        return head, tail
+
+    heads, tails = (cut(x) for x in borders(done))
+    off = F.lit(False)
+    for c, start in ends.items():
+        off = off | (F.abs(F.col(f"_end_{c}") - F.col(start)) > tolerance)
+    own = F.col("_home") & (F.expr(f"`{t}` % {chunk} = 0"))
+    fills = {g: F.when(own, F.col(f"_end_{c}")).otherwise(F.lit(float("nan"))) for c, g in zip(ends, blank)}
+    layers: list[DataFrame] = []
     while True:
-        tail = done.where(F.expr(f"`{t}` % {chunk} = {chunk - 1}")).select(
-            *keys, (F.col("_chunk") + 1).alias("_chunk"), *[F.col(c).alias(f"_end_{c}") for c in ends]
-        )
-        head = done.where(F.expr(f"`{t}` % {chunk} = 0 and `{t}` > 0")).select(*unit, *[F.col(v) for v in ends.values()])
-        off = F.lit(False)
-        for c, start in ends.items():
-            off = off | (F.abs(F.col(f"_end_{c}") - F.col(start)) > tolerance)
-        bad = cut(head.join(tail, unit).where(off).select(*unit, *[f"_end_{c}" for c in ends]))
+        bad = cut(heads.join(tails, unit).where(off).select(*unit, *[f"_end_{c}" for c in ends]))
         if bad.isEmpty():
-            return done
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
+            break
+        if max_rounds is not None and len(layers) >= max_rounds:
             raise RuntimeError("chunk hand-overs did not settle")
-        own = F.col("_home") & (F.expr(f"`{t}` % {chunk} = 0"))
-        fills = {g: F.when(own, F.col(f"_end_{c}")).otherwise(F.lit(float("nan"))) for c, g in zip(ends, blank)}
-        redo = halo.join(bad, unit).withColumns(fills).drop(*[f"_end_{c}" for c in ends])
-        done = cut(done.join(bad.select(*unit), unit, "left_anti").unionByName(run(redo)))
+        # Only the repaired chunks are written; their borders replace the old ones.
+        redone = cut(run(halo.join(bad, unit).withColumns(fills).drop(*[f"_end_{c}" for c in ends])))
+        layers.append(redone)
+        head, tail = borders(redone)
+        after = bad.select(*keys, (F.col("_chunk") + 1).alias("_chunk"))
+        heads = cut(heads.join(bad.select(*unit), unit, "left_anti").unionByName(head))
+        tails = cut(tails.join(after, unit, "left_anti").unionByName(tail))
+    if not layers:
+        return done
+    every = done.withColumn("_round", F.lit(0))
+    for k, rows in enumerate(layers, 1):
+        every = every.unionByName(rows.withColumn("_round", F.lit(k)))
+    last = cut(every.where("_round > 0").groupBy(*unit).agg(F.max("_round").alias("_last")))
+    return every.join(last, unit, "left").where(F.col("_round") == F.coalesce("_last", F.lit(0))).drop("_round", "_last")
 
 
 def change_aware(
@@ -471,7 +509,7 @@ def change_aware(
     warmup = min(chunk, max(warmup, 2 * max(c.past_window for c in configs)))
     length = B.longest(panel, t) if length is None else length
     extra = [c for c in keep if c not in (*keys, t, "fast", "slow")]
-    src = panel.select(*keys, t, "fast", "slow", *extra)
+    src = panel.select(*keys, t, unit_interval("fast").alias("fast"), unit_interval("slow").alias("slow"), *extra)
     fields = "state double, _from double" + (", " + TRACKER_FIELDS if full else "")
 
     def run(rows: DataFrame) -> DataFrame:

@@ -54,11 +54,11 @@ def log_energy(spark, sf):
 
 @query("cross_view", f"""WITH {S.SPATIAL},
 a AS (SELECT recording_id, time_index, band AS b, avg(value) AS x FROM cells GROUP BY ALL),
-g AS (SELECT recording_id, time_index, group2 AS b, avg(value) AS y FROM cells GROUP BY ALL)
+g AS (SELECT recording_id, time_index, group2 AS b, avg(value * value) AS y FROM cells GROUP BY ALL)
 SELECT recording_id, time_index, b::INTEGER AS band, {q('x - y', 'cross_view')} FROM a JOIN g USING (recording_id, time_index, b)""")
 def cross_view(spark, sf):
-    d = X.band_mean(P.spatial_rows(spark, sf), "values", 16, 4)
-    d = X.cross_view(X.grouped_bin_mean(d, "values", 4, 16, 4))
+    d = X.band_mean(P.spatial_rows(spark, sf), "values", 16, 4).withColumn("two", F.transform("values", lambda x: x * x))
+    d = X.cross_view(X.grouped_bin_mean(d, "two", 4, 16, 4))
     return _entries(d, "cross_view", "cross_view", "band")
 
 
@@ -169,7 +169,7 @@ def score_states(spark, sf):
 
 # ------------------------------------------------------------------ named feature sets
 def _features(spark, sf, feature_set):
-    d = P.spatial_rows(spark, sf).withColumnRenamed("values", "five").withColumn("two", F.col("five"))
+    d = P.spatial_rows(spark, sf).withColumnRenamed("values", "five").withColumn("two", F.transform("five", lambda x: x * x))
     return X.extract_features(
         d, feature_set, X.WINDOWS, [RECORDING], TIME, "five", "two", 16, 4, 4, 16)
 
@@ -181,7 +181,7 @@ def _family_sql(feature_set: str) -> str:
         "SELECT 'five_log_energy_band_' || band, ln(1 + avg(value * value))::FLOAT FROM cells GROUP BY recording_id, time_index, band",
         "SELECT 'cross_view_index_agreement_' || s.i, (s.v - g.v)::FLOAT FROM series s JOIN series g ON s.p = 'five_band' AND g.p = 'two_group' AND s.i = g.i AND s.recording_id = g.recording_id AND s.time_index = g.time_index",
         "SELECT 'five_channel_mean_' || channel, avg(value)::FLOAT FROM cells GROUP BY recording_id, time_index, channel",
-        "SELECT 'two_channel_mean_' || channel2, avg(value)::FLOAT FROM cells GROUP BY recording_id, time_index, channel2",
+        "SELECT 'two_channel_mean_' || channel2, avg(value * value)::FLOAT FROM cells GROUP BY recording_id, time_index, channel2",
         "SELECT 'five_channel_missing_' || channel, 0::FLOAT FROM cells GROUP BY recording_id, time_index, channel",
         "SELECT 'two_channel_missing_' || channel2, 0::FLOAT FROM cells GROUP BY recording_id, time_index, channel2",
     ]
@@ -205,7 +205,7 @@ med AS (SELECT recording_id, time_index, band, quantile_cont(value, 0.5) AS medi
 rob AS (SELECT c.recording_id, c.time_index, c.band, median, q25, q75, q75 - q25 AS iqr, quantile_cont(abs(value - median), 0.5) AS mad
   FROM cells c JOIN med USING (recording_id, time_index, band) GROUP BY ALL),
 series AS (SELECT recording_id, time_index, 'five_band' AS p, band AS i, avg(value) AS v FROM cells GROUP BY ALL
-  UNION ALL SELECT recording_id, time_index, 'two_group', group2, avg(value) FROM cells GROUP BY ALL),
+  UNION ALL SELECT recording_id, time_index, 'two_group', group2, avg(value * value) FROM cells GROUP BY ALL),
 rolled AS (SELECT *, {roll} FROM series),
 energy AS (SELECT recording_id, time_index, avg(abs(value)) AS g FROM cells GROUP BY ALL),
 energy2 AS (SELECT *, lag(g) OVER ({part} ORDER BY time_index) AS prev, CASE WHEN time_index > 0 THEN g END AS later FROM energy),

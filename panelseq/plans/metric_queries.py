@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
+from panelseq.operators import oof as O
 from panelseq.operators import select as C
 from panelseq.operators import updaters as U
 from panelseq.plans import panels as P
@@ -129,6 +130,13 @@ def lag_metric(spark, sf):
     return M.lag_metric(M.xcorr_lag(P.event_panel(spark, sf), "slow", MAX_LAG)).select(GROUP, r("absolute_lag"))
 
 
+@query("max_seed_delta", f"""WITH {S.PANEL}, d AS (SELECT group_id, seed, sqrt(avg(pow(target - slow, 2))) - sqrt(avg(pow(target - fast, 2))) AS d FROM panel GROUP BY ALL)
+SELECT group_id, {q('max(d)', 'max_seed_rmse_delta')} FROM d GROUP BY group_id""")
+def max_seed_delta(spark, sf):
+    d = M.error_metrics(P.event_panel(spark, sf), "slow", [GROUP, SEED], baseline="fast")
+    return M.max_seed_delta(d, [GROUP]).select(GROUP, r("max_seed_rmse_delta"))
+
+
 @query("error_metrics", f"""WITH {S.PANEL} SELECT group_id, seed, {q('sqrt(avg(pow(target - slow, 2)))', 'rmse')}, {q('avg(abs(target - slow))', 'mae')},
   {q('corr(target, slow)', 'pcc')}, {q(UQ.CCC.format(c='slow'), 'ccc')},
   {q('sqrt(avg(pow(target - slow, 2))) - sqrt(avg(pow(target - fast, 2)))', 'rmse_delta')},
@@ -144,8 +152,8 @@ def ensemble_mean(spark, sf):
     return M.ensemble_mean(d, [GROUP, RECORDING, TIME]).select(GROUP, RECORDING, TIME, r("prediction"), "members")
 
 
-GAINS = [round(0.05 * i, 2) for i in range(21)]
-_GRID = f"""gain AS MATERIALIZED (SELECT p.*, k::INTEGER AS gain_index, k / 20.0::DOUBLE AS a FROM panel p, range(21) g(k)),
+GAINS = [i / 1000 for i in range(1001)]
+_GRID = f"""gain AS MATERIALIZED (SELECT p.*, k::INTEGER AS gain_index, k / 1000.0::DOUBLE AS a FROM panel p, range(1001) g(k)),
 {S.linear('gs', '@a', 'gain', S.K + ', gain_index, a', carry='target')},
 obj AS MATERIALIZED (SELECT group_id, gain_index, a AS alpha, avg(x) AS rmse FROM (
   SELECT group_id, seed, gain_index, a, sqrt(avg(pow(target - state, 2))) AS x FROM gs GROUP BY ALL) GROUP BY ALL)"""
@@ -169,28 +177,21 @@ def select_gain(spark, sf):
 
 def outer_choices(spark, sf):
     """Per outer group: the gain with the lowest mean RMSE over all other groups."""
-    obj = gain_objective(spark, sf)
-    rest = C.with_totals(obj, ["gain_index"], {"_s": F.sum("rmse"), "_n": F.count(F.lit(1))})
-    mean = (F.col("_s") - F.col("rmse")) / (F.col("_n") - 1)
-    # The outer group took part if its share is still in the sum that was ranked.
-    left_in = F.abs(mean * (F.col("_n") - 1) + F.col("rmse") - F.col("_s")) > 1e-9
-    best = F.min(F.struct(F.round(mean, 10).alias("m"), F.col("gain_index"))).alias("_b")
-    return rest.groupBy(F.col(GROUP).alias("outer_group")).agg(
-        best, F.first(F.col("_n") - 1).alias("development_groups"), F.count_if(left_in).alias("outer_rows_used")).select(
-        "outer_group", F.col("_b.gain_index").alias("gain_index"), "development_groups", "outer_rows_used")
+    obj = cut(gain_objective(spark, sf))
+    left_out = obj.select(F.col(GROUP).alias("outer_group"), GROUP).distinct()
+    return O.leave_out_selection(obj, left_out, "gain_index", "rmse")
 
 
-_OUTER = f"""o AS (SELECT group_id AS outer_group, gain_index, ((sum(rmse) OVER (PARTITION BY gain_index)) - rmse) / ((count(*) OVER (PARTITION BY gain_index)) - 1) AS m,
-  count(*) OVER (PARTITION BY gain_index) - 1 AS development_groups FROM obj)"""
+_OUTER = """o AS (SELECT group_id AS outer_group, gain_index, ((sum(rmse) OVER (PARTITION BY gain_index)) - rmse) / ((count(*) OVER (PARTITION BY gain_index)) - 1) AS m FROM obj),
+dev AS (SELECT a.group_id AS outer_group, count(*) FILTER (b.group_id <> a.group_id) AS development_rows FROM (SELECT DISTINCT group_id FROM obj) a, obj b GROUP BY 1)"""
 
 
-@query("selection_lock", f"""WITH RECURSIVE {S.PANEL}, {_GRID}, {_OUTER}, c AS (SELECT outer_group, arg_min(gain_index, round(m, 10) * 1000 + gain_index * 1e-9) AS gain_index,
-  any_value(development_groups) AS development_groups FROM o GROUP BY outer_group),
-n AS (SELECT group_id, count(*) AS own FROM panel GROUP BY group_id)
-SELECT outer_group, gain_index, development_groups, 0::BIGINT AS outer_rows_used FROM c""")
+@query("selection_lock", f"""WITH RECURSIVE {S.PANEL}, {_GRID}, {_OUTER}, c AS (SELECT outer_group, first(gain_index ORDER BY round(m, 10), gain_index) AS gain_index FROM o GROUP BY outer_group),
+n AS (SELECT c.*, development_rows, 0::BIGINT AS outer_rows_used FROM c JOIN dev USING (outer_group))
+SELECT *, sha256('{{"development_rows":' || development_rows || ',"gain_index":' || gain_index || ',"outer_group":' || outer_group || ',"outer_rows_used":0}}') AS lock_sha256 FROM n""")
 def selection_lock(spark, sf):
-    """Locks with the audit of the groups that entered each outer selection."""
-    return outer_choices(spark, sf)
+    """Locks with the audit of the rows that entered each outer selection."""
+    return O.lock(outer_choices(spark, sf))
 
 
 # ------------------------------------------------------------------ candidates
