@@ -67,7 +67,7 @@ def document_manifest(spark, sf):
 
 
 def nation_mapping(spark, sf):
-    return P.table(spark, sf, "nation").where("n_nationkey <= 22").select(
+    return P.table(spark, sf, "nation").select(
         F.col("n_nationkey").cast("long").alias(RECORDING), F.col("n_regionkey").alias(GROUP))
 
 
@@ -111,6 +111,13 @@ def array_stats(spark, sf):
     return d.select(RECORDING, *[r(c) for c in ("min", "max", "mean", "std", "missing_rate")], "size")
 
 
+@query("combined_missing_rate", f"""WITH {S.SPATIAL} SELECT recording_id, {q('avg(CASE WHEN value > 0.2 THEN 1.0 ELSE 0.0 END)', 'missing_rate')} FROM cells GROUP BY recording_id""")
+def combined_missing_rate(spark, sf):
+    """Rates of the channels, weighted by their sizes."""
+    per = A.array_stats(_holed_long(spark, sf), [RECORDING, "channel"])
+    return A.combined_missing_rate(per, [RECORDING]).select(RECORDING, r("missing_rate"))
+
+
 @query("manifest_round_trip", f"WITH {_FILES} SELECT relative_path, sha256, file_size_bytes, sample_count, scan_status FROM own")
 def manifest_round_trip(spark, sf):
     """Saved as CSV and JSON lines with the abnormal rows and summary, then read back."""
@@ -163,14 +170,23 @@ def trajectory_table(spark, sf):
     return d.select(*SEQUENCE, TIME, r("target"), r("c0"), r("ema"))
 
 
+# Three kinds of files stand for the five types of events.
+KINDS = {"click": ("click", "signup"), "view": ("view", "error"), "purchase": ("purchase",)}
+_KIND_SQL = "CASE WHEN event_type IN ('click', 'signup') THEN 'click' WHEN event_type IN ('view', 'error') THEN 'view' ELSE 'purchase' END"
+
+
+def _kind():
+    return F.when(F.col("event_type").isin(*KINDS["click"]), "click").when(F.col("event_type").isin(*KINDS["view"]), "view").otherwise("purchase")
+
+
 def _typed(spark, sf, kind: str):
     from panelseq.operators.blocks import dense_index
 
-    ev = P.table(spark, sf, "events").where(F.col("event_type") == kind).select(F.col("user_id").alias(RECORDING), "ts", "event_id", F.col("value").alias(kind))
+    ev = P.table(spark, sf, "events").where(_kind() == kind).select(F.col("user_id").alias(RECORDING), "ts", "event_id", F.col("value").alias(kind))
     return dense_index(ev, [RECORDING], F.date_trunc("minute", "ts"), ["ts", "event_id"]).select(RECORDING, TIME, kind)
 
 
-_TYPED = ", ".join(f"{k} AS (SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS time_index, value AS {k} FROM events WHERE event_type = '{k}')" for k in ("click", "view", "purchase"))
+_TYPED = f"ek AS (SELECT *, {_KIND_SQL} AS kind FROM events), " + ", ".join(f"{k} AS (SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS time_index, value AS {k} FROM ek WHERE kind = '{k}')" for k in KINDS)
 
 
 @query("recording_assembly", f"WITH {_TYPED} SELECT recording_id, time_index, coalesce(click, -1) AS click, coalesce(view, -1) AS view, coalesce(purchase, -1) AS purchase FROM click FULL JOIN view USING (recording_id, time_index) FULL JOIN purchase USING (recording_id, time_index)")
@@ -182,14 +198,14 @@ def recording_assembly(spark, sf):
 # ------------------------------------------------------------------ contracts
 _MV = [
     violation("file_error", "relative_path", "'unresolved'", "own WHERE scan_status = 'error'"),
-    violation("group_coverage", "n_regionkey::VARCHAR", "'missing'", "(SELECT DISTINCT n_regionkey FROM nation WHERE n_nationkey <= 22 AND n_regionkey NOT IN (SELECT group_id FROM good))"),
-    violation("recording_coverage", "n_nationkey::VARCHAR", "'missing'", "nation WHERE n_nationkey <= 22 AND n_nationkey NOT IN (SELECT recording_id FROM good)"),
+    violation("group_coverage", "n_regionkey::VARCHAR", "'missing'", "(SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT group_id FROM good))"),
+    violation("recording_coverage", "n_nationkey::VARCHAR", "'missing'", "nation WHERE n_nationkey NOT IN (SELECT recording_id FROM good)"),
     violation("empty_file", "relative_path", "'empty'", "good WHERE file_size_bytes <= 0"),
     violation("duplicate_path", "relative_path", "n::VARCHAR", "(SELECT relative_path, count(*) AS n FROM own GROUP BY 1 HAVING count(*) > 1)"),
     violation("duplicate_hash", "sha256", "n::VARCHAR", "(SELECT sha256, count(*) AS n FROM good GROUP BY 1 HAVING count(*) > 1)", "warning"),
     violation("duplicate_recording", "lang || '|' || recording_id", "n::VARCHAR", "(SELECT lang, recording_id, count(*) AS n FROM good GROUP BY ALL HAVING count(*) > 1)"),
     violation("sample_mismatch", "recording_id::VARCHAR", "lo || '..' || hi", "(SELECT recording_id, min(sample_count) AS lo, max(sample_count) AS hi FROM good GROUP BY 1 HAVING min(sample_count) < max(sample_count))"),
-    violation("multi_recording_group", "n_regionkey || '|' || n_nationkey", "'missing'", "nation WHERE n_nationkey <= 22 AND n_nationkey NOT IN (SELECT recording_id FROM good)"),
+    violation("multi_recording_group", "n_regionkey || '|' || n_nationkey", "'missing'", "nation WHERE n_nationkey NOT IN (SELECT recording_id FROM good)"),
 ]
 
 
@@ -201,14 +217,22 @@ def manifest_validation(spark, sf):
     return B.validate_manifest(m, nation_mapping(spark, sf))
 
 
-@query("mapping_validation", "WITH o AS (SELECT DISTINCT s_nationkey AS g FROM supplier), e AS (SELECT n_nationkey AS g FROM nation), rs AS (SELECT DISTINCT s_suppkey AS k FROM supplier), re AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49) "
-       + " UNION ALL ".join([
-           violation("group_ids", "g::VARCHAR", "'missing'", "(FROM e EXCEPT FROM o)"), violation("group_ids", "g::VARCHAR", "'extra'", "(FROM o EXCEPT FROM e)"),
-           violation("recording_ids", "k::VARCHAR", "'missing'", "(FROM re EXCEPT FROM rs)"), violation("recording_ids", "k::VARCHAR", "'extra'", "(FROM rs EXCEPT FROM re)")]))
+# Ids are moved so that every rule finds something: groups beyond 24, recordings beyond a million, pairs of one recording.
+_OWNERS = """o AS MATERIALIZED (SELECT CASE WHEN s_suppkey % 13 = 1 THEN s_suppkey - 1 ELSE s_suppkey END AS k, CASE WHEN s_nationkey % 9 = 2 THEN s_nationkey + 100 ELSE s_nationkey END AS g FROM supplier),
+rs AS (SELECT DISTINCT k FROM o), rg AS (SELECT DISTINCT g FROM o), eg AS (SELECT n_nationkey AS g FROM nation),
+re AS (SELECT DISTINCT CASE WHEN l_suppkey % 11 = 3 THEN l_suppkey + 1000000 ELSE l_suppkey END AS k FROM lineitem),
+sh AS (SELECT k, count(*) AS m FROM o GROUP BY k HAVING count(*) > 1)"""
+
+
+@query("mapping_validation", f"WITH {_OWNERS} " + " UNION ALL ".join([
+    violation("group_ids", "g::VARCHAR", "'missing'", "(FROM eg EXCEPT FROM rg)"), violation("group_ids", "g::VARCHAR", "'extra'", "(FROM rg EXCEPT FROM eg)"),
+    violation("recording_ids", "k::VARCHAR", "'missing'", "(FROM re EXCEPT FROM rs)"), violation("recording_ids", "k::VARCHAR", "'extra'", "(FROM rs EXCEPT FROM re)"),
+    violation("shared_recording", "k::VARCHAR", "m::VARCHAR", "sh")]))
 def mapping_validation(spark, sf):
-    m = P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias(RECORDING), F.col("s_nationkey").alias(GROUP))
+    moved = lambda c, n, at, by: F.when(F.col(c) % n == at, F.col(c) + by).otherwise(F.col(c))
+    m = P.table(spark, sf, "supplier").select(moved("s_suppkey", 13, 1, -1).alias(RECORDING), moved("s_nationkey", 9, 2, 100).alias(GROUP))
     groups = P.table(spark, sf, "nation").select(F.col("n_nationkey").alias(GROUP))
-    recs = P.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias(RECORDING))
+    recs = P.table(spark, sf, "lineitem").select(moved("l_suppkey", 11, 3, 1_000_000).alias(RECORDING))
     return B.validate_mapping(m, groups, recs)
 
 
@@ -220,9 +244,9 @@ def manifest_summary(spark, sf):
     return d.withColumn("value", F.coalesce("value", F.lit("")))
 
 
-@query("one_file_per_role", f"""WITH c AS (SELECT user_id, t.k, count(*) FILTER (event_type = t.k) AS n FROM events, (VALUES ('click'), ('view'), ('purchase')) t(k) GROUP BY ALL) {violation('one_file_per_role', "user_id || '|' || k", 'n::VARCHAR', 'c WHERE n <> 1')}""")
+@query("one_file_per_role", f"""WITH c AS (SELECT user_id, t.k, count(*) FILTER ({_KIND_SQL} = t.k) AS n FROM events, (VALUES ('click'), ('view'), ('purchase')) t(k) GROUP BY ALL) {violation('one_file_per_role', "user_id || '|' || k", 'n::VARCHAR', 'c WHERE n <> 1')}""")
 def one_file_per_role(spark, sf):
-    d = P.table(spark, sf, "events").select(F.col("user_id").alias(RECORDING), F.col("event_type").alias("data_role"))
+    d = P.table(spark, sf, "events").select(F.col("user_id").alias(RECORDING), _kind().alias("data_role"))
     return B.require_roles(d, ["click", "view", "purchase"])
 
 
@@ -251,7 +275,7 @@ def nonfinite_policy(spark, sf):
     return B.nonfinite_counts(d, ["value"], [RECORDING]).join(fixed, RECORDING)
 
 
-@query("modality_alignment", f"""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b, count(*) FILTER (event_type = 'purchase') AS l FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1)
+@query("modality_alignment", f"""WITH c AS (SELECT user_id, count(*) FILTER (kind = 'click') AS a, count(*) FILTER (kind = 'view') AS b, count(*) FILTER (kind = 'purchase') AS l FROM (SELECT *, {_KIND_SQL} AS kind FROM events) GROUP BY 1)
 {violation('modality_length', 'user_id::VARCHAR', "a || ',' || b || ',' || l", 'c WHERE a <> b OR b <> l')}""")
 def modality_alignment(spark, sf):
     return B.validate_alignment(*[_typed(spark, sf, k) for k in ("click", "view", "purchase")])
@@ -296,44 +320,50 @@ def ledger_coverage(spark, sf):
     return B.validate_ledger(d, d.select(GROUP, RECORDING, "t0"), {"event_type": ["view", "signup", "purchase", "click", "error"]})
 
 
-@query("root_manifest_check", f"""WITH {S.PANEL}, o AS (SELECT DISTINCT group_id, recording_id, time_index FROM panel WHERE slow > 0.4), e AS (SELECT DISTINCT group_id, recording_id, time_index FROM panel WHERE fast > 0.4),
-t AS (SELECT group_id, recording_id, time_index, count(*) AS n FROM panel WHERE slow > 0.4 GROUP BY ALL)
+# A start point that a side does not have is a thousand rows further on there.
+_SIDE = "SELECT group_id, recording_id, CASE WHEN {c} > 0.4 THEN time_index ELSE time_index + 1000 END AS time_index FROM panel"
+
+
+@query("root_manifest_check", f"""WITH {S.PANEL}, os AS MATERIALIZED ({_SIDE.format(c='slow')}), es AS ({_SIDE.format(c='fast')}), o AS (SELECT DISTINCT * FROM os), e AS (SELECT DISTINCT * FROM es),
+t AS (SELECT group_id, recording_id, time_index, count(*) AS n FROM os GROUP BY ALL)
 {violation('unique_key', "group_id || '|' || recording_id || '|' || time_index", 'n::VARCHAR', 't WHERE n > 1')} UNION ALL
-{violation('root_range', "group_id || '|' || recording_id || '|' || time_index", 'time_index::VARCHAR', 'panel WHERE slow > 0.4 AND (time_index < 5 OR time_index > 30)')} UNION ALL
+{violation('root_range', "group_id || '|' || recording_id || '|' || time_index", 'time_index::VARCHAR', 'os WHERE time_index < 5 OR time_index > 30')} UNION ALL
 {violation('root_set', "group_id || '|' || recording_id || '|' || time_index", "'extra'", '(FROM o EXCEPT FROM e)')} UNION ALL
 {violation('root_set', "group_id || '|' || recording_id || '|' || time_index", "'missing'", '(FROM e EXCEPT FROM o)')}""")
 def root_manifest_check(spark, sf):
     p = P.event_panel(spark, sf).withColumnRenamed(TIME, "t0")
-    root = [GROUP, RECORDING, "t0"]
-    return B.validate_roots(p.where("slow > 0.4").select(*root), p.where("fast > 0.4").select(*root), 5, 30)
+    side = lambda c: p.select(GROUP, RECORDING, F.when(F.col(c) > 0.4, F.col("t0")).otherwise(F.col("t0") + 1000).alias("t0"))
+    return B.validate_roots(side("slow"), side("fast"), 5, 30)
 
 
-_AL = "(SELECT o_orderkey AS k, o_totalprice AS a FROM orders WHERE o_orderstatus <> 'P') x FULL JOIN (SELECT l_orderkey AS k, sum(l_extendedprice) AS b FROM lineitem GROUP BY 1) y USING (k)"
+_AL = "(SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS k, o_totalprice AS a FROM orders) x FULL JOIN (SELECT l_orderkey AS k, sum(l_extendedprice) AS b FROM lineitem GROUP BY 1) y USING (k)"
 
 
 @query("paired_key_alignment", f"""WITH j AS (SELECT k, a, b FROM {_AL}) SELECT 'price' AS "column", {q('max(abs(a - b))', 'max_abs_error', 2)}, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS paired,
   count(*) FILTER (a IS NULL OR b IS NULL) AS unpaired FROM j""")
 def paired_key_alignment(spark, sf):
-    a = P.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    a = P.table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "P", -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("k"), F.col("o_totalprice").alias("price"))
     b = P.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("price"))
     return B.max_abs_error(a, b, ["k"], ["price"]).select("column", r("max_abs_error", 2), "paired", "unpaired")
 
 
-@query("group_completeness", """WITH o AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 200), e AS (SELECT user_id, k FROM (SELECT DISTINCT user_id FROM events), (VALUES ('click'), ('view')) t(k)),
-d AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 200 GROUP BY ALL) """ + " UNION ALL ".join([
+# Small events belong to other groups, a million further on.
+@query("group_completeness", """WITH s AS MATERIALIZED (SELECT CASE WHEN value > 200 THEN user_id ELSE user_id + 1000000 END AS user_id, event_type FROM events), o AS (SELECT DISTINCT * FROM s), e AS (SELECT user_id, k FROM (SELECT DISTINCT user_id FROM events), (VALUES ('click'), ('view')) t(k)),
+d AS (SELECT user_id, event_type, count(*) AS n FROM s GROUP BY ALL) """ + " UNION ALL ".join([
     violation("group_set", "user_id || '|' || k", "'missing'", "(FROM e EXCEPT FROM o)"), violation("group_set", "user_id || '|' || event_type", "'extra'", "(FROM o EXCEPT FROM e)"),
     violation("unique_key", "user_id || '|' || event_type", "n::VARCHAR", "d WHERE n > 1")]))
 def group_completeness(spark, sf):
     ev = P.table(spark, sf, "events").select(F.col("user_id").alias(GROUP), "event_type", "value")
-    return B.check_groups(ev.where("value > 200").drop("value"), ev, "event_type", ["click", "view"])
+    moved = ev.select(F.when(F.col("value") > 200, F.col(GROUP)).otherwise(F.col(GROUP) + 1_000_000).alias(GROUP), "event_type")
+    return B.check_groups(moved, ev, "event_type", ["click", "view"])
 
 
-@query("source_bindings", """WITH f AS (SELECT doc_id::VARCHAR AS p, sha256(CASE WHEN lang = 'fr' THEN upper(text) ELSE text END) AS h FROM documents WHERE n_chars >= 200), r AS (SELECT doc_id::VARCHAR AS p, sha256(text) AS w FROM documents), j AS (SELECT * FROM r LEFT JOIN f USING (p)) """
+@query("source_bindings", """WITH f AS (SELECT CASE WHEN n_chars < 200 THEN 'moved/' ELSE '' END || doc_id AS p, sha256(CASE WHEN lang = 'fr' THEN upper(text) ELSE text END) AS h FROM documents), r AS (SELECT doc_id::VARCHAR AS p, sha256(text) AS w FROM documents), j AS (SELECT * FROM r LEFT JOIN f USING (p)) """
        + violation("missing_file", "p", "'absent'", "j WHERE h IS NULL") + " UNION ALL " + violation("changed_file", "p", "'hash differs'", "j WHERE h <> w"))
 def source_bindings(spark, sf):
     d = P.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), "text", "lang", "n_chars")
     registry = d.select("relative_path", F.sha2("text", 256).alias("sha256"))
-    files = d.where("n_chars >= 200").select("relative_path", F.sha2(F.when(F.col("lang") == "fr", F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"))
+    files = d.select(F.concat(F.when(F.col("n_chars") < 200, "moved/").otherwise(""), "relative_path").alias("relative_path"), F.sha2(F.when(F.col("lang") == "fr", F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"))
     return B.check_bindings(files, registry)
 
 
@@ -396,7 +426,25 @@ def _streamed(spark, sf, run):
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 4).parquet(f"{src}/slice=*")
     done = run(stream).writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).where("event = 'state'")
+
+
+@query("stream_ema", f"WITH RECURSIVE {S.PANEL}, {S.linear('s', '0.3::DOUBLE', start='fast')} SELECT {S.KT}, {q('state')} FROM s")
+def stream_ema(spark, sf):
+    return _streamed(spark, sf, lambda s: ST.stream_update(s, "ema", 0.3)).select(*SEQUENCE, TIME, r("state"))
+
+
+@query("stream_kalman_fixed", f"""WITH RECURSIVE {S.PANEL}, k AS (
+  SELECT {S.KT}, fast AS state, 1.0::DOUBLE AS variance, 0.0::DOUBLE AS gain FROM panel WHERE time_index = 0
+  UNION ALL
+  SELECT {S.KT}, m + g * (fast - m), (1 - g) * (v + 0.001), g
+  FROM (SELECT p.group_id, p.seed, p.recording_id, p.time_index, p.fast, k.state AS m, k.variance AS v,
+      (k.variance + 0.001::DOUBLE) / (k.variance + 0.001::DOUBLE + 0.01) AS g
+    FROM k JOIN panel p ON {S.same('p', 'k')} AND p.time_index = k.time_index + 1))
+SELECT {S.KT}, {q('state')}, {q('gain')} FROM k""")
+def stream_kalman_fixed(spark, sf):
+    d = _streamed(spark, sf, lambda s: ST.stream_update(s, "kalman_fixed", U.KalmanParams(q=0.001, r=0.01)))
+    return d.select(*SEQUENCE, TIME, r("state"), r("gain"))
 
 
 @query("stream_kalman", f"WITH RECURSIVE {S.PANEL}, {S.ADAPTIVE} SELECT {S.KT}, {q('state')}, {q('gain')} FROM kal")
@@ -411,8 +459,8 @@ def stream_change_aware(spark, sf):
     return d.select(*SEQUENCE, TIME, r("state"), r("gain"))
 
 
-@query("stream_prefix_check", "SELECT '' AS rule_id, '' AS severity, '' AS key, '' AS detail WHERE false")
+@query("stream_prefix_check", f"WITH RECURSIVE {S.PANEL} SELECT group_id, seed, recording_id, count(*) AS streamed_rows, count(*) AS prefix_rows, count(*) AS equal_rows FROM panel GROUP BY ALL")
 def stream_prefix_check(spark, sf):
-    """Violations where the streamed constant gain differs from the batch one: none."""
+    """Rows of each sequence that the streamed and the batch constant gain agree on: all."""
     d = _streamed(spark, sf, lambda s: ST.stream_update(s, "constant_gain", 0.2))
-    return ST.check_prefix(d, U.constant_gain(P.event_panel(spark, sf), 0.2, length=P.event_length(spark, sf)))
+    return ST.prefix_counts(d, U.constant_gain(P.event_panel(spark, sf), 0.2, length=P.event_length(spark, sf)))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelseq import GROUP, RECORDING
 from panelseq.functions import expr as X
+from panelseq.session import ship
 
 # Fixed values.
 SUFFIXES = (".parquet", ".mat", ".npy", ".npz", ".csv", ".pkl", ".pickle")
@@ -17,22 +22,41 @@ TEMPORARY_PREFIXES = ("~$", ".~", ".#", ".")
 FEATURE_PRIORITY = ("de_lds", "de_movingave", "psd_lds", "psd_movingave", "features", "feature", "eeg", "x")
 LABEL_TOKEN = "perclos"
 SESSION_PATTERN = r"(?i)(?:session|sess|s)[_-]?(\d{1,2})"
-MAX_HASHED_BYTES = 2_000_000_000
+#: Bytes that a task reads at a time to hash a file.
+HASH_BLOCK = 8 << 20
+#: Recording ids that name a recording unless the caller says otherwise.
+KNOWN_IDS = (0, 22)
 
-MANIFEST_SCHEMA = (
-    f"{GROUP} long, {RECORDING} long, physical_index long, file_path string, relative_path string, file_name string, "
-    "file_suffix string, condition string, data_role string, sample_count long, feature_shape string, feature_dtype string, "
-    "label_shape string, label_min double, label_max double, label_mean double, label_std double, missing_rate double, "
-    "feature_missing_rate double, label_missing_rate double, file_size_bytes long, modified_time timestamp, sha256 string, "
-    "loader_name string, scan_status string, error_message string, resolution_source string, group_source string, "
-    "feature_key string, label_key string, candidate_arrays string, selection_reason string"
-)
+#: Columns of a saved manifest: what the scan, the resolution, the array statistics and the column choice make.
+MANIFEST_SCHEMA = ", ".join([
+    "file_path string, relative_path string, file_name string, file_suffix string, condition string",
+    "file_size_bytes long, modified_time timestamp, sha256 string, scan_status string, error_message string",
+    f"{RECORDING} long, resolution_source string, {GROUP} long, group_conflict boolean",
+    "data_role string, feature_key string, label_key string, sample_count long, missing_rate double",
+])
+
+
+def _plain(c: Column | str) -> Column:
+    """A local path without its scheme."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root as the session's file systems name it, so that scanned paths begin with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
 
 
 def path_parts(df: DataFrame, root: str | None = None, path: str = "file_path") -> DataFrame:
-    """Relative path, file name, lower-case suffix and condition (first folder)."""
-    p = F.regexp_replace(path, "^file:/+", "/")
-    rel = p if root is None else F.expr(f"substring(regexp_replace({path}, '^file:/+', '/'), {len(root.rstrip('/')) + 2})")
+    """Relative path, file name, lower-case suffix and condition (first folder).
+
+    With ``root``, a path that does not lie below it raises in the task.
+    """
+    rel = p = _plain(path)
+    if root is not None:
+        base = F.concat(F.regexp_replace(_plain(F.lit(root)), "/+$", ""), F.lit("/"))
+        out = F.raise_error(F.concat(F.lit("not below the scanned root: "), F.col(path)))
+        rel = F.when(F.startswith(p, base), F.substr(p, F.char_length(base) + 1)).otherwise(out.cast("string"))
     out = df.withColumn("relative_path", rel)
     parts = F.split("relative_path", "/")
     name = F.element_at(parts, -1)
@@ -50,31 +74,48 @@ def supported(df: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     return df.where(keep)
 
 
+def _hash_files(batches):
+    """Digest of each file, read block by block; a file that cannot be read gives the error instead."""
+    for b in batches:
+        digests, errors = [], []
+        for path in b.column("file_path").to_pylist():
+            try:
+                system, name = fs.FileSystem.from_uri(path)
+                total = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while block := stream.read(HASH_BLOCK):
+                        total.update(block)
+                digests.append(total.hexdigest())
+                errors.append("")
+            except (OSError, pa.ArrowException) as e:
+                digests.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        yield b.append_column("sha256", pa.array(digests, pa.string())).append_column("error_message", pa.array(errors, pa.string()))
+
+
 def scan_manifest(spark: SparkSession, root: str, suffixes: Sequence[str] = SUFFIXES, recursive: bool = True, hashed: bool = True) -> DataFrame:
-    """One row per supported file; content is read only for the hash.
+    """One row per supported file; content is read only for the hash, in blocks, so files may have any size.
 
-    A file too large to hash in one record becomes an error row, not a failure.
+    A file that cannot be read becomes an error row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    base = files.select(
-        F.col("path").alias("file_path"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("modified_time"),
-        *([F.when(F.col("length") <= MAX_HASHED_BYTES, F.col("content")).alias("content")] if hashed else []))
-    out = supported(path_parts(base, root), suffixes)
-    if hashed:
-        out = out.withColumn("sha256", F.sha2("content", 256)).drop("content")
-    else:
-        out = out.withColumn("sha256", F.lit(None).cast("string"))
-    large = F.col("file_size_bytes") > MAX_HASHED_BYTES if hashed else F.lit(False)
-    return out.withColumn("scan_status", F.when(large, "error").otherwise("ok" if hashed else "dry_run")).withColumn(
-        "error_message", F.when(large, "too large to hash").otherwise(""))
-
-
-def resolve_recording(df: DataFrame, known: Column | None = None, internal: str | None = None, expected: int = 23, physical_order: bool = False) -> DataFrame:
+    base = files.select(F.col("path").alias("file_path"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("modified_time"))
+    out = supported(path_parts(base, qualified(spark, root)), suffixes)
+    if not hashed:
+        return out.withColumns({"sha256": F.lit(None).cast("string"), "scan_status": F.lit("dry_run"), "error_message": F.lit("")})
+    schema = T.StructType([*out.schema.fields, T.StructField("sha256", T.StringType()), T.StructField("error_message", T.StringType())])
+    ship(spark)
+    done = out.mapInArrow(_hash_files, schema)
+    return done.withColumn("scan_status", F.when(F.col("error_message") != "", "error").otherwise("ok"))
+
+
+def resolve_recording(df: DataFrame, known: Callable[[Column], Column] | None = None, internal: str | None = None, expected: int = 23, physical_order: bool = False) -> DataFrame:
     """First matching rule gives the recording id: internal, folder, stem, pattern, order.
 
-    ``known`` tells if an id is valid, given the column ``_id``; by default 0..22.
+    ``known`` tells if an id, given as a column, is valid; by default those from 0 to 22 are.
     """
-    valid = lambda c: F.when(c.between(0, 22), c) if known is None else F.when(known, c)
+    known = known or (lambda c: c.between(*KNOWN_IDS))
+    valid = lambda c: F.when(known(c), c)
     parts = F.split("relative_path", "/")
     folder_ids = F.filter(
         F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
@@ -83,7 +124,7 @@ def resolve_recording(df: DataFrame, known: Column | None = None, internal: str
     number = lambda c: F.when(c != "", c.cast("long"))
     rules = [
         (F.col(internal).cast("long") if internal else F.lit(None).cast("long"), "internal_metadata"),
-        (F.get(F.filter(F.transform(folder_ids, lambda x: x.cast("long")), lambda x: x.between(0, 22)), F.lit(0)), "directory_name"),
+        (F.get(F.filter(F.transform(folder_ids, lambda x: x.cast("long")), known), F.lit(0)), "directory_name"),
         (F.when(stem.rlike(r"^\d{1,9}$"), stem.cast("long")), "file_name_exact_integer"),
         (number(F.regexp_extract(stem, SESSION_PATTERN, 1)), "file_name_pattern"),
     ]
@@ -157,10 +198,6 @@ def save_manifest(df: DataFrame, out: str, overwrite: bool = False) -> None:
     manifest_summary(df, [c for c in ("condition", "data_role", "scan_status") if c in df.columns]).write.mode(mode).json(f"{out}/summary_json")
 
 
-def save_violations(violations: DataFrame, out: str, overwrite: bool = False) -> None:
-    violations.write.mode("overwrite" if overwrite else "errorifexists").json(out)
-
-
 def load_manifest(spark: SparkSession, path: str, fmt: str = "json", schema: str = MANIFEST_SCHEMA) -> DataFrame:
     """Read a saved manifest with its declared schema; NaN becomes null."""
     reader = spark.read.schema(schema)

@@ -1,8 +1,10 @@
 """Updaters on streams: one row in, one state out, rows applied in index order.
 
 Time is the row index, so order needs no clock: a row waits in the state until
-its predecessor has come. Rows at or before the last applied index are late; they
-are counted and not applied.
+its predecessor has come. A key holds at most ``max_waiting`` such rows; beyond that
+what is missing is given up, which a row with event ``gap`` says, and the rows after
+it are applied. Rows at or before the last applied index are late: they are not
+applied and come out as rows with event ``late``.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelseq import SEQUENCE, TIME
@@ -23,9 +26,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 KINDS = ("constant_gain", "ema", "kalman_fixed", "kalman_adaptive")
 
 
+#: Early rows that a key may hold.
+MAX_WAITING = 1000
+
+
 class _Ordered:
     """Applies rows of a key in index order; subclasses supply ``advance``."""
 
+    max_waiting = MAX_WAITING
     fields = "mean double"
     width = 1
 
@@ -52,11 +60,16 @@ class _Ordered:
                 t = int(t)
                 if t < nxt or t in pool:
                     late += 1
+                    out.append({TIME: t, "state": None, "gain": None, "late_rows": late, "missing_rows": 0, "event": "late"})
                 else:
                     pool[t] = (float(f), float(w))
-            while nxt in pool:
+            while nxt in pool or len(pool) > self.max_waiting:
+                if nxt not in pool:
+                    found = min(pool)
+                    out.append({TIME: nxt, "state": None, "gain": None, "late_rows": late, "missing_rows": found - nxt, "event": "gap"})
+                    nxt = found
                 f, w = pool.pop(nxt)
-                out.append({TIME: nxt, **self.advance(s, f, w), "late_rows": late})
+                out.append({TIME: nxt, **self.advance(s, f, w), "late_rows": late, "missing_rows": 0, "event": "state"})
                 nxt += 1
             if out:
                 frame = pd.DataFrame(out)
@@ -123,30 +136,52 @@ class _Tracker(_Ordered):
         return {"state": s[0], "gain": float(got["alpha"][0])}
 
 
-def _run(stream: DataFrame, processor: _Ordered, keys: Sequence[str]) -> DataFrame:
+def _run(stream: DataFrame, processor: _Ordered, keys: Sequence[str], max_waiting: int) -> DataFrame:
+    processor.max_waiting = max_waiting
     spark = stream.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.select(*keys).schema.fields)
     return stream.select(*keys, TIME, "fast", "slow").groupBy(*keys).applyInPandasWithState(
-        lambda key, rows, group: processor(key, rows, group), f"{ddl}, {TIME} long, state double, gain double, late_rows long",
+        lambda key, rows, group: processor(key, rows, group), f"{ddl}, {TIME} long, state double, gain double, late_rows long, missing_rows long, event string",
         processor.schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_update(stream: DataFrame, kind: str, params, keys: Sequence[str] = SEQUENCE) -> DataFrame:
-    """Constant gain, EMA, fixed or adaptive Kalman; a new recording is a new key."""
+def stream_update(stream: DataFrame, kind: str, params, keys: Sequence[str] = SEQUENCE, max_waiting: int = MAX_WAITING) -> DataFrame:
+    """Constant gain, EMA, fixed or adaptive Kalman; a new recording is a new key.
+
+    States are rows with event ``state``; see the module for ``late`` and ``gap``.
+    """
     if kind not in KINDS:
         raise ValueError(f"unknown updater {kind!r}")
-    return _run(stream, _Linear(keys, kind, params), keys)
+    return _run(stream, _Linear(keys, kind, params), keys, max_waiting)
 
 
-def stream_change_aware(stream: DataFrame, config: U.TrackerConfig = U.TrackerConfig(), keys: Sequence[str] = SEQUENCE) -> DataFrame:
+def stream_change_aware(stream: DataFrame, config: U.TrackerConfig = U.TrackerConfig(), keys: Sequence[str] = SEQUENCE, max_waiting: int = MAX_WAITING) -> DataFrame:
     """Change-aware tracker with a ring of the last ``past_window`` inputs as state."""
-    return _run(stream, _Tracker(keys, config), keys)
+    return _run(stream, _Tracker(keys, config), keys, max_waiting)
+
+
+def _prefix(streamed: DataFrame, batch: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Streamed states, and the batch rows from the start of each key up to its last streamed row, the first at least."""
+    got = streamed.where("event = 'state'").select(*keys, TIME, "state")
+    last = got.groupBy(*keys).agg(F.max(TIME).alias("_last"))
+    want = batch.select(*keys, TIME, "state").join(last, list(keys), "left").where(F.col(TIME) <= F.coalesce("_last", F.lit(0))).drop("_last")
+    return got, want
 
 
 def check_prefix(streamed: DataFrame, batch: DataFrame, keys: Sequence[str] = SEQUENCE, eps: float = 1e-9) -> DataFrame:
-    """Violations where streamed rows differ from the same rows of the batch table."""
-    got = streamed.select(*keys, TIME, "state")
-    same = batch.select(*keys, TIME, "state").join(got.select(*keys, TIME), [*keys, TIME], "left_semi")
-    return contracts.align_frames(got, same, [*keys, TIME], ["state"], eps)
+    """Violations where a key's streamed states are not the first rows of the batch table without a hole.
+
+    A key of the batch table that has not been streamed at all lacks its first row.
+    """
+    got, want = _prefix(streamed, batch, keys)
+    return contracts.align_frames(got, want, [*keys, TIME], ["state"], eps)
+
+
+def prefix_counts(streamed: DataFrame, batch: DataFrame, keys: Sequence[str] = SEQUENCE, eps: float = 1e-9) -> DataFrame:
+    """Per key: rows streamed, rows of the batch prefix, and how many of both agree."""
+    got, want = _prefix(streamed, batch, keys)
+    both = got.withColumnRenamed("state", "_s").join(want.withColumnRenamed("state", "_b"), [*keys, TIME], "full")
+    return both.groupBy(*keys).agg(
+        F.count("_s").alias("streamed_rows"), F.count("_b").alias("prefix_rows"), F.count_if(F.abs(F.col("_s") - F.col("_b")) <= eps).alias("equal_rows"))

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(8, shuffle_partitions=4, memory="8g")
+    s = local_session(int(os.environ.get("TEST_CPUS", 8)), shuffle_partitions=4, memory="8g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
 
