@@ -1,8 +1,8 @@
 """Quality filter by importance resampling over hashed n-grams.
 
 Two generative models, each a smoothed distribution over hashed words and word pairs: one of the target
-(rows labelled good), one of the raw corpus (all rows). The logarithm of their ratio is a document's
-importance weight; Gumbel noise makes the k largest perturbed weights a sample without replacement.
+(rows labelled good), one of the raw corpus (all rows). The logarithm of their ratio, over the root of the
+number of n-grams, is a document's importance weight; Gumbel noise makes the k largest perturbed weights a sample without replacement.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ MAX_LABELLED = 20_000
 SMOOTHING = 1.0
 #: Pseudo-counts of the target model as a share of the number of buckets.
 PRIOR_SHARE = 0.05
+#: What a good row below the cut counts against a bad row above it.
+GOOD_WEIGHT = 2
+#: Scale of the Gumbel noise: what is sampled are the importance weights to the power 1 / TEMPERATURE.
+TEMPERATURE = 0.1
 #: Bytes in three classes: white space, letters and digits, the rest.
 TOKEN_CLASS = np.full(256, 2, np.uint8)
 TOKEN_CLASS[:33] = 0
@@ -67,11 +71,13 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def _weights(part: pa.RecordBatch, ratio: np.ndarray, seed: int):
     bucket, row = ngrams(*text_bytes(part.column("text")))
     n = part.num_rows
-    w = np.bincount(row, weights=ratio[bucket], minlength=n)
+    size = np.bincount(row, minlength=n)
+    # Over the root of the length, weights of short and long texts are on one scale.
+    w = np.bincount(row, weights=ratio[bucket], minlength=n).astype(np.float64) / np.sqrt(np.maximum(size, 1))
     ids = part.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy().astype(U)
     u = ((mix(ids * U(0x9E3779B97F4A7C15) + U(seed)) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
-    bits = (w - np.log(-np.log(u)) + 0.0).view(np.int64)
-    return w, np.bincount(row, minlength=n), np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+    bits = (w - TEMPERATURE * np.log(-np.log(u)) + 0.0).view(np.int64)
+    return w, size, np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
 def _weigh(shared, seed: int):
@@ -139,12 +145,15 @@ class Resampler:
 
 
 def best_cut(rows: list[tuple[float, int]]) -> float:
-    """The weight that tells good from bad held-out rows with the fewest errors, the lowest such; without bad rows, none."""
+    """The weight that tells good from bad held-out rows with the least errors, the lowest such; without bad rows, none.
+
+    A good row lost counts as GOOD_WEIGHT bad rows kept.
+    """
     rows = sorted(rows)
     good = np.array([q == 1 for _, q in rows], bool)
     if good.all() or not good.any():
         return -np.inf
-    errors = np.concatenate([[0], np.cumsum(good)]) + (~good).sum() - np.concatenate([[0], np.cumsum(~good)])
+    errors = GOOD_WEIGHT * np.concatenate([[0], np.cumsum(good)]) + (~good).sum() - np.concatenate([[0], np.cumsum(~good)])
     at = int(np.argmin(errors))
     return rows[at][0] if at < len(rows) else np.inf
 

@@ -11,10 +11,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelseq.llm.common import U, mix, narrow, prefix_hash, range_hash, row_offsets, slices, text_bytes
+from panelseq.llm.common import U, mix, narrow, prefix_hash, range_hash, row_offsets, safe_text, slices, text_bytes
 from panelseq.session import cut, ship
 
 SPACE = np.zeros(256, bool)
@@ -66,7 +66,7 @@ def _spans(span: int):
                 h, at = span_hashes(buf, start, end, row, span)
                 place = at - row_offsets(row, part.num_rows)[row[at]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), part.column("doc_id").take(pa.array(row[at])), pa.array(place.astype(np.int32))], ["h", "doc_id", "place"])
+                    [pa.array(h), *[part.column(c).take(pa.array(row[at])) for c in ("doc", "dup")], pa.array(place.astype(np.int32))], ["h", "doc", "dup", "place"])
 
     return run
 
@@ -108,14 +108,23 @@ def sentence_dedup(docs: DataFrame, span: int = 3) -> DataFrame:
     ``text`` is what stays; ``kept_sha256`` is the digest of the remaining sentences, trimmed and joined by
     newlines. The first of equal runs, by doc_id and place, stays, a null id counting as the largest; a
     run may repeat inside its own document. Texts of fewer than ``span`` sentences stay whole, null texts
-    count as empty. Rows that share an id count as one document, whose places are told apart by number only.
-    An empty table gives no rows.
+    count as empty. Different texts of one id are told apart and ordered by hash; repeated rows of one id and text
+    count as one document, so both stay alike. An empty table gives no rows.
     """
-    ship(docs.sparkSession)
-    rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    spans = rows.mapInArrow(_spans(span), "h bigint, doc_id bigint, place int").withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).drop("doc_id")
-    first = spans.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("first")).where("n > 1").drop("n")
-    again = spans.join(first, "h").where(F.struct("doc", "place") != F.col("first"))
-    places = cut(again.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")))
-    joined = rows.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).join(places, "doc", "left").select("doc_id", "text", "places")
+    spark = docs.sparkSession
+    ship(spark)
+    rows = narrow(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), safe_text().alias("text"))
+    texts = rows.select("doc", F.xxhash64("text").alias("text_hash")).distinct()
+    if texts.groupBy("doc").count().where("count > 1").limit(1).count():
+        names = cut(texts.withColumn("dup", F.row_number().over(Window.partitionBy("doc").orderBy("text_hash")) - 1))
+        rows = rows.withColumn("text_hash", F.xxhash64("text")).join(names, ["doc", "text_hash"]).drop("text_hash")
+    else:
+        rows = rows.withColumn("dup", F.lit(0))
+    spans = rows.select("doc", "dup", "text").mapInArrow(_spans(span), "h bigint, doc bigint, dup int, place int")
+    at = F.struct("doc", "dup", "place")
+    first = spans.groupBy("h").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").drop("n")
+    again = spans.join(first, "h").where(at != F.col("first"))
+    places = cut(again.groupBy("doc", "dup").agg(F.sort_array(F.collect_set("place")).alias("places")))
+    joined = rows.join(places, ["doc", "dup"], "left").select("doc_id", "text", "places")
     return joined.mapInArrow(_take_out(span), "doc_id bigint, text string, n_sentences bigint, n_removed bigint, kept_sha256 string")

@@ -23,8 +23,8 @@ def test_ngrams_count_words_and_pairs():
 def test_log_ratio_and_cut():
     raw, target = np.array([10.0, 30, 0, 60]), np.array([5.0, 1, 0, 4])
     r = Q.log_ratio(target, raw)
-    assert r[0] > 0 > r[1] and abs(r[2]) < 1
-    assert Q.best_cut([(-3.0, 0), (-1.0, 0), (0.5, 1), (2.0, 1), (-0.5, 1)]) == -0.5
+    assert r[0] > 0 > r[1] and r[2] < 0 and abs(r[3]) < abs(r[1])
+    assert Q.best_cut([(-3.0, 0), (-1.0, 0), (0.5, 1), (2.0, 1), (-0.5, 1)]) == -0.5 and Q.best_cut([(-3.0, 1), (-2.0, 0), (-1.0, 0), (0.5, 1)]) == -3.0
     assert Q.best_cut([(-3.0, 1)]) == -np.inf and Q.best_cut([]) == -np.inf and Q.best_cut([(1.0, 0)]) == -np.inf
 
 
@@ -43,11 +43,11 @@ def test_held_out_accuracy_and_selection(spark):
     out = Q.importance_resample(docs, half).cache()
     unseen = out.join(labels.join(half, "doc_id", "left_anti"), "doc_id").toPandas()
     good, bad = unseen[unseen.quality == 1], unseen[unseen.quality == 0]
-    assert len(bad) > 100 and good.kept.mean() > 0.995 and bad.kept.mean() < 0.06
+    assert len(bad) > 100 and good.kept.mean() > 0.995 and bad.kept.mean() < 0.1
     rows = out.toPandas()
     assert len(rows) == docs.count()
     # Kept rows are the k largest perturbed weights; k is the number of weights at or above the cut.
-    assert rows[rows.kept].log_weight.min() > rows[~rows.kept].log_weight.max() - 25
+    assert rows[rows.kept].log_weight.min() > rows[~rows.kept].log_weight.max() - 2.5
     again = Q.importance_resample(docs.repartition(7), half.repartition(2)).toPandas()
     assert again.set_index("doc_id").kept.sort_index().equals(rows.set_index("doc_id").kept.sort_index())
 

@@ -1,6 +1,7 @@
 """Registered corpus queries against their SQL twins, and the pipeline stage by stage."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def table(df):
     df = df[sorted(df.columns)]
-    return sorted((["" if x is None or x != x else str(float(x)) if isinstance(x, int | float) else str(x) for x in r] for r in df.astype(object).values.tolist()))
+    return sorted((["" if pd.isna(x) else str(float(x)) if isinstance(x, int | float) else str(x) for x in r] for r in df.astype(object).values.tolist()))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
