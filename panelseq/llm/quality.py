@@ -22,9 +22,9 @@ SMOOTHING = 1.0
 #: Pseudo-counts of the target model as a share of the number of buckets.
 PRIOR_SHARE = 0.05
 #: What a good row below the cut counts against a bad row above it.
-GOOD_WEIGHT = 2
+GOOD_WEIGHT = 3
 #: Scale of the Gumbel noise: what is sampled are the importance weights to the power 1 / TEMPERATURE.
-TEMPERATURE = 0.1
+TEMPERATURE = 0.05
 #: Bytes in three classes: white space, letters and digits, the rest.
 TOKEN_CLASS = np.full(256, 2, np.uint8)
 TOKEN_CLASS[:33] = 0
