@@ -7,13 +7,18 @@ offset follows inside its partition. A row belongs to the shard in whose byte ra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelseq.llm.common import narrow, safe_text, shuffle_partitions
 from panelseq.session import cut
 
 
+def shard_of(start: str, total: str, shards: int) -> Column:
+    """floor(start * shards / total) in integers: a decimal quotient is rounded to six places and can reach the next shard."""
+    return F.expr(f"(cast(`{start}` as decimal(38,0)) * {shards}) div cast(`{total}` as decimal(38,0))").cast("int")
+
+
 def byte_shards(docs: DataFrame, shards: int, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot) in order of id.
 
@@ -40,8 +45,8 @@ def byte_shards(docs: DataFrame, shards: int, overhead: int = 16, id_col: str =
     inside = Window.partitionBy("part").orderBy(*order)
     at = placed.withColumn("own_bytes", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     at = at.withColumn("own_row", F.row_number().over(inside) - 1).join(F.broadcast(offsets), "part")
-    wide = (F.col("bytes_before") + F.col("own_bytes")).cast("decimal(38,0)") * shards
-    at = at.withColumn("shard", F.floor(wide / F.col("all_bytes")).cast("int")).withColumn("row", F.col("rows_before") + F.col("own_row"))
+    at = at.withColumn("start", F.col("bytes_before") + F.col("own_bytes"))
+    at = at.withColumn("shard", shard_of("start", "all_bytes", shards)).withColumn("row", F.col("rows_before") + F.col("own_row"))
     at = at.select("doc_id", "size", "text_crc32", "shard", "row")
     first = at.groupBy("shard").agg(F.min("row").alias("first_row"))
     return at.join(F.broadcast(first), "shard").select(

@@ -2,7 +2,7 @@
 
 import zlib
 
-from panelseq.llm.shards import byte_shards
+from panelseq.llm.shards import byte_shards, shard_of
 
 
 def check(rows, got, shards):
@@ -34,3 +34,21 @@ def test_nulls_ties_clashes_and_empty(spark):
         check(rows, byte_shards(df, shards).collect(), shards)
     assert byte_shards(df.limit(0), 4).count() == 0
     assert len(byte_shards(df.limit(1), 40).collect()) == 1
+
+
+def test_cuts_of_large_totals_are_exact(spark):
+    big = 1 << 62
+    rows = [(29_999_999_700, 30_000_000_000), (1_499_999_984, 1_500_000_000), (499_999_984, 500_000_000), (0, 7), (749_999_999, 30_000_000_000),
+            (750_000_000, 30_000_000_000), (big - 1, big), (big // 40 * 39, big)]
+    got = spark.createDataFrame(rows, "start long, total long").select("start", "total", shard_of("start", "total", 40).alias("shard")).collect()
+    assert [r.shard for r in got] == [s * 40 // t for s, t in rows]
+
+
+def test_rows_just_before_a_cut_stay(spark):
+    over = 30_000_000_000
+    rows = spark.createDataFrame([(1, ""), (2, "x"), (3, ""), (4, "x")], "doc_id long, text string")
+    for n, shards in ((2, 2), (4, 4)):
+        got = {r.doc_id: (r.shard, r.slot) for r in byte_shards(rows.where(f"doc_id <= {n}"), shards, over).collect()}
+        total = n * over + n // 2
+        starts = [0, over, 2 * over + 1, 3 * over + 1][:n]
+        assert [got[k + 1][0] for k in range(n)] == [s * shards // total for s in starts]
