@@ -113,3 +113,37 @@ def test_near_copies_of_the_filter(spark):
     got = {r.doc_id: r.component_id for r in H.near_duplicates(df).collect()}
     assert all(got[i] == i for i, _ in rows if i not in want and i != 2002) and got[2002] == 2000
     assert sum(got[i] == c for i, c in want.items()) >= 118
+
+
+def test_near_copies_are_those_of_similarity_four_fifths(spark):
+    """Pairs about the limit, chains and a large group: components of the exact similarity, no more and no less."""
+    rng = np.random.default_rng(12)
+    pool = [f"word{k}" for k in range(5000)]
+    texts = []
+    for k in range(120):
+        base = rng.choice(pool, 300).tolist()
+        copy = list(base)
+        for at in np.linspace(10, 280, 3 + k % 12).astype(int):
+            copy[at] = "changed"
+        texts += [base, copy]
+    core = rng.choice(pool, 100).tolist()
+    texts += [[*core, *rng.choice(pool, 10 + k % 30).tolist()] for k in range(120)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    sets = [set(zip(*(t[j:] for j in range(5)))) for t in texts]
+    best = list(range(len(rows)))
+
+    def root(k):
+        while best[k] != k:
+            k = best[k]
+        return k
+
+    linked = 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = root(a), root(b)
+            best[max(x, y)] = min(x, y)
+            linked += 1
+    assert 100 < linked and len({root(k) for k in range(240)}) > 150
+    got = {r.doc_id: r.component_id for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: root(k) for k in range(len(rows))}
