@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -418,15 +419,34 @@ def identity_table(spark, sf):
 
 
 # ------------------------------------------------------------------ streams
+def _in_slice_order(spark, src: str) -> None:
+    """Give the files of a slice a modification time by its number: a file stream takes the oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{src}/slice=*/*.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in fs.globStatus(path)]
+    slices = [int(f.getParent().getName().removeprefix("slice=")) for f in files]
+    start = int(time.time() * 1000) - max(slices, default=0)
+    for f, k in zip(files, slices, strict=True):
+        fs.setTimes(f, start + k, -1)
+
+
 def _streamed(spark, sf, run):
-    """Panel slices as a file stream, run to its end; the sink is read back."""
+    """Panel slices as a file stream in order of time, run to its end; the sink is read back.
+
+    Every row of the panel has to come out as a state: late rows, gaps and rows that still wait raise.
+    """
     src, out, ck = (stage_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
     p = P.event_panel(spark, sf)
     p.withColumn("slice", F.expr("time_index div 20")).repartition("slice").write.partitionBy("slice").parquet(src)
+    _in_slice_order(spark, src)
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 4).parquet(f"{src}/slice=*")
     done = run(stream).writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.read.parquet(out).where("event = 'state'")
+    got = spark.read.parquet(out)
+    n, states, events = spark.read.parquet(src).count(), got.where("event = 'state'").count(), got.count()
+    if not n == states == events:
+        raise ValueError(f"{n} rows streamed, {states} states and {events - states} late rows or gaps came out")
+    return got
 
 
 @query("stream_ema", f"WITH RECURSIVE {S.PANEL}, {S.linear('s', '0.3::DOUBLE', start='fast')} SELECT {S.KT}, {q('state')} FROM s")

@@ -1,15 +1,16 @@
 """Updaters on streams: one row in, one state out, rows applied in index order.
 
 Time is the row index, so order needs no clock: a row waits in the state until
-its predecessor has come. A key holds at most ``max_waiting`` such rows; beyond that
-what is missing is given up, which a row with event ``gap`` says, and the rows after
-it are applied. Rows at or before the last applied index are late: they are not
-applied and come out as rows with event ``late``.
+its predecessor has come, however many wait. Only where ``max_waiting`` is given, what is
+missing is given up if a key still holds more rows than that after all rows of a trigger, which a row
+with event ``gap`` says, and the rows after it are applied. Rows at or before the last applied
+index are late: they are not applied and come out as rows with event ``late``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,14 +27,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 KINDS = ("constant_gain", "ema", "kalman_fixed", "kalman_adaptive")
 
 
-#: Early rows that a key may hold.
-MAX_WAITING = 1000
-
-
 class _Ordered:
     """Applies rows of a key in index order; subclasses supply ``advance``."""
 
-    max_waiting = MAX_WAITING
+    max_waiting: int | None = None
     fields = "mean double"
     width = 1
 
@@ -54,18 +51,23 @@ class _Ordered:
             pool = {int(t): (float(f), float(w)) for t, f, w in zip(wt, wf, ws)}
         else:
             s, nxt, late, pool = self.fresh(), 0, 0, {}
-        for pdf in rows:
+        for pdf in chain(rows, [None]):
             out = []
-            for t, f, w in zip(pdf[TIME].to_numpy(), pdf["fast"].to_numpy(), pdf["slow"].to_numpy()):
-                t = int(t)
-                if t < nxt or t in pool:
-                    late += 1
-                    out.append({TIME: t, "state": None, "gain": None, "late_rows": late, "missing_rows": 0, "event": "late"})
-                else:
-                    pool[t] = (float(f), float(w))
-            while nxt in pool or len(pool) > self.max_waiting:
+            if pdf is not None:
+                for t, f, w in zip(pdf[TIME].to_numpy(), pdf["fast"].to_numpy(), pdf["slow"].to_numpy()):
+                    t = int(t)
+                    if t < nxt or t in pool:
+                        late += 1
+                        out.append({TIME: t, "state": None, "gain": None, "late_rows": late, "missing_rows": 0, "event": "late"})
+                    else:
+                        pool[t] = (float(f), float(w))
+            limit = len(pool) if pdf is not None or self.max_waiting is None else self.max_waiting
+            early = sorted(pool, reverse=True) if len(pool) > limit else []
+            while nxt in pool or len(pool) > limit:
                 if nxt not in pool:
-                    found = min(pool)
+                    while early[-1] < nxt:
+                        early.pop()
+                    found = early[-1]
                     out.append({TIME: nxt, "state": None, "gain": None, "late_rows": late, "missing_rows": found - nxt, "event": "gap"})
                     nxt = found
                 f, w = pool.pop(nxt)
@@ -136,7 +138,7 @@ class _Tracker(_Ordered):
         return {"state": s[0], "gain": float(got["alpha"][0])}
 
 
-def _run(stream: DataFrame, processor: _Ordered, keys: Sequence[str], max_waiting: int) -> DataFrame:
+def _run(stream: DataFrame, processor: _Ordered, keys: Sequence[str], max_waiting: int | None) -> DataFrame:
     processor.max_waiting = max_waiting
     spark = stream.sparkSession
     ship(spark)
@@ -147,7 +149,7 @@ def _run(stream: DataFrame, processor: _Ordered, keys: Sequence[str], max_waitin
         processor.schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_update(stream: DataFrame, kind: str, params, keys: Sequence[str] = SEQUENCE, max_waiting: int = MAX_WAITING) -> DataFrame:
+def stream_update(stream: DataFrame, kind: str, params, keys: Sequence[str] = SEQUENCE, max_waiting: int | None = None) -> DataFrame:
     """Constant gain, EMA, fixed or adaptive Kalman; a new recording is a new key.
 
     States are rows with event ``state``; see the module for ``late`` and ``gap``.
@@ -157,7 +159,7 @@ def stream_update(stream: DataFrame, kind: str, params, keys: Sequence[str] = SE
     return _run(stream, _Linear(keys, kind, params), keys, max_waiting)
 
 
-def stream_change_aware(stream: DataFrame, config: U.TrackerConfig = U.TrackerConfig(), keys: Sequence[str] = SEQUENCE, max_waiting: int = MAX_WAITING) -> DataFrame:
+def stream_change_aware(stream: DataFrame, config: U.TrackerConfig = U.TrackerConfig(), keys: Sequence[str] = SEQUENCE, max_waiting: int | None = None) -> DataFrame:
     """Change-aware tracker with a ring of the last ``past_window`` inputs as state."""
     return _run(stream, _Tracker(keys, config), keys, max_waiting)
 

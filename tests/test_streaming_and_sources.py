@@ -28,6 +28,31 @@ def test_late_and_early_rows(spark, tmp_path):
     assert ST.check_prefix(got, U.change_aware(spark.createDataFrame(rows, schema))).count() == 0
 
 
+def test_a_long_shuffled_key_loses_nothing(spark, tmp_path):
+    schema = "group_id long, seed int, recording_id int, time_index long, fast double, slow double"
+    rows = pd.DataFrame({"group_id": 1, "seed": 1, "recording_id": 0, "time_index": range(5000), "fast": [0.1 * (i % 7) for i in range(5000)], "slow": 0.2})
+    mixed = rows.sample(frac=1, random_state=3)
+    for i in range(3):
+        spark.createDataFrame(mixed.iloc[i::3], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/b*")
+    out = str(tmp_path / "out")
+    ST.stream_update(stream, "ema", 0.3).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.where("event = 'state'").count() == got.count() == 5000
+    assert ST.check_prefix(got, U.ema(spark.createDataFrame(rows, schema), 0.3)).count() == 0
+
+
+def test_stream_queries_refuse_lost_rows(spark, monkeypatch):
+    whole = spark.range(300).selectExpr("1L AS group_id", "1 AS seed", "0 AS recording_id", "id AS time_index", "0.5D AS fast", "0.2D AS slow")
+    run = lambda stream: ST.stream_update(stream, "ema", 0.3)
+    monkeypatch.setattr(CQ.P, "event_panel", lambda *a: whole)
+    assert CQ._streamed(spark, "", run).count() == 300
+    for bad in (whole.where("time_index <> 150"), whole.union(whole.where("time_index = 7"))):
+        monkeypatch.setattr(CQ.P, "event_panel", lambda *a, d=bad: d)
+        with pytest.raises(ValueError, match="rows streamed"):
+            CQ._streamed(spark, "", run)
+
+
 def test_sinks_refuse_to_overwrite(spark, sf_dir, tmp_path):
     m = CQ.document_manifest(spark, sf_dir)
     A.save_manifest(m, str(tmp_path / "m"))
