@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelseq.llm import chat, decontam, embed_join, licenses, pieces, quality, sentence_spans, shards, simhash, suffix_dedup
+from panelseq.llm import chat, decontam, embed_join, licenses, merkle, pieces, quality, sentence_spans, shards, simhash, suffix_dedup
 from panelseq.llm.common import documents
 
 QUERIES: dict = {}
@@ -167,3 +167,66 @@ def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+
+
+#: CRC-32 of a list of byte values.
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], {bytes}), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+  lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII expression."""
+    return CRC32_SQL.format(bytes=f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)")
+
+
+def leaf_sql(n_chars: str) -> str:
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+    return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {leaf_sql("n_chars")} AS leaf,
+    CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 7 = 0 AND n_chars IS NOT NULL THEN {leaf_sql("(n_chars + 1)")} END AS tampered FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp FROM leaves),
+nodes AS (
+  SELECT grp, 0 AS level, slot, leaf AS node, count(*) OVER (PARTITION BY grp) AS size FROM placed
+  UNION ALL
+  SELECT grp, level + 1, slot // 2, sha256(string_agg(node, '' ORDER BY slot)), (any_value(size) + 1) // 2
+  FROM nodes WHERE size > 1 GROUP BY grp, level, slot // 2),
+subroots AS (SELECT grp, level AS height, node AS subroot FROM nodes WHERE size = 1),
+tops AS (
+  SELECT 0 AS level, grp AS slot, subroot AS node, count(*) OVER () AS size FROM subroots
+  UNION ALL
+  SELECT level + 1, slot // 2, sha256(string_agg(node, '' ORDER BY slot)), (any_value(size) + 1) // 2
+  FROM tops WHERE size > 1 GROUP BY level, slot // 2),
+roots AS (SELECT level AS height, node AS root FROM tops WHERE size = 1),
+siblings AS (
+  SELECT grp, level, slot, node FROM nodes
+  UNION ALL SELECT s.grp, s.height + t.level, -1 - t.slot, t.node FROM tops t, subroots s),
+climb AS (
+  SELECT doc_id, p.grp, leaf, p.slot AS leaf_slot, 0 AS level, CASE WHEN s.height = 0 THEN p.grp ELSE p.slot END, '' AS proof,
+    coalesce(tampered, leaf) AS node FROM placed p JOIN subroots s USING (grp)
+  UNION ALL
+  SELECT c.doc_id, c.grp, c.leaf, c.leaf_slot, c.level + 1,
+    CASE WHEN c.level + 1 = s.height THEN c.grp ELSE c.slot // 2 END,
+    c.proof || coalesce(n.node, ''),
+    sha256(CASE WHEN c.slot % 2 = 1 THEN coalesce(n.node, '') || c.node ELSE c.node || coalesce(n.node, '') END)
+  FROM climb c JOIN subroots s ON s.grp = c.grp CROSS JOIN roots r
+  LEFT JOIN siblings n ON n.grp = c.grp AND n.level = c.level
+    AND n.slot = CASE WHEN c.level < s.height THEN xor(c.slot, 1) ELSE -1 - xor(c.slot, 1) END
+  WHERE c.level < s.height + r.height),
+start AS (
+  SELECT doc_id, p.grp, leaf, p.slot AS leaf_slot, s.subroot, r.root, s.height, r.height AS top FROM placed p JOIN subroots s USING (grp) CROSS JOIN roots r)
+SELECT b.doc_id, b.leaf, b.subroot, b.root, sha256(c.proof) AS proof_sha256, c.node AS folded_root, c.node = b.root AS verified
+FROM start b JOIN climb c ON c.grp = b.grp AND c.leaf_slot = b.leaf_slot AND c.level = b.height + b.top
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
