@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelseq.llm import chat, decontam, embed_join, licenses, merkle, pieces, quality, sentence_spans, shards, simhash, suffix_dedup
+from panelseq.llm import chat, chat_repair, decontam, embed_join, licenses, merkle, pieces, quality, sentence_spans, shards, simhash, suffix_dedup
 from panelseq.llm.common import documents
 
 QUERIES: dict = {}
@@ -230,3 +230,67 @@ FROM start b JOIN climb c ON c.grp = b.grp AND c.leaf_slot = b.leaf_slot AND c.l
 @query("op13_merkle_manifest", MERKLE_SQL)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND copy <= CASE WHEN kind = 3 THEN 2 ELSE 1 END),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM ordered),
+marked AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(solid[-1], '[.!?]') THEN 'truncated' END AS fault,
+    CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '-' END AS r FROM seen),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM marked GROUP BY conv_id),
+inserts(q, p, more, letters) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (2, 3, 2, 'I'), (3, 2, 2, 'I'),
+    (0, 3, 4, 'II'), (1, 3, 4, 'II')),
+edits(p, t, needs, price, letter) AS (
+  VALUES (0, 0, NULL, 3, 'D'), (1, 1, NULL, 3, 'D'), (2, 2, NULL, 3, 'D'), (3, 3, NULL, 3, 'D'),
+    (0, 2, '*', 2, 'R'), (1, 2, '*', 2, 'R'), (2, 3, '*', 2, 'R'), (3, 2, '*', 2, 'R'),
+    (0, 1, 's', 0, 'K'), (0, 2, 'u', 0, 'K'), (1, 2, 'u', 0, 'K'), (3, 2, 'u', 0, 'K'), (2, 3, 'a', 0, 'K')),
+moves AS (SELECT q, t, needs, more + price AS price, letters || letter AS letters, letter FROM inserts JOIN edits USING (p)),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {{'cost': 0::BIGINT, 'audit': ''}} AS b FROM counts
+  UNION ALL
+  SELECT m.conv_id, m.i, v.t, min({{'cost': b.b.cost + v.price + CASE WHEN m.fault = 'truncated' AND v.letter <> 'D' THEN 1 ELSE 0 END, 'audit': b.b.audit || v.letters}})
+  FROM best b JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1
+  JOIN moves v ON v.q = b.q AND (v.needs IS NULL OR ((m.fault IS NULL OR m.fault = 'truncated') AND v.needs IN ('*', m.r)))
+  GROUP BY m.conv_id, m.i, v.t),
+plans AS (
+  SELECT b.conv_id, min({{'cost': b.b.cost + e.more, 'audit': b.b.audit || e.letters}}) AS b
+  FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i
+  JOIN (VALUES (0, 0, ''), (1, 4, 'II'), (2, 2, 'I'), (3, 0, '')) e(q, more, letters) ON e.q = b.q GROUP BY b.conv_id),
+letters AS (
+  SELECT conv_id, b.audit AS audit, unnest(range(1, length(b.audit) + 1)) AS p FROM plans),
+placed AS (
+  SELECT conv_id, p, audit[p] AS letter, p - (length(audit[1:p]) - length(replace(audit[1:p], 'I', ''))) AS i,
+    length(replace(audit[1:p], 'D', '')) AS o FROM letters),
+lines AS (
+  SELECT l.conv_id, l.p, l.letter, l.o, m.role, m.text, coalesce(bool_or(l.o = 1 AND l.letter = 'K' AND m.r = 's') OVER (PARTITION BY l.conv_id), false) AS headed
+  FROM placed l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i AND l.letter <> 'I'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o % 2 = 1) <> headed THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS body FROM lines WHERE letter <> 'D' GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(p.b.cost, 0)::BIGINT AS cost, coalesce(p.b.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+@query("op11_chat_repair", REPAIR_SQL)
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat_repair.repair_report(chat_repair.damage(given), given)
