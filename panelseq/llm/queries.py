@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelseq.llm import chat, chat_repair, decontam, embed_join, licenses, merkle, pieces, quality, sentence_spans, shards, simhash, suffix_dedup
+from panelseq.llm import chat, chat_repair, decontam, embed_join, lang_id, licenses, merkle, pieces, quality, sentence_spans, shards, simhash, suffix_dedup
 from panelseq.llm.common import documents
 
 QUERIES: dict = {}
@@ -294,3 +294,8 @@ LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN texts t
 def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat_repair.repair_report(chat_repair.damage(given), given)
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_report(documents(spark, sf_dir))
