@@ -33,10 +33,17 @@ joined AS (
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss_text,
     sum(14 + length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), chr(10), '\n'))
       + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h')) - 1) AS formatted_chars
-  FROM all_turns GROUP BY conv_id)
+  FROM all_turns GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, role, row_number() OVER w AS i, coalesce(lag(role) OVER w, '') AS before, coalesce(lag(role, 2) OVER w, '') AS earlier
+  FROM all_turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+machine AS (
+  SELECT conv_id, min(i) FILTER (NOT CASE role WHEN 'system' THEN i = 1 WHEN 'user' THEN i = 1 OR before = 'assistant' OR (before = 'system' AND i = 2)
+    WHEN 'assistant' THEN before = 'user' ELSE false END) - 1 AS stopped_at, arg_max(role, i) AS last_role FROM steps GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss_text) AS loss_chars,
-  sha256(loss_text) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
-FROM joined
+  sha256(loss_text) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars,
+  stopped_at IS NULL AND last_role = 'assistant' AS valid, stopped_at::INT AS stopped_at
+FROM joined JOIN machine USING (conv_id)
 """
 
 
@@ -53,7 +60,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("turns", turns).withColumn("loss", chat.loss_text(F.col("segments"))).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"))
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid", "stopped_at")
 
 
 @query("op6_simhash")
@@ -142,11 +149,13 @@ WITH s AS (
   SELECT doc_id, list_filter(list_transform(string_split(
     regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\x0B\x0C]', '\1' || chr(10), 'g'), chr(10)),
     lambda x: regexp_replace(x, '^[ \t\r\x0B\x0C]+|[ \t\r\x0B\x0C]+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
-spans AS (
-  SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS run
-  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM s WHERE len(l) >= 3)),
-again AS (SELECT doc_id, i FROM spans QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, i + d AS i FROM again, (SELECT unnest([0, 1, 2]) AS d)),
+w AS (SELECT doc_id, l, list_transform(l, lambda x: len(regexp_extract_all(x, '[^ \t\r\x0B\x0C]+'))) AS w FROM s),
+ends AS (
+  SELECT a.doc_id, a.i, a.l, list_position(list_transform(range(a.i, len(a.l) + 1), lambda k: list_sum(a.w[a.i:k]) >= 20), true) - 1 + a.i AS j
+  FROM (SELECT doc_id, l, w, unnest(range(1, len(l) + 1)) AS i FROM w) a),
+spans AS (SELECT doc_id, i, j, array_to_string(l[i:j], chr(10)) AS run FROM ends WHERE j IS NOT NULL),
+again AS (SELECT doc_id, i, j FROM spans QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM again),
 per AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
 SELECT s.doc_id, len(l) AS n_sentences, coalesce(len(g), 0) AS n_removed,
   sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda k: g IS NULL OR NOT list_contains(g, k)), lambda k: l[k]), chr(10)), '')) AS kept_sha256
