@@ -168,7 +168,7 @@ def score_states(spark, sf):
 
 
 # ------------------------------------------------------------------ named feature sets
-def _features(spark, sf, feature_set):
+def features(spark, sf, feature_set):
     d = P.spatial_rows(spark, sf).withColumnRenamed("values", "five").withColumn("two", F.transform("five", lambda x: x * x))
     return X.extract_features(
         d, feature_set, X.WINDOWS, [RECORDING], TIME, "five", "two", 16, 4, 4, 16)
@@ -217,7 +217,7 @@ SELECT feature, {q('avg(v)', 'mean_value', 5)}, count(*) AS n FROM fam GROUP BY
 
 def _feature_means(spark, sf, feature_set):
     """Mean of every feature column: the set's schema and values in one table."""
-    d = _features(spark, sf, feature_set)
+    d = features(spark, sf, feature_set)
     names = [c for c in d.columns if c not in REC]
     one = d.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in names])
     return one.select("_n", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in names]))).select(

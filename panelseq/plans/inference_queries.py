@@ -10,6 +10,7 @@ from panelseq.operators import claims as C
 from panelseq.operators import infer as I
 from panelseq.operators import oof as O
 from panelseq.operators import splits as SP
+from panelseq.plans import feature_queries as FQ
 from panelseq.plans import panels as P
 from panelseq.plans import sql_parts as S
 from panelseq.plans.registry import q, query, r
@@ -318,15 +319,78 @@ def oof_predict_wide(spark, sf):
     return d.groupBy(SEED, GROUP).agg(r(F.sqrt(F.avg(F.pow(F.col("target") - F.col("prediction"), 2))), 6, "rmse"))
 
 
-@query("outer_predict", f"""WITH {_PANEL_RANK}, {_ROWS},
-h AS (SELECT seed, m AS member, ('0x' || substr(md5(seed || ':outer:' || m || ':' || rank), 1, 8))::BIGINT % n AS rank FROM rk, range({MEMBERS}) t(m)),
-wt AS MATERIALIZED (SELECT h.seed, member, group_id, count(*)::DOUBLE AS w FROM h JOIN rk ON rk.seed = h.seed AND rk.rank = h.rank GROUP BY ALL),
-tot AS (SELECT seed, member, sum(w * n0) AS n0, sum(w * sx) AS sx, sum(w * sxx) AS sxx, sum(w * sy) AS sy, sum(w * sxy) AS sxy FROM wt JOIN gm USING (group_id) GROUP BY ALL),
-lf AS (SELECT rk.seed, tot.member, rk.group_id, tot.n0 - coalesce(w, 0) * gm.n0 AS n0, tot.sx - coalesce(w, 0) * gm.sx AS sx, tot.sxx - coalesce(w, 0) * gm.sxx AS sxx,
-  tot.sy - coalesce(w, 0) * gm.sy AS sy, tot.sxy - coalesce(w, 0) * gm.sxy AS sxy FROM rk JOIN tot ON tot.seed = rk.seed JOIN gm ON gm.group_id = rk.group_id
-  LEFT JOIN wt ON wt.seed = rk.seed AND wt.member = tot.member AND wt.group_id = rk.group_id),
-md AS (SELECT seed, group_id, avg(b0) AS b0, avg(b1) AS b1 FROM (SELECT seed, group_id, {_SOLVE} FROM lf) GROUP BY ALL)
-SELECT md.seed, tr.group_id, recording_id, time_index, {q('b0 + b1 * slow', 'prediction')} FROM tr JOIN md USING (group_id)""")
+FRACTION = 0.2
+# Draws are slots of the train part, the same for every held-out group; a slot's rank jumps over the held-out group or the validation part.
+_OUTER_FIT = f"""{_PANEL_RANK}, {_ROWS},
+lo AS MATERIALIZED (SELECT *, greatest(1, floor((n - 1) * {FRACTION} + 0.5))::BIGINT AS c FROM rk),
+h AS (SELECT seed, c, m AS member, ('0x' || substr(md5(seed || ':outer:' || m || ':' || rank), 1, 8))::BIGINT % (n - 1 - c) AS slot FROM lo, range({MEMBERS}) t(m) WHERE rank < n - 1 - c),
+wt AS MATERIALIZED (SELECT seed, c, member, slot, count(*)::DOUBLE AS w FROM h GROUP BY ALL),
+dr AS (SELECT t.seed, t.group_id AS test_group, member, w, slot + t.c + CASE WHEN t.rank < t.c OR slot + t.c >= t.rank THEN 1 ELSE 0 END AS rank FROM lo t JOIN wt ON wt.seed = t.seed),
+lf AS (SELECT dr.seed, test_group, member, sum(w) AS drawn, sum(w * n0) AS n0, sum(w * sx) AS sx, sum(w * sxx) AS sxx, sum(w * sy) AS sy, sum(w * sxy) AS sxy
+  FROM dr JOIN rk ON rk.seed = dr.seed AND rk.rank = dr.rank JOIN gm ON gm.group_id = rk.group_id GROUP BY ALL),
+md AS MATERIALIZED (SELECT seed, test_group AS group_id, member, {_SOLVE} FROM lf)"""
+
+
+def _splits(spark, sf):
+    return SP.loso_splits(_groups(spark, sf), SEEDS, FRACTION)
+
+
+@query("outer_models", f"WITH {_OUTER_FIT} SELECT seed, group_id, member::INTEGER AS member, {q('b0')}, {q('b1')} FROM md")
+def outer_models(spark, sf):
+    """A model for each held-out group and member, on draws of the train part alone."""
+    d = O.outer_models(model_rows(spark, sf), _splits(spark, sf), ["slow"], MEMBERS, PENALTY)
+    return d.select(SEED, GROUP, "member", r(F.col("coef")[0], name="b0"), r(F.col("coef")[1], name="b1"))
+
+
+@query("outer_predict", f"""WITH {_OUTER_FIT}, av AS (SELECT seed, group_id, avg(b0) AS b0, avg(b1) AS b1 FROM md GROUP BY ALL)
+SELECT av.seed, tr.group_id, recording_id, time_index, {q('b0 + b1 * slow', 'prediction')} FROM tr JOIN av USING (group_id)""")
 def outer_predict(spark, sf):
-    d = O.outer_predict(model_rows(spark, sf), _groups(spark, sf), SEEDS, ["slow"], MEMBERS, PENALTY)
+    d = O.outer_predict(model_rows(spark, sf), _splits(spark, sf), ["slow"], MEMBERS, PENALTY)
     return d.select(SEED, GROUP, RECORDING, TIME, r("prediction"))
+
+
+# ------------------------------------------------------------------ candidate feature sets
+SETS = {"slow": ["slow"], "fast": ["fast"], "both": ["slow", "fast"]}
+
+
+def _single(x: str) -> tuple[str, str]:
+    """Intercept and slope of one feature from the sums of both."""
+    sq, cross = f"(s{x}{x} + {PENALTY})", "sxy" if x == "x" else "szy"
+    det = f"(n0 * {sq} - s{x} * s{x})"
+    return f"({sq} * sy - s{x} * {cross}) / {det}", f"(n0 * {cross} - s{x} * sy) / {det}"
+
+
+_SETS_SQL = f"""WITH {_WIDE}, cf AS (SELECT seed, fold, 'both' AS candidate_id, b0, b1, b2 FROM md
+  UNION ALL SELECT seed, fold, 'slow', {_single('x')[0]}, {_single('x')[1]}, 0 FROM sm UNION ALL SELECT seed, fold, 'fast', {_single('z')[0]}, 0, {_single('z')[1]} FROM sm),
+av AS (SELECT seed, fold, candidate_id, avg(b0) AS b0, avg(b1) AS b1, avg(b2) AS b2 FROM cf GROUP BY ALL)
+SELECT rk.seed, tr.group_id, candidate_id, {q('sqrt(avg(pow(target - b0 - b1 * slow - b2 * fast, 2)))', 'rmse')} FROM tr JOIN rk USING (group_id) JOIN av ON av.seed = rk.seed AND av.fold = rk.fold GROUP BY ALL"""
+
+
+@query("oof_candidates", _SETS_SQL)
+def oof_candidates(spark, sf):
+    """Three feature sets, fitted and judged from one Gram matrix a group."""
+    d = O.oof_candidate_errors(model_rows(spark, sf), _folds(spark, sf), ["slow", "fast"], SETS, K, MEMBERS, PENALTY)
+    return d.select(SEED, GROUP, "candidate_id", r("rmse"))
+
+
+def enhanced_rows(spark, sf):
+    """All columns of the enhanced set, one energy as the target; what is not finite counts as zero."""
+    d = FQ.features(spark, sf, "enhanced")
+    names = [c for c in d.columns if c not in FQ.REC]
+    target = "five_log_energy_band_0"
+    finite = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in names]
+    return d.select(F.col(RECORDING).alias(GROUP), TIME, *finite).withColumnRenamed(target, "target"), [c for c in names if c != target]
+
+
+def enhanced_sets(names):
+    rolling = [c for c in names if "_w" in c]
+    return {"current": [c for c in names if c not in rolling], "rolling": rolling, "enhanced": names}
+
+
+@query("oof_candidates_enhanced")
+def oof_candidates_enhanced(spark, sf):
+    """Three feature sets of all enhanced columns; too wide for SQL, so tested against a plain solution."""
+    rows, names = enhanced_rows(spark, sf)
+    folds = SP.grouped_kfold(rows.select(GROUP).distinct(), SEEDS, K)
+    d = O.oof_candidate_errors(rows, folds, names, enhanced_sets(names), K, MEMBERS, PENALTY)
+    return d.select(SEED, GROUP, "candidate_id", r("rmse"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
+from panelseq.operators import nested as N
 from panelseq.operators import oof as O
 from panelseq.operators import select as C
 from panelseq.operators import updaters as U
@@ -244,6 +245,42 @@ pool AS (SELECT s.*, b.mean_rmse + b.rmse_se AS threshold FROM summary s,
   (SELECT mean_rmse, rmse_se FROM summary ORDER BY mean_rmse, candidate_id LIMIT 1) b WHERE s.mean_rmse <= b.mean_rmse + b.rmse_se)"""
 
 
+#: What a nested lock covers, in the order of its JSON.
+LOCKED = ("best_candidate", "best_ema", "best_kalman", "development_rows", "fast_candidate", "median_absolute_lag_match", "median_mafd_match", "outer_group", "outer_rows_used", "slow_candidate")
+_LOCK = " || ',' || ".join(
+    f"""'"{c}":' || {c}""" if c in ("development_rows", "outer_group", "outer_rows_used") else f"""'"{c}":"' || {c} || '"'""" for c in LOCKED)
+NESTED_SQL = f"""WITH RECURSIVE {SUMMARY},
+os AS MATERIALIZED (SELECT o.group_id AS outer_group, split_part(candidate_id, '_', 1) AS family, candidate_id, round(avg(rmse), 9) AS mean_rmse,
+  round(stddev_samp(rmse) / sqrt(count(*)), 9) AS rmse_se, round(median(absolute_lag), 9) AS lag, round(median(mafd), 9) AS mafd, count(*) AS n
+  FROM (SELECT DISTINCT group_id FROM gm) o JOIN gm ON gm.group_id <> o.group_id GROUP BY ALL),
+best AS (SELECT *, mean_rmse + rmse_se AS threshold FROM os QUALIFY row_number() OVER (PARTITION BY outer_group ORDER BY mean_rmse, candidate_id) = 1),
+pl AS (SELECT os.*, threshold FROM os JOIN best USING (outer_group) WHERE os.mean_rmse <= threshold),
+fa AS (SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY outer_group ORDER BY lag NULLS LAST, mean_rmse, candidate_id) = 1),
+sl AS (SELECT pl.* FROM pl JOIN fa ON fa.outer_group = pl.outer_group AND fa.candidate_id <> pl.candidate_id
+  QUALIFY row_number() OVER (PARTITION BY pl.outer_group ORDER BY pl.mafd, pl.mean_rmse, pl.candidate_id) = 1),
+fam AS (SELECT * FROM os QUALIFY row_number() OVER (PARTITION BY outer_group, family ORDER BY mean_rmse, lag NULLS LAST, mafd, candidate_id) = 1),
+near AS (SELECT a.outer_group, a.candidate_id, a.mean_rmse, round(abs(a.mafd - b.mafd), 9) AS dm, round(abs(a.lag - b.lag), 9) AS dl, b.mafd AS rm
+  FROM os a JOIN os b ON a.outer_group = b.outer_group AND a.family = 'ema' AND b.candidate_id = 'kalman_1'),
+nm AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY outer_group ORDER BY dm NULLS LAST, mean_rmse, candidate_id) = 1),
+nl AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY outer_group ORDER BY dl NULLS LAST, mean_rmse, candidate_id) = 1),
+dv AS (SELECT outer_group, sum(n)::BIGINT AS development_rows FROM os GROUP BY outer_group), pz AS (SELECT outer_group, count(*) AS pool_size FROM pl GROUP BY outer_group)
+SELECT *, sha256('{{' || {_LOCK} || '}}') AS lock_sha256 FROM (
+SELECT outer_group, best.candidate_id AS best_candidate, {q('best.threshold', 'threshold')}, pool_size::INTEGER AS pool_size, pool_size >= 2 AS pool_ok,
+  fa.candidate_id AS fast_candidate, sl.candidate_id AS slow_candidate, e.candidate_id AS best_ema, k.candidate_id AS best_kalman,
+  nm.candidate_id AS median_mafd_match, nm.dm <= 0.1 * greatest(abs(nm.rm), 1e-12) AS median_mafd_within,
+  nl.candidate_id AS median_absolute_lag_match, nl.dl <= 0.5 AS median_absolute_lag_within, development_rows, 0::BIGINT AS outer_rows_used
+FROM best JOIN pz USING (outer_group) JOIN fa USING (outer_group) LEFT JOIN sl USING (outer_group) JOIN nm USING (outer_group) JOIN nl USING (outer_group) JOIN dv USING (outer_group)
+JOIN fam e ON e.outer_group = best.outer_group AND e.family = 'ema' JOIN fam k ON k.outer_group = best.outer_group AND k.family = 'kalman')"""
+
+
+@query("nested_selection", NESTED_SQL)
+def nested_selection(spark, sf):
+    """Pool, roles and matched points of every outer group, each over all other groups."""
+    per_group = M.subject_metrics(candidate_states(spark, sf), "state", MAX_LAG, ["family", "candidate_id"])
+    d = N.outer_choices(N.outer_summaries(per_group), 2, ("ema", "kalman"), "kalman_1", matched_family="ema")
+    return d.withColumn("threshold", r("threshold")).withColumn("lock_sha256", O.fingerprint_of(*LOCKED))
+
+
 @query("group_metrics", f"WITH RECURSIVE {SUMMARY} SELECT candidate_id, group_id, {q('rmse')}, {q('mafd')}, {q('absolute_lag')} FROM gm")
 def group_metrics(spark, sf):
     d = M.subject_metrics(candidate_states(spark, sf), "state", MAX_LAG, ["candidate_id"])
