@@ -282,14 +282,44 @@ def _near_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check(shingle), "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id): documents joined by chains of links of Jaccard similarity NEAR and more.
+#: Blocks of shingles by which what two sets can share is bounded.
+COUNT_BLOCKS = 64
 
-    A node is a set of shingles, named by 64 bits; equal sets are one node, and null and empty texts have the
-    empty set. Two nodes that share a band key and whose sizes allow it are candidates. First each node of a key is checked
-    against the smallest one; then all pairs of a key that are not yet in one component are, so that a large group
-    of copies costs one check a member and no pair is left out. Ids are named as in ``simhash_components``.
-    """
+
+def _shingle_rows(shingle: int):
+    def run(batches):
+        for b in batches:
+            for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
+                h = shingle_set(text, shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h)], ["node", "h"])
+
+    return run
+
+
+def _shared_counts(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shared, counts): how many shingles of a set another set of ``nodes`` has too, in all and by block."""
+    rows = cut(texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(_shingle_rows(shingle), "node bigint, h bigint"))
+    common = cut(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    blocks = rows.join(common, "h").groupBy("node", F.pmod("h", F.lit(COUNT_BLOCKS)).alias("block")).agg(F.count("*").cast("int").alias("n"))
+    held = blocks.groupBy("node").agg(F.sum("n").cast("int").alias("shared"), F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("_m"))
+    at = F.sequence(F.lit(0).cast("long"), F.lit(COUNT_BLOCKS - 1).cast("long"))
+    return held.select("node", "shared", F.transform(at, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0))).alias("counts"))
+
+
+def _reaches(common, x: str, y: str):
+    """Whether sets of sizes ``x`` and ``y`` with ``common`` shingles in common have a similarity of NEAR at least."""
+    return common >= (F.col(x) + F.col(y) - common) * F.lit(NEAR) - F.lit(1e-6)
+
+
+def _can_reach(x: str, y: str):
+    """Bounds of the similarity of two nodes that lose no link, the cheap ones first."""
+    by_block = F.aggregate(F.zip_with(f"counts_{x}", f"counts_{y}", lambda p, q: F.least(p, q)), F.lit(0), lambda t, n: t + n)
+    sizes = (f"size_{x}", f"size_{y}")
+    return (F.least(*sizes) >= F.greatest(*sizes) * F.lit(NEAR) - F.lit(1e-6)) & _reaches(F.least(f"shared_{x}", f"shared_{y}"), *sizes) & _reaches(by_block, *sizes)
+
+
+def _near_parts(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, part), one row for each row of ``docs``; see ``near_duplicates``."""
     spark = docs.sparkSession
     ship(spark)
     rows = narrow(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
@@ -302,29 +332,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     same = rows["doc_id"].eqNullSafe(named["doc_id"]) & (rows["text_hash"] == named["text_hash"])
     texts = cut(rows.join(named, same).select("node", "text"))
 
-    def fit(x: str, y: str):
-        return F.least(x, y) >= F.greatest(x, y) * F.lit(NEAR) - F.lit(1e-6)
+    def parted(links: DataFrame) -> DataFrame:
+        return components(links, "a", "b").select(F.col("id").alias("node"), F.col("component").alias("part"))
 
-    stars = met.where(F.col("node") != F.col("head")).where(fit("size", "head_size")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    fits = F.least("size", "head_size") >= F.greatest("size", "head_size") * F.lit(NEAR) - F.lit(1e-6)
+    stars = met.where(F.col("node") != F.col("head")).where(fits).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     links = _near_pairs(stars, texts, shingle)
-    joined = components(links, "a", "b")
-    met = cut(met.join(joined, met["node"] == joined["id"], "left").select("key", "node", "size", "head", F.coalesce("component", "node").alias("part")))
-    parts = met.select("key", "part").distinct()
-    apart = parts.toDF("key", "part").join(parts.toDF("key", "other"), "key").where("part < other")
-    left = met.join(apart, ["key", "part"]).select("key", "other", F.col("node").alias("a"), F.col("size").alias("size_a"))
-    right = met.select("key", F.col("part").alias("other"), F.col("node").alias("b"), F.col("size").alias("size_b"), "head")
-    rest = left.join(right, ["key", "other"]).where("a <> head and b <> head").where(fit("size_a", "size_b")).select("a", "b").distinct()
-    links = links.union(_near_pairs(rest, texts, shingle))
-    joined = components(links, "a", "b")
-    ids = found.join(joined, found["node"] == joined["id"], "left").select("doc_id", F.coalesce("component", "node").alias("part"))
+    others = met.where(F.col("node") != F.col("head")).select("key", "node", "size")
+
+    def apart(parts: DataFrame) -> DataFrame:
+        """The nodes, heads aside, of keys that still hold more than one part."""
+        now = others.join(parts, "node", "left").select("key", "node", "size", F.coalesce("part", "node").alias("part"))
+        several = now.groupBy("key").agg((F.min("part") < F.max("part")).alias("several")).where("several").select("key")
+        return cut(now.join(several, "key", "left_semi"))
+
+    left = apart(parted(links))
+    if left.limit(1).count():
+        counts = _shared_counts(left, texts, shingle)
+        # A set whose shared shingles are too few has no link; of the others the one that shares most is the next head of its key.
+        alive = cut(left.select("key", "node", "size").join(counts, "node").where(F.col("shared") >= F.col("size") * F.lit(NEAR) - F.lit(1e-6)))
+        best = alive.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("size")).alias("share"), "node")).alias("best")).select("key", F.col("best.node").alias("b"))
+        sides = [alive.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "shared", "counts")]) for x in ("a", "b")]
+        centre = sides[1].join(best, "key").where("node_b = b").drop("b")
+        more = sides[0].join(centre, "key").where("node_a <> node_b").where(_can_reach("a", "b"))
+        links = cut(links.union(_near_pairs(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), texts, shingle)))
+        parts = parted(links)
+        still = apart(parts).select("key", "node", "part")
+        a, b = (s.join(still.select("key", F.col("node").alias(f"node_{x}"), F.col("part").alias(f"part_{x}")), ["key", f"node_{x}"]) for s, x in zip(sides, "ab", strict=True))
+        a, b = cut(a).withColumnRenamed("key", "key_a"), cut(b).withColumnRenamed("key", "key_b")
+        rest = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("part_a") < F.col("part_b")) & _can_reach("a", "b"))
+        links = links.union(_near_pairs(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), texts, shingle))
+    joined = parted(links)
+    return found.select("doc_id", "text_hash", "node").join(joined, "node", "left").select("doc_id", "text_hash", F.coalesce("part", "node").alias("part"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id): documents joined by chains of links of Jaccard similarity NEAR and more.
+
+    A node is a set of shingles, named by 64 bits; equal sets are one node, and null and empty texts have the
+    empty set. Two nodes that share a band key are candidates. First each node of a key is checked against the smallest one. Nodes of keys
+    that are then still apart are held against each other by what they can share at most: only shingles that some other such set has
+    count, in all and block by block, which loses no link. Those within the bound are checked, first against the node
+    that shares most. So copies cost one check a member, and sets of one key that only look alike cost a comparison of counts for each pair, but no row.
+    Ids are named as in ``simhash_components``. Repeated rows give repeated results, other columns are left out, an empty table gives no rows.
+    """
+    ids = _near_parts(docs, shingle)
     return ids.join(ids.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part").select("doc_id", "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document for each group, with all columns.
+    """One row of ``docs`` for each component, with all columns: that of the smallest id, and of its smallest text hash.
 
-    A row with a null id stays.
+    Rows go by id and text, so of an id with two texts only the copy goes; of repeated rows one stays. A row with a null id stays.
     """
-    found = near_duplicates(docs, shingle)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(c) for c in docs.columns])
+    ids = cut(_near_parts(docs, shingle).where("doc_id IS NOT NULL"))
+    first = ids.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = ids.join(first, "part").where(F.struct("doc_id", "text_hash") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    left = hashed.join(gone, (hashed["doc_id"] == gone["_id"]) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
+    if ids.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        known = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text_hash"])
+        left = known.unionByName(left.where("doc_id IS NULL"))
+    return left.select(*[F.col(c) for c in docs.columns])

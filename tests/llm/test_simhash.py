@@ -128,6 +128,13 @@ def test_near_copies_are_those_of_similarity_four_fifths(spark):
         texts += [base, copy]
     core = rng.choice(pool, 100).tolist()
     texts += [[*core, *rng.choice(pool, 10 + k % 30).tolist()] for k in range(120)]
+    # A group in which many are alike to the middle and not to each other.
+    middle = rng.choice(pool, 160).tolist()
+    for k in range(150):
+        copy = list(middle)
+        for at in rng.choice(160, 1 + k % 9, replace=False):
+            copy[at] = f"own{k}"
+        texts.append(copy)
     rows = list(enumerate(" ".join(t) for t in texts))
     sets = [set(zip(*(t[j:] for j in range(5)))) for t in texts]
     best = list(range(len(rows)))
@@ -147,3 +154,14 @@ def test_near_copies_are_those_of_similarity_four_fifths(spark):
     assert 100 < linked and len({root(k) for k in range(240)}) > 150
     got = {r.doc_id: r.component_id for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {k: root(k) for k in range(len(rows))}
+
+
+def test_removal_goes_by_row(spark):
+    """Of one id with two texts only the copy goes, of repeated rows one stays, and null ids stay."""
+    words = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(1, words[0]), (2, words[0]), (2, words[1]), (3, words[2]), (3, words[2]), (None, words[0]), (None, words[0])]
+    df = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id long, text string, part int, first string").repartition(3)
+    left = H.near_duplicates_removed(df)
+    assert left.columns == df.columns
+    assert sorted((str(r.doc_id), r.text[:1]) for r in left.collect()) == [("1", "a"), ("2", "b"), ("3", "c"), ("None", "a"), ("None", "a")]
+    assert H.near_duplicates_removed(df.limit(0)).count() == 0
