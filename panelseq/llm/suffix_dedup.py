@@ -37,9 +37,9 @@ WINDOW, GRAM = 50, 20
 SIDE_STEP = 5
 SIDES = -(-(WINDOW - GRAM - 2 * (SIDE_STEP - 1)) // SIDE_STEP) * SIDE_STEP
 #: Text bytes that a task works on at a time.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Text bytes that one task packs together; text bytes whose fragments make a bucket; fragments of one merge.
-UNIT_BYTES, BUCKET_BYTES, BATCH_ROWS = 4 << 20, 8 << 20, 1 << 13
+UNIT_BYTES, BUCKET_BYTES, BATCH_ROWS = 4 << 20, 4 << 20, 1 << 13
 HOT_FRAGMENTS = 4096
 #: Different fragments of an anchor in one unit from which they are spread over all buckets.
 SPREAD_FRAGMENTS = 64
@@ -97,7 +97,7 @@ def _width(top: int) -> int:
     return next(w for w in (2, 3, 4, 8) if top < 1 << (8 * w) or w == 8)
 
 
-_PACKED = "bucket int, base bigint, n int, wd int, wk int, payload binary"
+_PACKED = "bucket bigint, base bigint, n int, wd int, wk int, payload binary"
 _PACKED_NAMES = ("bucket", "base", "n", "wd", "wk", "payload")
 
 
@@ -122,7 +122,7 @@ def _pack(bucket, h, f, doc, k):
 
 
 def _packed_batch(rows):
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], list(_PACKED_NAMES))
 
 
@@ -483,7 +483,7 @@ class Repeats:
         firsts = narrow_rows.groupBy("sha").agg(F.min("doc").alias("first"))
         self.sizes = cut(narrow_rows.join(firsts, "sha").withColumn("copy", F.col("doc") > F.col("first")).drop("first"))
         total = self.sizes.agg(F.sum("n_bytes")).first()[0] or 0
-        bits = min(16, max(4, (max(total // BUCKET_BYTES, 4 * n) - 1).bit_length()))
+        bits = max(4, (max(total // BUCKET_BYTES, 4 * n) - 1).bit_length())
         text = self.rows.select("doc", "dup", "text")
         if self.sizes.groupBy("doc", "dup").count().where("count > 1").limit(1).count():
             text = text.dropDuplicates(["doc", "dup"])
