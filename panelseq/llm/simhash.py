@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelseq.llm.common import U, expand, forest, mix, narrow, shuffle_partitions
+from panelseq.llm.common import U, expand, forest, mix, narrow, shuffle_partitions, tidy
 from panelseq.llm.components import components
 from panelseq.session import cut, ship
 
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, id_col: str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(fps[:, k]) for k in range(words)]], ["doc_id", *names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def near_links(points: DataFrame, bits: int = 4, words: int = 1, bands=BANDS) ->
     spark = points.sparkSession
     ship(spark)
     names = _word_columns(words)
-    grid = points.select(*names, "rep").mapInArrow(_grid(words, bands), "cell bigint, probe boolean, rep bigint, " + ", ".join(f"{n} bigint" for n in names))
+    grid = points.select(*names, "rep").mapInArrow(tidy(_grid(words, bands)), "cell bigint, probe boolean, rep bigint, " + ", ".join(f"{n} bigint" for n in names))
     full = cut(grid.where("not probe").groupBy("cell").count().where(F.col("count") > CELL_ROWS)
                .select("cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("deals")))
     full = F.broadcast(full) if full.count() <= BROADCAST_CELLS else full
@@ -196,7 +196,7 @@ def near_links(points: DataFrame, bits: int = 4, words: int = 1, bands=BANDS) ->
     dealt = dealt.withColumn("probe", F.col("probe") | (F.col("deal") != F.col("own")))
     n = shuffle_partitions(spark)
     placed = dealt.select("cell", "deal", "probe", "rep", *names).repartition(n, "cell", "deal")
-    return placed.sortWithinPartitions("cell", "deal", "probe").mapInArrow(_links(bits, words), "a bigint, b bigint")
+    return placed.sortWithinPartitions("cell", "deal", "probe").mapInArrow(tidy(_links(bits, words)), "a bigint, b bigint")
 
 
 def simhash_components(
@@ -279,7 +279,7 @@ def _near_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of NEAR at least."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check(shingle), "a bigint, b bigint"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(_check(shingle)), "a bigint, b bigint"))
 
 
 #: Blocks of shingles by which what two sets can share is bounded.
@@ -298,7 +298,7 @@ def _shingle_rows(shingle: int):
 
 def _shared_counts(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(node, shared, counts): how many shingles of a set another set of ``nodes`` has too, in all and by block."""
-    rows = cut(texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(_shingle_rows(shingle), "node bigint, h bigint"))
+    rows = cut(texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(tidy(_shingle_rows(shingle)), "node bigint, h bigint"))
     common = cut(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     blocks = rows.join(common, "h").groupBy("node", F.pmod("h", F.lit(COUNT_BLOCKS)).alias("block")).agg(F.count("*").cast("int").alias("n"))
     held = blocks.groupBy("node").agg(F.sum("n").cast("int").alias("shared"), F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("_m"))
@@ -324,7 +324,7 @@ def _near_parts(docs: DataFrame, shingle: int) -> DataFrame:
     ship(spark)
     rows = narrow(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = cut(rows.mapInArrow(_sketch(shingle), f"doc_id {kind}, text_hash bigint, node bigint, size bigint, keys array<bigint>"))
+    found = cut(rows.mapInArrow(tidy(_sketch(shingle)), f"doc_id {kind}, text_hash bigint, node bigint, size bigint, keys array<bigint>"))
     keyed = found.select("node", "size", F.explode("keys").alias("key")).distinct()
     heads = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("head")).where("n > 1").drop("n")
     met = cut(keyed.join(heads, "key").select("key", "node", "size", F.col("head.node").alias("head"), F.col("head.size").alias("head_size")))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from panelseq.llm.common import POWERS, U, mix, narrow, prefix_hash, range_hash, row_offsets, safe_text, shuffle_partitions, slices, text_bytes
+from panelseq.llm.common import POWERS, U, mix, narrow, prefix_hash, range_hash, row_offsets, safe_text, shuffle_partitions, slices, text_bytes, tidy
 from panelseq.session import cut, ship
 
 WINDOW, GRAM = 50, 20
@@ -39,7 +39,7 @@ SIDES = -(-(WINDOW - GRAM - 2 * (SIDE_STEP - 1)) // SIDE_STEP) * SIDE_STEP
 #: Text bytes that a task works on at a time.
 SLICE_BYTES = 1 << 18
 #: Text bytes that one task packs together; text bytes whose fragments make a bucket; fragments of one merge.
-UNIT_BYTES, BUCKET_BYTES, BATCH_ROWS = 4 << 20, 4 << 20, 1 << 13
+UNIT_BYTES, BUCKET_BYTES, BATCH_ROWS = 2 << 20, 4 << 20, 1 << 13
 HOT_FRAGMENTS = 4096
 #: Different fragments of an anchor in one unit from which they are spread over all buckets.
 SPREAD_FRAGMENTS = 64
@@ -487,18 +487,18 @@ class Repeats:
         text = self.rows.select("doc", "dup", "text")
         if self.sizes.groupBy("doc", "dup").count().where("count > 1").limit(1).count():
             text = text.dropDuplicates(["doc", "dup"])
-        packed = text.mapInArrow(_deal(bits, spread_fragments), _PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
-        found = packed.mapInArrow(_settle(bits, hot_fragments), "doc bigint, k bigint, kind tinyint")
+        packed = text.mapInArrow(tidy(_deal(bits, spread_fragments)), _PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
+        found = packed.mapInArrow(tidy(_settle(bits, hot_fragments)), "doc bigint, k bigint, kind tinyint")
         own = F.shiftright("k", DUP_SHIFT).cast("int").alias("dup")
         ks = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("k").bitwiseAND((1 << DUP_SHIFT) - 1).cast("int")))
         copies = self.sizes.where("copy").select("doc", "dup").distinct()
         marks = cut(found.groupBy("doc", own).agg(ks(COVERED).alias("covered"), ks(NEEDED).alias("need"), ks(HOT).alias("hot")).join(copies, ["doc", "dup"], "left_anti"))
         asked = self._texts_of(text, marks.where("size(need) > 0").select("doc", "dup", "need"))
-        fragments = asked.mapInArrow(_fragments, "h bigint, anchor tinyint, fragment binary, doc bigint, k bigint")
-        masks = fragments.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_merge, "doc bigint, k bigint, mask bigint")
+        fragments = asked.mapInArrow(tidy(_fragments), "h bigint, anchor tinyint, fragment binary, doc bigint, k bigint")
+        masks = fragments.repartition(n, "h").sortWithinPartitions("h").mapInArrow(tidy(_merge), "doc bigint, k bigint, mask bigint")
         if marks.where("size(hot) > 0").limit(1).count():
             asked = self._texts_of(text, marks.where("size(hot) > 0").select("doc", "dup", "hot"))
-            windows = asked.mapInArrow(_windows, "w1 bigint, w2 bigint, doc bigint, k bigint, j bigint")
+            windows = asked.mapInArrow(tidy(_windows), "w1 bigint, w2 bigint, doc bigint, k bigint, j bigint")
             least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
             masks = masks.union(windows.join(least, ["w1", "w2"]).where("doc > least").groupBy("doc", "k").agg(
                 F.bit_or(F.expr("shiftleft(1L, cast(j as int))")).alias("mask")))
@@ -513,7 +513,7 @@ class Repeats:
         """Rows joined to ``wanted`` by id, with compressed texts; most rows without a partner are left out before the shuffle."""
         shared = rows.sparkSession.sparkContext.broadcast(_id_table(wanted))
         fields = [f for f in rows.schema.fields if f.name != "text"]
-        packed = rows.select("*", _slot()).mapInArrow(_packed_texts(shared), StructType([*fields, StructField("z", BinaryType())]))
+        packed = rows.select("*", _slot()).mapInArrow(tidy(_packed_texts(shared)), StructType([*fields, StructField("z", BinaryType())]))
         return packed.join(wanted, ["doc", "dup"])
 
     def removals(self) -> DataFrame:
@@ -526,7 +526,7 @@ class Repeats:
             gone.cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"))
         kind = self.rows.schema["doc_id"].dataType.simpleString()
         cut_out = self._texts_of(self.rows.select("doc_id", "doc", "dup", "text"), self.edits).mapInArrow(
-            _digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+            tidy(_digest), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
         return rest.select(*names).union(cut_out.select(*names))
 
     def rewritten(self) -> DataFrame:
@@ -538,11 +538,11 @@ class Repeats:
         columns = [f"c{i}" for i in range(len(docs.columns))]
         rows = self._named(_ids(docs)).select(*columns, "doc", "dup")
         shared = docs.sparkSession.sparkContext.broadcast(_id_table(changes))
-        pick = lambda maybe: rows.select("*", _slot()).mapInArrow(_by_slot(shared, maybe), rows.schema)
+        pick = lambda maybe: rows.select("*", _slot()).mapInArrow(tidy(_by_slot(shared, maybe)), rows.schema)
         joined = pick(True).join(changes, ["doc", "dup"], "left").select(*columns, "covered", "masks", "whole")
         schema = StructType([StructField(f.name, f.dataType) for f in docs.schema])
         same = pick(False).select(*[F.col(n).alias(f.name) for n, f in zip(columns, docs.schema, strict=True)])
-        return joined.mapInArrow(_rewrite(text, count), schema).union(same)
+        return joined.mapInArrow(tidy(_rewrite(text, count)), schema).union(same)
 
 
 def _by_slot(shared, maybe: bool):
