@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from statistics import NormalDist
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelseq import GROUP
 from panelseq.functions import expr as X
+from panelseq.functions import normal
 from panelseq.operators import blocks as B
 from panelseq.operators.select import with_totals
 from panelseq.session import cut, ship
@@ -64,66 +66,96 @@ def jackknife_acceleration(values: DataFrame, col: str) -> DataFrame:
     return centred.agg(F.try_divide(F.sum(dev * dev * dev), 6.0 * F.pow(F.sum(dev * dev), F.lit(1.5))).alias("acceleration"))
 
 
-def _limits(level: float):
-    z = NormalDist()
-    tails = ((1 - level) / 2, 1 - (1 - level) / 2)
+def bca_mean(values: DataFrame, cols: Sequence[str], resamples: int = RESAMPLES, seed: int = THETA_SEED, level: float = 0.95, group: str = GROUP) -> DataFrame:
+    """BCa interval of the mean per column: ``bca_family`` of the columns as quantities. A constant vector has no interval; its status says so."""
+    long = values.select(group, F.inline(F.array(*[F.struct(F.lit(c).alias("quantity"), F.col(c).cast("double").alias("value")) for c in cols])))
+    return bca_family(long, ["quantity"], "value", resamples, seed, level, group).select("quantity", "estimate", "lower", "upper", "n", "acceleration", "status")
+
+
+#: Draws of one task, and the most group values of one key that a task takes.
+DRAW_BLOCK, TASK_VALUES = 250, 1 << 22
 
-    def run(batches):
-        for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                r["p_low"] = r["p_high"] = None
-                share, a = r.pop("_share"), r.pop("_accel")
-                if share is None or a is None or not 0.0 < share < 1.0:
-                    continue
-                z0 = z.inv_cdf(share)
-                got = []
-                for p in tails:
-                    s = z0 + z.inv_cdf(p)
-                    got.append(z.cdf(z0 + s / (1.0 - a * s)))
-                r["p_low"], r["p_high"] = got
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                ("quantity", pa.string()), ("estimate", pa.float64()), ("n", pa.int64()), ("acceleration", pa.float64()),
-                ("means", pa.list_(pa.float64())), ("p_low", pa.float64()), ("p_high", pa.float64())]))
+
+def _block_means(seed: int, resamples: int, by: Sequence[str]):
+    """Means of one block of draws of one key; a draw's slots are keyed, so every block makes its own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        values = np.empty(n)
+        values[table.column("idx").to_numpy()] = table.column("value").to_numpy()
+        block = table.column("block")[0].as_py()
+        draws = range(block * DRAW_BLOCK, min(resamples, (block + 1) * DRAW_BLOCK))
+        means = np.empty(len(draws))
+        for i, draw in enumerate(draws):
+            head = f"{seed}:{draw}:"
+            hits = np.fromiter((int.from_bytes(hashlib.md5(f"{head}{slot}".encode()).digest()[:4], "big") for slot in range(n)), np.int64, n)
+            means[i] = values[hits % n].mean()
+        keys = [pa.array(table.column(k)[:1].to_pylist() * len(draws), table.schema.field(k).type) for k in by]
+        return pa.Table.from_arrays([*keys, pa.array(list(draws), pa.int64()), pa.array(means)], names=[*by, "draw", "m"])
 
     return run
 
 
-def bca_mean(values: DataFrame, cols: Sequence[str], resamples: int = RESAMPLES, seed: int = THETA_SEED, level: float = 0.95, group: str = GROUP) -> DataFrame:
-    """BCa interval of the mean per column: estimate, lower, upper, status.
+def family_means(vec: DataFrame, by: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """(by, draw, m): bootstrap means of every key of (by, idx, value).
 
-    Draw means per column are at most ``resamples`` numbers, so their sorted list
-    is bounded. A constant vector has no interval; its status says so.
+    The values of a key go once to each block of DRAW_BLOCK draws, and a task gives one mean for each draw, so what is exchanged is
+    groups x blocks and not groups x draws. A key of more than TASK_VALUES groups joins its draws instead.
+    """
+    ship(vec.sparkSession)
+    by = list(by)
+    sizes = vec.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.where(F.col("n") > TASK_VALUES))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // DRAW_BLOCK) - 1)))
+    kinds = ", ".join(f"`{k}` {vec.schema[k].dataType.simpleString()}" for k in by)
+    some = large.limit(1).count() > 0
+    small = vec.join(large, by, "left_anti") if some else vec
+    out = small.withColumn("block", blocks).groupBy(*by, "block").applyInArrow(_block_means(seed, resamples, by), f"{kinds}, draw bigint, m double")
+    if some:
+        slots = large.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))).withColumn("slot", F.explode(F.expr("sequence(0L, n - 1)")))
+        hit = slots.select(*by, "draw", X.draw_index("n", seed, F.col("draw"), F.col("slot")).alias("idx"))
+        out = out.unionByName(hit.join(vec, [*by, "idx"]).groupBy(*by, "draw").agg(F.avg("value").alias("m")))
+    return out
+
+
+def bca_family(long: DataFrame, by: Sequence[str], value: str = "value", resamples: int = RESAMPLES, seed: int = THETA_SEED, level: float = 0.95, group: str = GROUP) -> DataFrame:
+    """BCa interval of the mean of every key at once: (by, estimate, lower, upper, n, acceleration, leave_out_low, leave_out_high, q1, median, q3, status).
+
+    ``leave_out_low`` and ``_high`` are the least and largest mean without one group. Normal quantiles are column
+    expressions, so no row leaves the JVM but for the draws. Keys without variation have no interval. Null values are left out.
     """
-    ship(values.sparkSession)
-    values = cut(values.select(group, *cols))
-    means = bootstrap_means(values, cols, resamples, seed, group)
-    long = means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("quantity"), F.col(c).alias("m")) for c in cols])))
-    base = None
-    for c in cols:
-        est = values.agg(F.avg(c).alias("estimate"), F.count(c).alias("n"), (F.max(c) - F.min(c)).alias("_span")).withColumn("_k", F.lit(1))
-        acc = jackknife_acceleration(values, c).withColumn("_k", F.lit(1))
-        row = est.join(F.broadcast(acc), "_k").drop("_k").withColumn("quantity", F.lit(c))
-        base = row if base is None else base.unionByName(row)
-    near = long.join(F.broadcast(base), "quantity")
+    by = list(by)
+    src = long.where(F.col(value).isNotNull()).select(*by, group, F.col(value).cast("double").alias("value"))
+    vec = cut(group_index(src, group, by).select(*by, "idx", "value"))
+    first = vec.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("estimate"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+    quartiles = B.exact_quantiles(vec, by, "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    away = F.col("value") - F.col("estimate")
+    stats = vec.join(first, by).groupBy(*by, "n", "estimate", "_min", "_max").agg(
+        F.try_divide(F.sum(away * away * away), 6.0 * F.pow(F.sum(away * away), F.lit(1.5))).alias("acceleration")).join(quartiles, by)
+    stats = cut(stats)
+    means = family_means(vec, by, resamples, seed).join(stats.select(*by, "estimate"), by)
     tie = F.abs(F.col("m") - F.col("estimate")) <= 1e-15
-    shared = near.groupBy("quantity").agg(
-        F.first("estimate").alias("estimate"), F.first("n").alias("n"), F.first("acceleration").alias("acceleration"),
-        F.avg(F.when(tie, 0.5).when(F.col("m") < F.col("estimate"), 1.0).otherwise(0.0)).alias("_share"),
-        F.array_sort(F.collect_list("m")).alias("means"), F.first("_span").alias("_span"))
-    shared = shared.select("quantity", "estimate", "n", "acceleration", "means", F.when(F.col("_span") > 0, F.col("_share")).alias("_share"), F.col("acceleration").alias("_accel"))
-    limits = shared.mapInArrow(
-        _limits(level), "quantity string, estimate double, n long, acceleration double, means array<double>, p_low double, p_high double")
-
-    def at(p: str) -> Column:
-        pos = F.col(p) * (F.size("means") - 1)
-        lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
-        a, b = F.get("means", lo), F.get("means", hi)
-        return a + (b - a) * (pos - lo)
-
-    return limits.select(
-        "quantity", "estimate", at("p_low").alias("lower"), at("p_high").alias("upper"), "n", "acceleration",
-        F.when(F.col("p_low").isNull(), "DEGENERATE").otherwise("AVAILABLE").alias("status"))
+    shares = means.groupBy(*by).agg(
+        F.avg(F.when(tie, 0.5).when(F.col("m") < F.col("estimate"), 1.0).otherwise(0.0)).alias("_share"), F.array_sort(F.collect_list("m")).alias("_means"))
+    # Written between the steps, so that no step's expressions are repeated inside the next.
+    d = cut(stats.join(shares, by).withColumn("_z0", normal.inverse(F.when(F.col("_max") > F.col("_min"), F.col("_share")))))
+
+    def limit(p: float) -> Column:
+        shifted = F.col("_z0") + NormalDist().inv_cdf(p)
+        at = normal.cdf(F.col("_z0") + shifted / (1 - F.col("acceleration") * shifted)) * (F.size("_means") - 1)
+
+        def between(x: Column) -> Column:
+            a, b = F.get("_means", F.floor(x).cast("int")), F.get("_means", F.ceil(x).cast("int"))
+            return a + (b - a) * (x - F.floor(x))
+
+        return normal.let(at, between)
+
+    d = d.withColumn("lower", limit((1 - level) / 2)).withColumn("upper", limit(1 - (1 - level) / 2))
+    without = lambda end: F.try_divide(F.col("estimate") * F.col("n") - F.col(end), F.col("n") - 1)
+    return d.select(
+        *by, "estimate", "lower", "upper", "n", "acceleration", without("_max").alias("leave_out_low"), without("_min").alias("leave_out_high"), "q1", "median", "q3",
+        F.when(F.col("lower").isNull(), "DEGENERATE").otherwise("AVAILABLE").alias("status"))
 
 
 def _half_sums(values: np.ndarray) -> np.ndarray:

@@ -57,10 +57,16 @@ def paired_bootstrap(spark, sf):
         F.broadcast(top.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
-@query("bca_interval")
+_BCA = ("estimate", "lower", "upper", "acceleration", "leave_out_low", "leave_out_high", "q1", "median", "q3")
+_BCA_SQL = f"""{q('estimate')}, {q('lower_', 'lower')}, {q('upper_', 'upper')}, {q('acceleration')}, {q('leave_out_low')}, {q('leave_out_high')}, {q('q1')}, {q('med', 'median')}, {q('q3')}, n,
+  CASE WHEN lower_ IS NULL THEN 'DEGENERATE' ELSE 'AVAILABLE' END AS status"""
+
+
+@query("bca_interval", f"""WITH {_LANG_SQL}, lv AS ({' UNION ALL '.join(f"SELECT '{x}' AS quantity, group_id, {x} AS value FROM v" for x in LANGS)}), {S.bca('lv', 'quantity')}
+SELECT quantity, {_BCA_SQL} FROM bc""")
 def bca_interval(spark, sf):
-    d = I.bca_mean(lang_gaps(spark, sf), list(LANGS))
-    return d.select("quantity", *[r(c) for c in ("estimate", "lower", "upper", "acceleration")], "n", "status")
+    long = C.unpivot(lang_gaps(spark, sf), [GROUP], list(LANGS))
+    return I.bca_family(long, ["quantity"]).select("quantity", *[r(c) for c in _BCA], "n", "status")
 
 
 @query("jackknife", f"""WITH {_LANG_SQL}, j AS (SELECT (sum(de) OVER () - de) / (n - 1) AS j FROM i), c AS (SELECT avg(j) OVER () - j AS d FROM j)
@@ -94,15 +100,16 @@ def holm_adjustment(spark, sf):
 # ------------------------------------------------------------------ claims
 # A claim is a (language, construction): per source, a centre of log length minus
 # the source's own centre; the constructions are the mean and the maximum.
-_CLAIM_SQL = """b AS (SELECT source AS group_id, avg(ln(1 + n_chars)) AS m, max(ln(1 + n_chars)) AS x FROM documents GROUP BY source),
+_CLAIM_SQL = f"""b AS (SELECT source AS group_id, avg(ln(1 + n_chars)) AS m, max(ln(1 + n_chars)) AS x FROM documents GROUP BY source),
 l AS (SELECT source AS group_id, lang, avg(ln(1 + n_chars)) AS m, max(ln(1 + n_chars)) AS x FROM documents GROUP BY ALL),
 long AS MATERIALIZED (SELECT lang || '__mean' AS claim_id, group_id, l.m - b.m AS value FROM l JOIN b USING (group_id)
   UNION ALL SELECT lang || '__max', group_id, l.x - b.x FROM l JOIN b USING (group_id)),
-st AS MATERIALIZED (SELECT claim_id, avg(value) AS mean, count(*) AS n, 2 * stddev_samp(value) / sqrt(count(*)) AS half,
-  count(*) FILTER (value > 1e-12) AS pos, count(*) FILTER (value < -1e-12) AS neg, count(*) FILTER (abs(value) <= 1e-12) AS zero FROM long GROUP BY claim_id),
+{S.bca('long', 'claim_id')},
+st AS MATERIALIZED (SELECT claim_id, avg(value) AS mean, count(*) AS n, any_value(lower_) AS lower_, any_value(upper_) AS upper_,
+  count(*) FILTER (value > 1e-12) AS pos, count(*) FILTER (value < -1e-12) AS neg, count(*) FILTER (abs(value) <= 1e-12) AS zero FROM long JOIN bc USING (claim_id) GROUP BY claim_id),
 cs AS MATERIALIZED (SELECT *, CASE WHEN neg + zero = 0 THEN 'ALL_POSITIVE' WHEN pos + zero = 0 THEN 'ALL_NEGATIVE' WHEN pos > neg THEN 'POSITIVE_MAJORITY' WHEN neg > pos THEN 'NEGATIVE_MAJORITY' ELSE 'TIED_MAJORITY' END AS majority,
   CASE WHEN mean > 1e-12 THEN 'POSITIVE' WHEN mean < -1e-12 THEN 'NEGATIVE' ELSE 'ZERO' END AS mean_direction,
-  CASE WHEN mean - half > 0 THEN 'POSITIVE_SUPPORTED' WHEN mean + half < 0 THEN 'NEGATIVE_SUPPORTED' ELSE 'SPANS_ZERO' END AS ci_support FROM st)"""
+  CASE WHEN lower_ > 0 THEN 'POSITIVE_SUPPORTED' WHEN upper_ < 0 THEN 'NEGATIVE_SUPPORTED' ELSE 'SPANS_ZERO' END AS ci_support FROM st)"""
 
 
 def claim_values(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -113,9 +120,7 @@ def claim_values(spark, sf) -> tuple[DataFrame, DataFrame]:
         F.struct(F.concat("lang", F.lit("__mean")).alias("claim_id"), (F.col("m") - F.col("_m")).alias("value")),
         F.struct(F.concat("lang", F.lit("__max")).alias("claim_id"), (F.col("x") - F.col("_x")).alias("value")))))
     long = cut(long)
-    half = 2 * F.stddev_samp("value") / F.sqrt(F.count("value"))
-    intervals = long.groupBy("claim_id").agg((F.avg("value") - half).alias("lower"), (F.avg("value") + half).alias("upper"))
-    return long, intervals
+    return long, I.bca_family(long, ["claim_id"]).select("claim_id", "lower", "upper")
 
 
 def claim_pairs(spark) -> DataFrame:

@@ -271,13 +271,28 @@ def theta_distribution(spark, sf):
     return d.select("view", "n", *[r(c) for c in ("mean", "min", "q1", "median", "q3", "max", "sd")], "positive_groups", "negative_groups", "zero_groups")
 
 
-@query("theta_interval")
+# What an interval report holds of each quantity, and its SQL over the CTE ``bc``.
+_REPORT = ("estimate", "lower", "upper", "leave_out_low", "leave_out_high", "q1", "median", "q3")
+_REPORT_SQL = f"""{q('estimate')}, {q('lower_', 'lower')}, {q('upper_', 'upper')}, {q('leave_out_low')}, {q('leave_out_high')}, {q('q1')}, {q('med', 'median')}, {q('q3')}, n,
+  CASE WHEN lower_ IS NULL THEN 'DEGENERATE' ELSE 'AVAILABLE' END AS status"""
+
+
+@query("theta_interval", f"""{_THETA}, tv AS MATERIALIZED (SELECT "view" AS quantity, group_id, Theta AS value FROM theta), {S.bca('tv', 'quantity')}
+SELECT quantity, {_REPORT_SQL} FROM bc""")
 def theta_interval(spark, sf):
-    """BCa intervals of mean Theta per view, from shared draws."""
-    t = thetas(spark, sf)
-    wide = t.groupBy(GROUP).pivot("view", list(R.VIEWS)).agg(F.max("Theta"))
-    d = I.bca_mean(cut(wide), list(R.VIEWS))
-    return d.select("quantity", *[r(c) for c in ("estimate", "lower", "upper")], "n", "status")
+    """BCa interval, leave-one-out range and quartiles of Theta per view."""
+    t = thetas(spark, sf).select(F.col("view").alias("quantity"), GROUP, F.col("Theta").alias("value"))
+    return I.bca_family(cut(t), ["quantity"]).select("quantity", *[r(c) for c in _REPORT], "n", "status")
+
+
+@query("construction_report", f"""{_DIFF}, dv AS MATERIALIZED (SELECT 'delta' AS quantity, group_id, delta AS value FROM d), {S.bca('dv', 'quantity')},
+sg AS (SELECT 'delta' AS quantity, count(*) FILTER (delta > 1e-12) AS positive_groups, count(*) FILTER (delta < -1e-12) AS negative_groups, count(*) FILTER (abs(delta) <= 1e-12) AS zero_groups FROM d)
+SELECT quantity, {_REPORT_SQL}, positive_groups, negative_groups, zero_groups, CASE WHEN lower_ > 0 THEN 'positive' WHEN upper_ < 0 THEN 'negative' ELSE 'includes_zero' END AS support FROM bc JOIN sg USING (quantity)""")
+def construction_report(spark, sf):
+    """The construction difference with its BCa interval, leave-one-out range, quartiles and sign counts in one row."""
+    long = cut(C.unpivot(C.construction_difference(thetas(spark, sf)), [GROUP], ["delta"]))
+    d = I.bca_family(long, ["quantity"]).join(C.sign_counts(long, "value", ["quantity"]), "quantity")
+    return C.support(d).select("quantity", *[r(c) for c in _REPORT], "n", "status", "positive_groups", "negative_groups", "zero_groups", "support")
 
 
 # ------------------------------------------------------------------ comparator contrasts (flagship)
@@ -310,20 +325,21 @@ def comparator_contrasts(spark, sf):
 
 
 def _class_inputs(spark, sf):
-    """Mean, interval (mean +- 2 standard errors) and signs of the three contrasts."""
-    long = C.unpivot(C.contrasts(comparator_metrics(spark, sf), "rmse"), [GROUP], ["d0", "dm", "K"])
+    """Mean, BCa interval and signs of the three contrasts."""
+    long = cut(C.unpivot(C.contrasts(comparator_metrics(spark, sf), "rmse"), [GROUP], ["d0", "dm", "K"]))
     s = long.groupBy("quantity").agg(
-        F.avg("value").alias("mean"), (2 * F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("half"),
+        F.avg("value").alias("mean"),
         F.count_if(F.col("value") > 1e-12).alias("positive_groups"), F.count_if(F.col("value") < -1e-12).alias("negative_groups"),
         F.count_if(F.abs("value") <= 1e-12).alias("zero_groups"))
-    s = s.withColumn("lower", F.col("mean") - F.col("half")).withColumn("upper", F.col("mean") + F.col("half"))
+    s = s.join(I.bca_family(long, ["quantity"]).select("quantity", "lower", "upper"), "quantity")
     return C.majority(C.support(s))
 
 
 _SUPPORT = "CASE WHEN lower_ > 0 THEN 'positive' WHEN upper_ < 0 THEN 'negative' ELSE 'includes_zero' END"
-_CLASS = f"""{_CMP}, l AS (SELECT 'd0' AS quantity, d0 AS v FROM c UNION ALL SELECT 'dm', dm FROM c UNION ALL SELECT 'K', K FROM c),
-s AS (SELECT quantity, avg(v) AS mean, avg(v) - 2 * stddev_samp(v) / sqrt(count(*)) AS lower_, avg(v) + 2 * stddev_samp(v) / sqrt(count(*)) AS upper_,
-  count(*) FILTER (v > 1e-12) AS pos, count(*) FILTER (v < -1e-12) AS neg, count(*) FILTER (abs(v) <= 1e-12) AS zero FROM l GROUP BY quantity),
+_CLASS = f"""{_CMP}, l AS MATERIALIZED (SELECT group_id, unnest(['d0', 'dm', 'K']) AS quantity, unnest([d0, dm, K]) AS value FROM c),
+{S.bca('l', 'quantity')},
+s AS (SELECT quantity, avg(value) AS mean, any_value(lower_) AS lower_, any_value(upper_) AS upper_,
+  count(*) FILTER (value > 1e-12) AS pos, count(*) FILTER (value < -1e-12) AS neg, count(*) FILTER (abs(value) <= 1e-12) AS zero FROM l JOIN bc USING (quantity) GROUP BY quantity),
 k AS (SELECT *, {_SUPPORT} AS support, sign(pos - neg) AS polarity FROM s)"""
 
 

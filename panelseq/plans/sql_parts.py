@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+from panelseq.functions import normal
+
 SEQ = """seq AS MATERIALIZED (
   SELECT user_id AS group_id, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS recording_id, value,
     row_number() OVER (PARTITION BY user_id, ts < TIMESTAMP '2024-01-16' ORDER BY ts, event_id) - 1 AS time_index
@@ -107,3 +111,25 @@ cells AS MATERIALIZED (
   SELECT recording_id, time_index, pos, pos // 4 AS channel, pos % 4 AS band, value,
     pos // 16 AS channel2, (pos % 16) // 4 AS group2, pos % 16 AS bin2
   FROM (SELECT recording_id, time_index, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS value FROM e))"""
+
+
+def bca(source: str, key: str, prefix: str = "bc", seed: int = 20260905, resamples: int = 10_000) -> str:
+    """CTEs ending in ``{prefix}`` (key, estimate, lower_, upper_, n, acceleration) from ``source`` (key, group_id, value)."""
+    p = prefix
+    tails = [NormalDist().inv_cdf(x) for x in ((1 - 0.95) / 2, 1 - (1 - 0.95) / 2)]
+    at = "(list_extract(means, floor({x})::BIGINT + 1) + (list_extract(means, ceil({x})::BIGINT + 1) - list_extract(means, floor({x})::BIGINT + 1)) * ({x} - floor({x})))"
+    return f"""{p}_v AS MATERIALIZED (SELECT {key}, dense_rank() OVER (ORDER BY {key}) AS bk, value, row_number() OVER (PARTITION BY {key} ORDER BY md5(group_id::VARCHAR), group_id) - 1 AS idx, count(*) OVER (PARTITION BY {key}) AS n
+  FROM {source} WHERE value IS NOT NULL),
+{p}_m AS MATERIALIZED (SELECT bk, count(*) AS n, avg(value) AS estimate, max(value) > min(value) AS varies, min(value) AS low, max(value) AS high, quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3 FROM {p}_v GROUP BY bk),
+{p}_a AS (SELECT bk, sum(pow(value - estimate, 3)) / (6 * pow(sum(pow(value - estimate, 2)), 1.5)) AS acceleration FROM {p}_v JOIN {p}_m USING (bk) GROUP BY bk),
+{p}_l AS MATERIALIZED (SELECT bk, any_value(n) AS n, list(value ORDER BY idx) AS vals FROM {p}_v GROUP BY bk),
+{p}_d AS (SELECT bk, b, list_avg(list_transform(range(n), lambda i: vals[('0x' || substr(md5('{seed}:' || b || ':' || i), 1, 8))::BIGINT % n + 1])) AS m
+  FROM {p}_l, range({resamples}) t(b)),
+{p}_s AS (SELECT bk, avg(CASE WHEN abs(m - estimate) <= 1e-15 THEN 0.5 WHEN m < estimate THEN 1.0 ELSE 0.0 END) AS share, list(m ORDER BY m) AS means
+  FROM {p}_d JOIN {p}_m USING (bk) GROUP BY bk),
+{p}_f AS (SELECT *, {normal.sql_first_inverse('share')} AS x FROM {p}_s JOIN {p}_m USING (bk) JOIN {p}_a USING (bk) WHERE varies AND share > 0 AND share < 1),
+{p}_z AS (SELECT *, {normal.sql_refined('x', 'share')} AS z0 FROM {p}_f),
+{p}_t AS (SELECT *, z0 + (z0 + {tails[0]!r}) / (1 - acceleration * (z0 + {tails[0]!r})) AS tl, z0 + (z0 + {tails[1]!r}) / (1 - acceleration * (z0 + {tails[1]!r})) AS tu FROM {p}_z),
+{p}_p AS (SELECT *, {normal.sql_cdf('tl')} * {resamples - 1} AS pl, {normal.sql_cdf('tu')} * {resamples - 1} AS pu FROM {p}_t),
+{p} AS MATERIALIZED (SELECT x.{key}, m.estimate, m.n, a.acceleration, {at.format(x='pl')} AS lower_, {at.format(x='pu')} AS upper_, (m.estimate * m.n - m.high) / (m.n - 1) AS leave_out_low,
+  (m.estimate * m.n - m.low) / (m.n - 1) AS leave_out_high, m.q1, m.med, m.q3 FROM {p}_m m JOIN (SELECT DISTINCT bk, {key} FROM {p}_v) x USING (bk) JOIN {p}_a a USING (bk) LEFT JOIN {p}_p p USING (bk))"""
