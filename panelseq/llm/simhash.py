@@ -355,12 +355,15 @@ def _near_parts(docs: DataFrame, shingle: int) -> DataFrame:
         sides = [alive.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "shared", "counts")]) for x in ("a", "b")]
         centre = sides[1].join(best, "key").where("node_b = b").drop("b")
         more = sides[0].join(centre, "key").where("node_a <> node_b").where(_can_reach("a", "b"))
-        links = cut(links.union(_near_pairs(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), texts, shingle)))
-        parts = parted(links)
-        still = apart(parts).select("key", "node", "part")
-        a, b = (s.join(still.select("key", F.col("node").alias(f"node_{x}"), F.col("part").alias(f"part_{x}")), ["key", f"node_{x}"]) for s, x in zip(sides, "ab", strict=True))
-        a, b = cut(a).withColumnRenamed("key", "key_a"), cut(b).withColumnRenamed("key", "key_b")
-        rest = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("part_a") < F.col("part_b")) & _can_reach("a", "b"))
+        found_links = _near_pairs(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), texts, shingle)
+        # Nodes that are linked to their key's centre need no other link between them, and neither do nodes of one part.
+        held = found_links.join(best, "b").select("key", F.col("a").alias("node")).union(best.select("key", F.col("b").alias("node"))).withColumn("held", F.lit(True))
+        at = left.select("key", "node", "part").join(held, ["key", "node"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+        placed = cut(alive.join(at, ["key", "node"]))
+        a, b = (placed.select([F.col(c).alias(f"{c}_{x}") for c in placed.columns]) for x in "ab")
+        near = (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & ~(F.col("held_a") & F.col("held_b"))
+        rest = a.join(b, near & _can_reach("a", "b"))
+        links = links.union(found_links)
         links = links.union(_near_pairs(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), texts, shingle))
     joined = parted(links)
     return found.select("doc_id", "text_hash", "node").join(joined, "node", "left").select("doc_id", "text_hash", F.coalesce("part", "node").alias("part"))
