@@ -218,7 +218,7 @@ siblings AS (
   SELECT grp, level, slot, node FROM nodes
   UNION ALL SELECT s.grp, s.height + t.level, -1 - t.slot, t.node FROM tops t, subroots s),
 climb AS (
-  SELECT doc_id, p.grp, leaf, p.slot AS leaf_slot, 0 AS level, CASE WHEN s.height = 0 THEN p.grp ELSE p.slot END, '' AS proof,
+  SELECT doc_id, p.grp, leaf, p.slot AS leaf_slot, 0 AS level, CASE WHEN s.height = 0 THEN p.grp ELSE p.slot END AS slot, '' AS proof,
     coalesce(tampered, leaf) AS node FROM placed p JOIN subroots s USING (grp)
   UNION ALL
   SELECT c.doc_id, c.grp, c.leaf, c.leaf_slot, c.level + 1,
