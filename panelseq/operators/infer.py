@@ -15,6 +15,7 @@ from panelseq import GROUP
 from panelseq.functions import expr as X
 from panelseq.functions import normal
 from panelseq.operators import blocks as B
+from panelseq.operators import scan
 from panelseq.operators.select import with_totals
 from panelseq.session import cut, ship
 
@@ -246,11 +247,14 @@ def sign_flip(
         "comparison_id", F.lit(method).alias("method"), F.lit(n).alias("m"), "total", "extreme", (F.col("extreme") / F.col("total")).alias("p"), "mean_effect")
 
 
-def holm(pvals: DataFrame, by: Sequence[str] = (), p: str = "p", comparison: str = "comparison_id") -> DataFrame:
-    """Step-down adjusted p within a family of comparisons."""
-    fam = list(by)
-    w = Window.partitionBy(*fam).orderBy(p, comparison)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*fam))
-    stepped = pvals.withColumn("_r", F.row_number().over(w)).withColumn("_m", size).withColumn(
-        "_a", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(p)))
-    return stepped.withColumn("holm_p", F.max("_a").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m", "_a")
+def holm(pvals: DataFrame, by: Sequence[str] = (), p: str = "p", comparison: str = "comparison_id", ranges: int | None = None) -> DataFrame:
+    """Step-down adjusted p within a family of comparisons: ``holm_p`` beside all columns.
+
+    Ranks and the running maximum are scans by ranges (``scan.ranged``), so a family may hold all rows. Equal p get
+    equal results. A null p is no comparison: it is not counted and its ``holm_p`` is null.
+    """
+    fam, order = list(by), [p, comparison]
+    tested = scan.ranks(scan.ranged(pvals.where(F.col(p).isNotNull()), fam, order, ranges), fam, order, "_r", "_m")
+    step = F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(p))
+    done = scan.running(tested, fam, ["_r"], step, "max", "holm_p").drop("_r", "_m", "_range")
+    return done.unionByName(pvals.where(F.col(p).isNull()).withColumn("holm_p", F.lit(None).cast("double")))

@@ -10,6 +10,7 @@ from panelseq.operators import claims as C
 from panelseq.operators import infer as I
 from panelseq.operators import oof as O
 from panelseq.operators import splits as SP
+from panelseq.operators.select import with_totals
 from panelseq.plans import feature_queries as FQ
 from panelseq.plans import panels as P
 from panelseq.plans import sql_parts as S
@@ -97,6 +98,27 @@ def holm_adjustment(spark, sf):
     return I.holm(flip_tests(spark, sf)).select("comparison_id", r("p", 9), r("holm_p", 9))
 
 
+# One comparison an order: whether its mean line price differs from that of all lines. The p value is the
+# bound 2 exp(-z^2 / 2) of a normal tail, and the family is the whole table.
+_ORDER_P = """t AS MATERIALIZED (SELECT l_orderkey AS comparison_id, count(*) AS n, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY l_orderkey),
+p AS MATERIALIZED (SELECT comparison_id, least(1.0, 2 * exp(-n * pow((m - (SELECT avg(l_extendedprice) FROM lineitem)) / sd, 2) / 2)) AS p FROM t WHERE n > 1 AND sd > 0)"""
+
+
+def order_p_values(spark, sf) -> DataFrame:
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("comparison_id"), "l_extendedprice")
+    price = F.col("l_extendedprice")
+    orders = lines.groupBy("comparison_id").agg(F.count(F.lit(1)).alias("n"), F.sum(price).alias("total"), F.stddev_samp(price).alias("sd"))
+    of_all = with_totals(orders, (), {"_total": F.sum("total"), "_n": F.sum("n")}).where("n > 1 AND sd > 0")
+    z = (F.col("total") / F.col("n") - F.col("_total") / F.col("_n")) / F.col("sd")
+    return of_all.select("comparison_id", F.least(F.lit(1.0), 2 * F.exp(-F.col("n") * z * z / 2)).alias("p"))
+
+
+@query("holm_whole_table", f"""WITH {_ORDER_P}, s AS (SELECT *, row_number() OVER (ORDER BY p, comparison_id) AS k, count(*) OVER () AS m FROM p)
+SELECT comparison_id, {q('p', 'p', 6)}, {q('max(least(1, (m - k + 1) * p)) OVER (ORDER BY p, comparison_id ROWS UNBOUNDED PRECEDING)', 'holm_p', 6)} FROM s""")
+def holm_whole_table(spark, sf):
+    return I.holm(order_p_values(spark, sf)).select("comparison_id", r("p", 6), r("holm_p", 6))
+
+
 # ------------------------------------------------------------------ claims
 # A claim is a (language, construction): per source, a centre of log length minus
 # the source's own centre; the constructions are the mean and the maximum.
