@@ -47,11 +47,19 @@ def shift_join(panel: DataFrame, lags: Sequence[int], pred: str, keys: Sequence[
 
 
 def slice_roots(roots: DataFrame, panel: DataFrame, horizon: int, keys: Sequence[str], t0: str = "t0", t: str = TIME) -> DataFrame:
-    """Rows t0..t0+horizon-1 of each root's recording: one equi join on (keys, t)."""
-    spread = roots.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).withColumn(
-        t, F.col(t0) + F.col("offset")
-    )
-    return spread.join(panel, [*keys, t])
+    """Rows t0..t0+horizon-1 of each root's recording: one join on (keys, block of ``horizon`` steps).
+
+    A slice lies in the block of its root and the next one, so a root travels twice, whatever the horizon. The side that
+    is multiplied is never broadcast: its size before that says little.
+    """
+    here = F.expr(f"`{t0}` div {horizon}")
+    spread = roots.withColumn("_block", F.explode(F.array(here, here + 1))).hint("merge")
+    rows = panel.withColumn("_block", F.expr(f"`{t}` div {horizon}"))
+    offset = F.col(t) - F.col(t0)
+    rest = [c for c in panel.columns if c not in (*keys, t)]
+    met = spread.join(rows, [*keys, "_block"]).where((offset >= 0) & (offset < horizon))
+    kept = [c for c in roots.columns if c not in keys]
+    return met.select(*keys, t, *kept, offset.cast("int").alias("offset"), *rest)
 
 
 def missing_extra(observed: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
