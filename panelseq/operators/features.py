@@ -140,7 +140,7 @@ def _add_pattern(halo: DataFrame, col: str, windows: Sequence[int], w, t: str) -
         pairs = w.rowsBetween(-(k - 2), 0)
         varies = (F.stddev_pop(later).over(pairs) > 1e-8) & (F.stddev_pop("_prev").over(pairs) > 1e-8)
         made[f"{col}_w{k}_autocorrelation"] = F.when(
-            (F.col(t) >= 2) & varies, F.corr(F.col("_prev"), later).over(pairs)
+            (F.col(t) >= 2) & varies, X.corr("_prev", later, pairs)
         ).otherwise(0.0)
         made[f"{col}_w{k}_trend_consistency"] = F.coalesce(
             F.abs(F.avg(F.signum(F.col(col) - F.col("_prev"))).over(pairs)), F.lit(0.0)

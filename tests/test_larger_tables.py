@@ -2,7 +2,9 @@
 
 import numpy as np
 
+from panelseq.operators import features as X
 from panelseq.operators import joins as J
+from panelseq.operators import metrics as M
 
 
 def test_slices_are_not_broadcast(spark):
@@ -15,3 +17,16 @@ def test_slices_are_not_broadcast(spark):
     assert got.columns == ["group_id", "recording_id", "time_index", "t0", "offset", "value"]
     assert sorted((r["group_id"], r["time_index"], r["t0"], r["offset"], r["value"]) for r in got.collect()) == want
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_values_correlate_without_an_error(spark):
+    v = [0.5] * 40 + [0.1, 0.4, 0.2, 0.9, 0.3, 0.8]
+    rows = spark.createDataFrame([(0, t, x, 0.25) for t, x in enumerate(v)], "k long, time_index long, v double, c double")
+    got = [r["v_w10_autocorrelation"] for r in X.temporal_pattern(rows, "v", keys=["k"]).orderBy("time_index").collect()]
+    assert got[:40] == [0.0] * 40
+    assert abs(got[-1] - np.corrcoef(v[-10:-1], v[-9:])[0, 1]) < 1e-9
+    pcc = M.error_metrics(rows, "c", ["k"], target="v").first()["pcc"]
+    assert np.isnan(pcc)
+    traj = rows.selectExpr("k group_id", "0 seed", "0 recording_id", "time_index", "v target", "c", "v")
+    assert M.xcorr_lag(traj, "c", 2).first()["signed_lag"] is None
+    assert M.xcorr_lag(traj, "v", 2).first()["signed_lag"] == 0
