@@ -6,8 +6,8 @@ never exceeds the number of differing bits. With three bands of coordinates and
 bits, some band has distance zero or one. The grid of a band has a cell for each integer point; a fingerprint lives in its own cell and also looks into the cells one step up in one coordinate, which
 finds each pair at distance one from exactly one side. Pairs that meet are checked on all bits.
 
-Texts of similarity 0.8 differ in too many of 64 bits for any grid, so the filter for near copies finds its candidates
-by bands of minima and checks each by the exact Jaccard similarity of the sets of shingles.
+Texts of similarity 0.8 differ in too many of 64 bits for any grid, so the filter for near copies takes its candidates
+from the grid join and, for those farther apart, from bands of minima, and checks each by the exact Jaccard similarity of the sets of shingles.
 """
 
 from __future__ import annotations
@@ -240,15 +240,17 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 def _sketch(shingle: int):
     def run(batches):
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, words, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 h = shingle_set(t, shingle)
                 nodes.append(mix(mix(h).sum(keepdims=True, dtype=U) + U(len(h)))[0])
                 sizes.append(len(h))
+                words.append(majority(h))
                 keys.append(band_keys(h).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(nodes, U).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "node", "size", "keys"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(nodes, U).view(np.int64)), pa.array(sizes, pa.int64()),
+                 pa.array(np.array(words, U).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "node", "size", "w0", "keys"])
 
     return run
 
@@ -318,17 +320,31 @@ def _can_reach(x: str, y: str):
     return (F.least(*sizes) >= F.greatest(*sizes) * F.lit(NEAR) - F.lit(1e-6)) & _reaches(F.least(f"shared_{x}", f"shared_{y}"), *sizes) & _reaches(by_block, *sizes)
 
 
+#: Differing bits up to which the grid join hands a pair of fingerprints to the exact check; BANDS lose none of them.
+CLOSE_BITS = 5
+
+
+def _grid_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b), a > b, of the grid join: nodes of one fingerprint with the smallest of them, and these where fingerprints are close."""
+    points = cut(nodes.groupBy("w0").agg(F.min("node").alias("rep")))
+    equal = nodes.join(points, "w0").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    grid = near_links(points, CLOSE_BITS).where("a <> b")
+    return equal.union(grid.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
+
+
 def _near_parts(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, text_hash, part), one row for each row of ``docs``; see ``near_duplicates``."""
     spark = docs.sparkSession
     ship(spark)
     rows = narrow(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = cut(rows.mapInArrow(tidy(_sketch(shingle)), f"doc_id {kind}, text_hash bigint, node bigint, size bigint, keys array<bigint>"))
+    found = cut(rows.mapInArrow(tidy(_sketch(shingle)), f"doc_id {kind}, text_hash bigint, node bigint, size bigint, w0 bigint, keys array<bigint>"))
     keyed = found.select("node", "size", F.explode("keys").alias("key")).distinct()
     heads = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("head")).where("n > 1").drop("n")
     met = cut(keyed.join(heads, "key").select("key", "node", "size", F.col("head.node").alias("head"), F.col("head.size").alias("head_size")))
-    named = found.join(met.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("node", "row.*")
+    close = cut(_grid_pairs(found.select("node", "w0").distinct()))
+    known = met.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    named = found.join(known, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("node", "row.*")
     same = rows["doc_id"].eqNullSafe(named["doc_id"]) & (rows["text_hash"] == named["text_hash"])
     texts = cut(rows.join(named, same).select("node", "text"))
 
@@ -336,8 +352,8 @@ def _near_parts(docs: DataFrame, shingle: int) -> DataFrame:
         return components(links, "a", "b").select(F.col("id").alias("node"), F.col("component").alias("part"))
 
     fits = F.least("size", "head_size") >= F.greatest("size", "head_size") * F.lit(NEAR) - F.lit(1e-6)
-    stars = met.where(F.col("node") != F.col("head")).where(fits).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = _near_pairs(stars, texts, shingle)
+    stars = met.where(F.col("node") != F.col("head")).where(fits).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = _near_pairs(close.union(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), texts, shingle)
     others = met.where(F.col("node") != F.col("head")).select("key", "node", "size")
 
     def apart(parts: DataFrame) -> DataFrame:
@@ -373,7 +389,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, component_id): documents joined by chains of links of Jaccard similarity NEAR and more.
 
     A node is a set of shingles, named by 64 bits; equal sets are one node, and null and empty texts have the
-    empty set. Two nodes that share a band key are candidates. First each node of a key is checked against the smallest one. Nodes of keys
+    empty set. Nodes whose fingerprints (majority bits over the set) are within
+    CLOSE_BITS are candidates, found by the grid join; so are nodes that share a band key, since fingerprints of similarity 0.8 differ in more. First each node of a key is checked against the smallest one. Nodes of keys
     that are then still apart are held against each other by what they can share at most: only shingles that some other such set has
     count, in all and block by block, which loses no link. Those within the bound are checked, first against the node
     that shares most. So copies cost one check a member, and sets of one key that only look alike cost a comparison of counts for each pair, but no row.

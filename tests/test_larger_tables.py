@@ -1,7 +1,9 @@
 """What larger tables showed: sizes that grow with the rows, runs of equal values."""
 
 import numpy as np
+import pyarrow as pa
 
+from panelseq.llm import simhash as H
 from panelseq.operators import features as X
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
@@ -30,3 +32,28 @@ def test_equal_values_correlate_without_an_error(spark):
     traj = rows.selectExpr("k group_id", "0 seed", "0 recording_id", "time_index", "v target", "c", "v")
     assert M.xcorr_lag(traj, "c", 2).first()["signed_lag"] is None
     assert M.xcorr_lag(traj, "v", 2).first()["signed_lag"] == 0
+
+
+def test_near_copies_come_through_the_grid_join(spark, monkeypatch):
+    made = H._sketch
+
+    def blind(shingle):
+        inner = made(shingle)
+
+        def run(batches):
+            for b in inner(batches):
+                none = pa.array([[] for _ in range(b.num_rows)], pa.list_(pa.int64()))
+                yield b.set_column(b.schema.get_field_index("keys"), "keys", none)
+
+        return run
+
+    monkeypatch.setattr(H, "_sketch", blind)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:-1], "changed"]))]
+    rows += [(100, None), (101, ""), (102, "one word"), (103, "other word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in H.near_duplicates(df).collect()}
+    assert got == {i: i - i % 10 if i < 100 else {101: 100}.get(i, i) for i, _ in rows}
