@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from panelseq.llm import simhash as H
+from panelseq.llm import suffix_dedup as S
 from panelseq.operators import features as X
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
@@ -57,3 +58,20 @@ def test_near_copies_come_through_the_grid_join(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in H.near_duplicates(df).collect()}
     assert got == {i: i - i % 10 if i < 100 else {101: 100}.get(i, i) for i, _ in rows}
+
+
+def test_hot_fragments_that_share_no_window_send_none(spark):
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    line = "~~~~ common words ~~~~~~~~~"
+    rows = [(k, "".join(rng.choice(letters, 40)) + line + "".join(rng.choice(letters, 40))) for k in range(30)]
+    rows += [(100 + k, rows[k][1][20:80]) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = df.selectExpr("doc_id doc", "0 dup", "text")
+    found = S.Repeats(df, 2, 1000)
+    every = {}
+    for doc, text in rows:
+        lo, *_ = S.anchors(*S.text_bytes(pa.array([text])))
+        every[doc] = list(range(len(lo)))
+    hot = spark.createDataFrame([(d, 0, k) for d, k in every.items()], "doc long, dup int, hot array<int>")
+    assert {r.doc for r in found._meeting(texts, hot).collect()} == {0, 1, 2, 100, 101, 102}
