@@ -423,6 +423,24 @@ def leave_out_selection(values: DataFrame, left_out: DataFrame, candidate: str,
         "outer_group", F.col(f"_b.{candidate}").alias(candidate), "development_rows", "outer_rows_used")
 
 
+def leave_group_out(rows: DataFrame, candidate: str, value: str, group: str = GROUP) -> DataFrame:
+    """``leave_out_selection`` with each group its own outer group, from rows (group, array with a ``value`` for each candidate).
+
+    A candidate is named by its place in the array. Only totals and a count a group travel. The audit compares the values that
+    all rows of a group have with those taken out for it, which a second row of a group would show.
+    """
+    each = rows.select(F.posexplode(value).alias("_i", "_x"))
+    sums = each.groupBy("_i").agg(F.sum("_x").alias("_s"), F.count("_x").alias("_n"))
+    totals = sums.agg(F.array_sort(F.collect_list(F.struct("_i", "_s", "_n"))).alias("_t"), F.sum("_n").alias("_all"))
+    taken = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + F.when(x.isNotNull(), 1).otherwise(0))
+    own = rows.select(group, taken.alias("_m")).groupBy(group).agg(F.sum("_m").alias("_own"))
+    mean = lambda x: (x["_t"]["_s"] - F.coalesce(x[value], F.lit(0.0))) / (x["_t"]["_n"] - F.when(x[value].isNotNull(), 1).otherwise(0))
+    best = F.array_min(F.transform(F.arrays_zip(value, "_t"), lambda x, i: F.struct(F.round(mean(x), 10).alias("m"), i.alias("i"))))
+    return rows.crossJoin(F.broadcast(totals)).join(own, group).select(
+        F.col(group).alias("outer_group"), best["i"].alias(candidate), (F.col("_all") - taken).alias("development_rows"),
+        (F.col("_own") - taken).alias("outer_rows_used"))
+
+
 def fingerprint_of(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 

@@ -178,9 +178,8 @@ def select_gain(spark, sf):
 
 def outer_choices(spark, sf):
     """Per outer group: the gain with the lowest mean RMSE over all other groups."""
-    obj = cut(gain_objective(spark, sf))
-    left_out = obj.select(F.col(GROUP).alias("outer_group"), GROUP).distinct()
-    return O.leave_out_selection(obj, left_out, "gain_index", "rmse")
+    p, n = _panel(spark, sf)
+    return O.leave_group_out(cut(M.gain_grid_rows(p, GAINS, n)), "gain_index", "rmse")
 
 
 _OUTER = """o AS (SELECT group_id AS outer_group, gain_index, ((sum(rmse) OVER (PARTITION BY gain_index)) - rmse) / ((count(*) OVER (PARTITION BY gain_index)) - 1) AS m FROM obj),

@@ -8,6 +8,7 @@ from panelseq.llm import suffix_dedup as S
 from panelseq.operators import features as X
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
+from panelseq.operators import oof as O
 
 
 def test_slices_are_not_broadcast(spark):
@@ -75,3 +76,30 @@ def test_hot_fragments_that_share_no_window_send_none(spark):
         every[doc] = list(range(len(lo)))
     hot = spark.createDataFrame([(d, 0, k) for d, k in every.items()], "doc long, dup int, hot array<int>")
     assert {r.doc for r in found._meeting(texts, hot).collect()} == {0, 1, 2, 100, 101, 102}
+
+
+def test_gain_grid_of_short_and_long_groups_and_its_selection(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, s, c, t, *rng.random(3).tolist()) for g in range(5) for s in (1, 2) for c in range(3) for t in range((6, 6, 6, 9, 30)[g] - c)]
+    df = spark.createDataFrame(rows, "group_id long, seed int, recording_id int, time_index long, fast double, slow double, target double")
+    gains = [0.1, 0.4, 0.7, 1.0]
+    want = {}
+    for g in range(5):
+        per = []
+        for s in (1, 2):
+            errors = []
+            for c in range(3):
+                state = None
+                for *_, fast, slow, y in [r for r in rows if r[:3] == (g, s, c)]:
+                    state = np.clip(np.array(gains) * fast + (1 - np.array(gains)) * (slow if state is None else state), 0, 1)
+                    errors.append((y - state) ** 2)
+            per.append(np.sqrt(np.mean(errors, 0)))
+        want[g] = np.mean(per, 0)
+    for chunk in (8, 64):
+        got = {r.group_id: r.rmse for r in M.gain_grid_rows(df, gains, 30, chunk=chunk).collect()}
+        assert sorted(got) == list(range(5)) and all(np.allclose(got[g], want[g], atol=1e-12) for g in want)
+    made = M.gain_grid_rows(df, gains, 30)
+    slow = O.leave_out_selection(M.gain_grid_objective(df, gains, 30), spark.createDataFrame([(g, g) for g in range(5)], "outer_group long, group_id long"), "gain_index", "rmse")
+    assert sorted(map(tuple, O.leave_group_out(made, "gain_index", "rmse").collect())) == sorted(map(tuple, slow.collect()))
+    assert O.leave_group_out(made.union(made.limit(1)), "gain_index", "rmse").where("outer_rows_used > 0").count() > 0
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
