@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelseq import GROUP, RECORDING, SEED, SEQUENCE, TIME
+from panelseq.operators import blocks as B
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
 from panelseq.operators import nested as N
@@ -215,8 +216,18 @@ def candidate_states(spark, sf):
     return cut(e.unionByName(k).withColumn("family", F.split("candidate_id", "_")[0]))
 
 
+def candidate_metrics(spark, sf, extra=("family", "candidate_id")):
+    """RMSE, MAFD and lag of every candidate and group; states are written only where a sequence is longer than a chunk."""
+    p, n = _panel(spark, sf)
+    if n > B.CHUNK:
+        return M.subject_metrics(candidate_states(spark, sf), "state", MAX_LAG, list(extra))
+    names = F.array(*[F.lit(i) for i in EMA_IDS + KALMAN_IDS])
+    rows = M.candidate_recordings(p, EMAS, KALMANS, MAX_LAG).withColumn("candidate_id", F.element_at(names, F.col("place") + 1))
+    return M.recording_metrics(cut(rows.withColumn("family", F.split("candidate_id", "_")[0]).drop("place")), list(extra))
+
+
 def candidate_summary(spark, sf):
-    per_group = M.subject_metrics(candidate_states(spark, sf), "state", MAX_LAG, ["family", "candidate_id"])
+    per_group = candidate_metrics(spark, sf)
     return M.summarize_candidates(per_group, ["family", "candidate_id"])
 
 
@@ -275,14 +286,14 @@ JOIN fam e ON e.outer_group = best.outer_group AND e.family = 'ema' JOIN fam k O
 @query("nested_selection", NESTED_SQL)
 def nested_selection(spark, sf):
     """Pool, roles and matched points of every outer group, each over all other groups."""
-    per_group = M.subject_metrics(candidate_states(spark, sf), "state", MAX_LAG, ["family", "candidate_id"])
+    per_group = candidate_metrics(spark, sf)
     d = N.outer_choices(N.outer_summaries(per_group), 2, ("ema", "kalman"), "kalman_1", matched_family="ema")
     return d.withColumn("threshold", r("threshold")).withColumn("lock_sha256", O.fingerprint_of(*LOCKED))
 
 
 @query("group_metrics", f"WITH RECURSIVE {SUMMARY} SELECT candidate_id, group_id, {q('rmse')}, {q('mafd')}, {q('absolute_lag')} FROM gm")
 def group_metrics(spark, sf):
-    d = M.subject_metrics(candidate_states(spark, sf), "state", MAX_LAG, ["candidate_id"])
+    d = candidate_metrics(spark, sf, ["candidate_id"])
     return d.select("candidate_id", GROUP, r("rmse"), r("mafd"), r("absolute_lag"))
 
 

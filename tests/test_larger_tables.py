@@ -9,6 +9,7 @@ from panelseq.operators import features as X
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
 from panelseq.operators import oof as O
+from panelseq.operators import updaters as U
 
 
 def test_slices_are_not_broadcast(spark):
@@ -103,3 +104,18 @@ def test_gain_grid_of_short_and_long_groups_and_its_selection(spark):
     assert sorted(map(tuple, O.leave_group_out(made, "gain_index", "rmse").collect())) == sorted(map(tuple, slow.collect()))
     assert O.leave_group_out(made.union(made.limit(1)), "gain_index", "rmse").where("outer_rows_used > 0").count() > 0
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_candidates_of_a_recording_equal_their_states(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, s, c, t, float(rng.random()) if g else 0.5, float(rng.random())) for g in range(4) for s in (1, 2) for c in range(2) for t in range((12, 1, 25, 40)[g] + c)]
+    df = spark.createDataFrame(rows, "group_id long, seed int, recording_id int, time_index long, fast double, target double").repartition(3)
+    made = M.candidate_recordings(df, [0.3, 1.0], [(0.01, 0.1)], 3)
+    got = {(r.place, r.group_id): r for r in M.recording_metrics(made, ["place"]).collect()}
+    for place, gain in enumerate((0.3, 1.0, None)):
+        states = U.ema(df, gain, length=60, keep=["target"]) if gain else U.kalman_fixed(df, 0.01, 0.1, length=60, keep=["target"])
+        for want in M.subject_metrics(states, "state", 3).collect():
+            have = got.pop((place, want.group_id))
+            assert abs(have.rmse - want.rmse) < 1e-9 and have.absolute_lag == want.absolute_lag
+            assert have.mafd == want.mafd or abs(have.mafd - want.mafd) < 1e-9
+    assert not got and made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
