@@ -298,9 +298,15 @@ def validate_roots(roots: DataFrame, expected: DataFrame | None, low: int, high:
     outside = F.col("t0") < low
     if high is not None:
         outside = outside | (F.col("t0") > high)
-    rules = [check_unique(roots, root), _as_violations(roots.where(outside), "root_range", root, F.col("t0"))]
-    if expected is not None:
-        rules.append(_coverage(roots, expected, root, "root_set"))
+    rules = [_as_violations(roots.where(outside), "root_range", root, F.col("t0"))]
+    if expected is None:
+        rules.append(check_unique(roots, root))
+    else:
+        # Both sides are counted in one grouping, which serves the two rules about keys.
+        sides = roots.select(*root, F.lit(1).alias("_o"), F.lit(0).alias("_e")).unionByName(expected.select(*root, F.lit(0).alias("_o"), F.lit(1).alias("_e")))
+        counts = sides.groupBy(*root).agg(F.sum("_o").alias("_o"), F.sum("_e").alias("_e"))
+        rules.append(_rules(counts, root, [
+            ("unique_key", F.col("_o") > 1, F.col("_o")), ("root_set", F.col("_e") == 0, "extra"), ("root_set", F.col("_o") == 0, "missing")]))
     if count is not None:
         n = roots.agg(F.count(F.lit(1)).alias("_n"))
         rules.append(_as_violations(n.where(F.col("_n") != count), "root_count", [], F.col("_n")))

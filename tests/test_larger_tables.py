@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from panelseq.llm import simhash as H
 from panelseq.llm import suffix_dedup as S
+from panelseq.operators import contracts as C
 from panelseq.operators import features as X
 from panelseq.operators import joins as J
 from panelseq.operators import metrics as M
@@ -119,3 +120,13 @@ def test_candidates_of_a_recording_equal_their_states(spark):
             assert abs(have.rmse - want.rmse) < 1e-9 and have.absolute_lag == want.absolute_lag
             assert have.mafd == want.mafd or abs(have.mafd - want.mafd) < 1e-9
     assert not got and made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+
+
+def test_roots_are_grouped_once(spark):
+    kind = "group_id long, recording_id int, t0 long"
+    seen = spark.createDataFrame([(1, 0, 7), (1, 0, 7), (1, 0, 2), (2, 0, 9)], kind)
+    due = spark.createDataFrame([(1, 0, 7), (2, 0, 8), (2, 0, 8)], kind)
+    made = C.validate_roots(seen, due, 5, 30)
+    got = sorted((r.rule_id, r.key, r.detail) for r in made.collect())
+    assert got == [("root_range", "1|0|2", "2"), ("root_set", "1|0|2", "extra"), ("root_set", "2|0|8", "missing"), ("root_set", "2|0|9", "extra"), ("unique_key", "1|0|7", "2")]
+    assert C.validate_roots(seen, due, 5, 30)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
