@@ -52,8 +52,9 @@ m AS (SELECT draw, avg(x) AS x, avg(y) AS y, avg(y - x) AS gap FROM d JOIN u USI
 SELECT 'difference' AS identity, max(abs(gap - (y - x))) < 1e-9 AS holds, {q('max(gap)', 'top_gap')} FROM m""")
 def paired_bootstrap(spark, sf):
     v = user_values(spark, sf).withColumn("gap", F.col("y") - F.col("x"))
-    d = I.paired_bootstrap(v, ["x", "y", "gap"], {"difference": (F.col("gap"), F.col("y") - F.col("x"))})
-    top = I.bootstrap_means(v, ["gap"]).agg(r(F.max("gap"), 6, "top_gap"))
+    means = cut(I.bootstrap_means(v, ["x", "y", "gap"]))
+    d = I.identity_gaps(means, {"difference": (F.col("gap"), F.col("y") - F.col("x"))})
+    top = means.agg(r(F.max("gap"), 6, "top_gap"))
     return d.select("identity", (F.col("max_abs_error") < 1e-9).alias("holds"), F.lit(1).alias("_k")).join(
         F.broadcast(top.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
