@@ -13,7 +13,7 @@ from panelseq.operators import updaters as U
 from panelseq.plans import panels as P
 from panelseq.plans import sql_parts as S
 from panelseq.plans.registry import q, query, r
-from panelseq.session import checkpoint_dir
+from panelseq.session import checkpoint_dir, cut
 from panelseq.sources import fingerprints as FP
 from panelseq.sources import manifest as A
 from panelseq.sources import panel_io as IO
@@ -430,6 +430,10 @@ def _in_slice_order(spark, src: str) -> None:
         fs.setTimes(f, start + k, -1)
 
 
+#: Rows of a slice in one task and file; a trigger takes four files.
+SLICE_ROWS = 1 << 20
+
+
 def _streamed(spark, sf, run):
     """Panel slices as a file stream in order of time, run to its end; the sink is read back.
 
@@ -437,7 +441,13 @@ def _streamed(spark, sf, run):
     """
     src, out, ck = (stage_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
     p = P.event_panel(spark, sf)
-    p.withColumn("slice", F.expr("time_index div 20")).repartition("slice").write.partitionBy("slice").parquet(src)
+    # A slice is a share of all rows, so it is dealt to tasks and files of bounded size by its sequences.
+    sliced = p.withColumn("slice", F.expr("time_index div 20"))
+    parts = F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int")
+    sizes = cut(sliced.groupBy("slice").agg(parts.alias("_parts")))
+    tasks = sizes.agg(F.sum("_parts")).first()[0] or 1
+    dealt = sliced.join(F.broadcast(sizes), "slice").withColumn("_part", F.pmod(F.xxhash64(*SEQUENCE), "_parts"))
+    dealt.repartition(tasks, "slice", "_part").drop("_part", "_parts").write.partitionBy("slice").parquet(src)
     _in_slice_order(spark, src)
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 4).parquet(f"{src}/slice=*")
     done = run(stream).writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).trigger(availableNow=True).start()

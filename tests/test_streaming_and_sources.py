@@ -84,3 +84,46 @@ def test_physical_order_needs_the_full_set(spark):
     assert [r.recording_id for r in got] == list(range(23))
     less = A.resolve_recording(df.where("file_path < 'cond/file_w'"), physical_order=True)
     assert less.where("recording_id is not null").count() == 0
+
+
+@pytest.mark.parametrize("kind", [*ST.KINDS, "tracker"])
+def test_keys_of_a_bucket_are_stepped_together(spark, tmp_path, monkeypatch, kind):
+    """Many keys of other lengths, rows in any order: one call a bucket and trigger, and the batch states."""
+    monkeypatch.setattr(ST, "BUCKETS", 3)
+    monkeypatch.setattr(ST, "GATHERED", 200)
+    rng = [((i * 7919) % 1000) / 1000 for i in range(4000)]
+    rows = [(g, 1, None if g == 5 else g % 2, t, rng[(31 * g + t) % 4000], rng[(17 * g + t) % 4000]) for g in range(40) for t in range(1 + 3 * g)]
+    schema = "group_id long, seed int, recording_id int, time_index long, fast double, slow double"
+    whole = spark.createDataFrame(rows, schema)
+    whole.orderBy(F.xxhash64("group_id", "time_index")).repartition(3).write.parquet(str(tmp_path / "in" / "b0"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/b*")
+    update, batch = {
+        "constant_gain": (lambda s: ST.stream_update(s, kind, 0.2), lambda d: U.constant_gain(d, 0.2)),
+        "ema": (lambda s: ST.stream_update(s, kind, 0.3), lambda d: U.ema(d, 0.3)),
+        "kalman_fixed": (lambda s: ST.stream_update(s, kind, U.KalmanParams(q=0.001, r=0.01)), lambda d: U.kalman_fixed(d, 0.001, 0.01)),
+        "kalman_adaptive": (lambda s: ST.stream_update(s, kind, U.KalmanParams()), U.kalman_adaptive),
+        "tracker": (ST.stream_change_aware, U.change_aware),
+    }[kind]
+    q = update(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == 3
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("event = 'state'").count() == got.count() == len(rows)
+    assert got.where("recording_id is null").count() == 16
+    known = whole.where("recording_id is not null")
+    assert ST.check_prefix(got.where("recording_id is not null"), batch(known)).count() == 0
+
+
+def test_slices_are_cut_by_sequences(spark, monkeypatch):
+    whole = spark.range(3000).selectExpr("id % 100 AS group_id", "1 AS seed", "0 AS recording_id", "id div 100 AS time_index", "0.5D AS fast", "0.2D AS slow")
+    monkeypatch.setattr(CQ.P, "event_panel", lambda *a: whole)
+    monkeypatch.setattr(CQ, "SLICE_ROWS", 250)
+    most, order = [], CQ._in_slice_order
+
+    def look(spark, src):
+        most.extend(r[0] for r in spark.read.parquet(src).groupBy(F.input_file_name()).count().select("count").collect())
+        order(spark, src)
+
+    monkeypatch.setattr(CQ, "_in_slice_order", look)
+    assert CQ._streamed(spark, "", lambda stream: ST.stream_update(stream, "ema", 0.3)).count() == 3000
+    assert sum(most) == 3000 and max(most) < 1500
