@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelseq.llm import suffix_dedup as S
@@ -54,6 +55,31 @@ def test_equals_plain_search(spark, rows, hot, spread):
     assert found(S.repeated_bytes(df, hot, spread)) == plain(rows)
 
 
+def test_hot_windows_travel_packed(spark, monkeypatch):
+    """No step makes a row for each window of the hot fragments; their number has no say in the rows of a step."""
+    rng = np.random.default_rng(7)
+    common = "This line stands in a great many of the documents, word for word, and it is longer than a window is. "
+    rows = [(k, words(rng, 4) + common + words(rng, 6)) for k in range(300)]
+    counts = []
+
+    def counting(run):
+        made = spark.sparkContext.accumulator(0)
+        counts.append((run.__qualname__, made))
+
+        def wrapped(batches):
+            for b in run(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return wrapped
+
+    monkeypatch.setattr(S, "tidy", counting)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(S.repeated_bytes(df, 3, 3)) == plain(rows)
+    lo, *_ = S.anchors(*S.text_bytes(pa.array([t for _, t in rows])))
+    assert max(made.value for _, made in counts) <= len(lo), [(name, made.value) for name, made in counts]
+
+
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = found(S.repeated_bytes(docs))
